@@ -32,20 +32,24 @@ def normalize_currency(currency: Column) -> Column:
 
 def is_money(amount_minor: Column, currency: Column) -> Column:
     """A whole amount that is not negative, in a three-letter currency."""
-    known = normalize_currency(currency).rlike(vocab.CURRENCY_PATTERN)
-    return F.coalesce((amount_minor >= 0) & known, F.lit(False))
+    return F.coalesce((amount_minor >= 0) & _known_currency(currency), F.lit(False))
+
+
+def _known_currency(currency: Column) -> Column:
+    """Three letters once normalised; the plain case is seen without normalising."""
+    plain = currency.rlike(r"^ *[A-Za-z]{3} *\z")
+    return plain | normalize_currency(currency).rlike(vocab.CURRENCY_PATTERN)
 
 
 def money_error(amount_minor: Column, currency: Column) -> Column:
     """Why (amount, currency) is not money, or null."""
-    known = normalize_currency(currency).rlike(vocab.CURRENCY_PATTERN)
     return (
         F.when(
             amount_minor.isNull(), F.lit(vocab.AMOUNT_NOT_INTEGER % vocab.NOT_A_NUMBER)
         )
         .when(amount_minor < 0, F.format_string(vocab.AMOUNT_NEGATIVE, amount_minor.cast("string")))
         .when(
-            ~F.coalesce(known, F.lit(False)),
+            ~F.coalesce(_known_currency(currency), F.lit(False)),
             F.format_string(vocab.CURRENCY_INVALID, F.coalesce(currency, F.lit(vocab.UNDEFINED))),
         )
     )

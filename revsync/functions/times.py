@@ -38,13 +38,14 @@ def bad_iso(text: Column) -> Column:
     return F.coalesce((text != "") & text.try_cast("timestamp").isNull(), F.lit(False))
 
 
-def event_time(c: Column) -> Column:
-    """A calendar time: its dateTime, else its all-day date at UTC midnight, else null."""
-    return iso_ts(event_time_text(c))
+def event_time_text(c: Column) -> Column:
+    """What a calendar time says: its dateTime, else its all-day date."""
+    return F.coalesce(non_empty(c["dateTime"]), c["date"])
 
 
-def event_time_text(c: Column) -> Column:
-    return F.coalesce(non_empty(c["dateTime"]), non_empty(c["date"]))
+def event_time(c: Column) -> Column:
+    """A calendar time; an all-day date is UTC midnight, whatever the zone."""
+    return iso_ts(event_time_text(c))
 
 
 def unix_ts(seconds: Column) -> Column:

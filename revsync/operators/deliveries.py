@@ -20,43 +20,46 @@ def _position(order: list[str]) -> Column:
     return F.struct(*order)
 
 
-def delivery_states(
-    deliveries: DataFrame, ledger: DataFrame | None = None, order: list[str] | None = None
-) -> DataFrame:
-    """Each attempt with `prior_status` (null, failed or processed) and `outcome`.
-
-    `process_ok` says whether processing that attempt works out. With a ledger, keys
-    processed in earlier batches are skipped and keys that failed there go again.
-    """
-    order = order or ORDER
-    here = _position(order)
-    per_key = deliveries.groupBy("idempotency_key").agg(
+def _first_attempts(rows: DataFrame, keys: list[str], here: Column) -> DataFrame:
+    return rows.groupBy(*keys).agg(
         F.min(here).alias("_first"),
         F.min(F.when(F.col("process_ok"), here)).alias("_first_ok"),
+        F.count(F.lit(1)).alias("_n"),
     )
-    rows = deliveries.join(per_key, "idempotency_key", "left")
-    if ledger is None:
-        ledger_status = F.lit(None).cast("string")
-    else:
-        rows = rows.join(
-            ledger.select("idempotency_key", F.col("processing_status").alias("_ledger")),
-            "idempotency_key",
-            "left",
-        )
-        ledger_status = F.col("_ledger")
+
+
+def _judge(here: Column, ledger_status: Column) -> tuple[Column, Column]:
+    """Status an attempt met, and its outcome, given its key's first attempt and success."""
     done_before = F.coalesce(ledger_status == vocab.PROCESSED, F.lit(False))
-    done_here = F.coalesce(here > F.col("_first_ok"), F.lit(False))
+    done = done_before | F.coalesce(here > F.col("_first_ok"), F.lit(False))
     prior = (
-        F.when(done_before | done_here, vocab.PROCESSED)
+        F.when(done, vocab.PROCESSED)
         .when(here > F.col("_first"), vocab.FAILED)
         .otherwise(ledger_status)
     )
     outcome = (
-        F.when(done_before | done_here, vocab.DUPLICATE_SKIPPED)
+        F.when(done, vocab.DUPLICATE_SKIPPED)
         .when(F.col("process_ok"), vocab.PROCESSED)
         .otherwise(vocab.FAILED)
     )
-    return rows.select(*deliveries.columns, prior.alias("prior_status"), outcome.alias("outcome"))
+    return prior.alias("prior_status"), outcome.alias("outcome")
+
+
+def delivery_states(
+    deliveries: DataFrame, ledger: DataFrame | None = None, order: list[str] | None = None
+) -> DataFrame:
+    """Each attempt with `prior_status` (null, failed or processed) and `outcome`.
+
+    `process_ok` says whether processing that attempt works out. With a ledger, keys
+    processed in earlier batches are skipped and keys that failed there go again.
+    """
+    key, here = "idempotency_key", _position(order or ORDER)
+    rows = deliveries.join(_first_attempts(deliveries, [key], here), key, "left")
+    ledger_status = F.lit(None).cast("string")
+    if ledger is not None:
+        known = ledger.select(key, F.col("processing_status").alias("_ledger"))
+        rows, ledger_status = rows.join(known, key, "left"), F.col("_ledger")
+    return rows.select(*deliveries.columns, *_judge(here, ledger_status))
 
 
 def webhook_outcomes(deliveries: DataFrame) -> DataFrame:
@@ -64,39 +67,53 @@ def webhook_outcomes(deliveries: DataFrame) -> DataFrame:
 
 
 def delivery_sequence(deliveries: DataFrame) -> DataFrame:
-    """Each attempt's ordinal within its key and the state it met.
+    """Each attempt's ordinal within its key, the state it met and its outcome.
 
     Ordinals are counted per key and second, then shifted by what the key had earlier
     in that hour and in earlier hours. The shifts come from counts, so a key with very
     many attempts is ranked by many tasks.
     """
-    key = "idempotency_key"
-    rows = delivery_states(deliveries).withColumn("_second", F.date_trunc("second", "received_at"))
-    seconds = rows.groupBy(key, "_second").agg(F.count(F.lit(1)).alias("_n"))
-    seconds = seconds.withColumn("_hour", F.date_trunc("hour", "_second"))
-    hours = seconds.groupBy(key, "_hour").agg(F.sum("_n").alias("_n"))
+    key, here = "idempotency_key", _position(ORDER)
+    rows = deliveries.withColumn("_second", F.date_trunc("second", "received_at"))
+    seconds = _first_attempts(rows, [key, "_second"], here).withColumn(
+        "_hour", F.date_trunc("hour", "_second")
+    )
+    hours = seconds.groupBy(key, "_hour").agg(
+        F.min("_first").alias("_first"),
+        F.min("_first_ok").alias("_first_ok"),
+        F.sum("_n").alias("_n"),
+    )
 
     def before(w) -> Column:
         return F.coalesce(
             F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
         )
 
+    whole_key = Window.partitionBy(key)
     by_hour = hours.select(
-        key, "_hour", before(Window.partitionBy(key).orderBy("_hour")).alias("_hours_before")
+        key,
+        "_hour",
+        before(whole_key.orderBy("_hour")).alias("_hours_before"),
+        F.min("_first").over(whole_key).alias("_first"),
+        F.min("_first_ok").over(whole_key).alias("_first_ok"),
     )
-    shift = (
-        seconds.withColumn(
-            "_in_hour", before(Window.partitionBy(key, "_hour").orderBy("_second"))
-        )
-        .join(by_hour, [key, "_hour"])
-        .select(key, "_second", (F.col("_in_hour") + F.col("_hours_before")).alias("_shift"))
+    in_hour = seconds.select(
+        key,
+        "_hour",
+        "_second",
+        before(Window.partitionBy(key, "_hour").orderBy("_second")).alias("_in_hour"),
     )
+    shift = in_hour.join(by_hour, [key, "_hour"]).drop("_hour")
     within = Window.partitionBy(key, "_second").orderBy(*ORDER)
+    ordinal = F.col("_rn") + F.col("_in_hour") + F.col("_hours_before")
     return (
         rows.withColumn("_rn", F.row_number().over(within))
         .join(shift, [key, "_second"])
-        .withColumn("attempt_no", (F.col("_rn") + F.col("_shift")).cast("bigint"))
-        .drop("_rn", "_shift", "_second")
+        .select(
+            *deliveries.columns,
+            ordinal.cast("bigint").alias("attempt_no"),
+            *_judge(here, F.lit(None).cast("string")),
+        )
     )
 
 

@@ -55,12 +55,10 @@ def _carried(df: DataFrame) -> list[str]:
 
 
 def _unpack(df: DataFrame, names: list[str]) -> DataFrame:
-    """The named properties as columns: looked up once, however often a rule reads them."""
-    looked_up = [F.try_element_at("properties", F.lit(n)).alias(n) for n in names]
+    """The named properties as columns."""
     corrupt = [c for c in ("_corrupt_record",) if c in df.columns]
-    return df.select(
-        "id", "properties", "createdAt", "updatedAt", *looked_up, *corrupt, *_carried(df)
-    )
+    properties = [F.col("properties")[n].alias(n) for n in names]
+    return df.select("id", "createdAt", "updatedAt", *properties, *corrupt, *_carried(df))
 
 
 def normalize_contacts(df: DataFrame, provider: str = vocab.HUBSPOT) -> DataFrame:
@@ -77,7 +75,7 @@ def normalize_contacts(df: DataFrame, provider: str = vocab.HUBSPOT) -> DataFram
         c("lifecyclestage").alias("lifecycle_stage"),
         times.iso_ts_or(c("createdate"), c("createdAt")).alias("source_created_at"),
         times.iso_ts_or(c("lastmodifieddate"), c("updatedAt")).alias("source_updated_at"),
-        text.properties_json(c("properties"), c("id")).alias("raw"),
+        text.properties_json(vocab.CONTACT_PROPERTIES, c("id")).alias("raw"),
         (_readable(df) & _dates_ok(c("createdate"), c("lastmodifieddate"))).alias("normalize_ok"),
         F.coalesce(
             _unreadable(df),
@@ -106,7 +104,7 @@ def normalize_deals(df: DataFrame, provider: str = vocab.HUBSPOT) -> DataFrame:
         F.lit(None).cast("string").alias("primary_contact_source_id"),
         times.iso_ts_or(c("createdate"), c("createdAt")).alias("source_created_at"),
         times.iso_ts_or(c("hs_lastmodifieddate"), c("updatedAt")).alias("source_updated_at"),
-        text.properties_json(c("properties"), c("id")).alias("raw"),
+        text.properties_json(vocab.DEAL_PROPERTIES, c("id")).alias("raw"),
         (
             _readable(df)
             & (no_amount | F.coalesce(c("_minor") >= 0, F.lit(False)))
@@ -137,11 +135,15 @@ def normalize_attendees(attendees: Column) -> Column:
 
 def normalize_calendar(df: DataFrame, provider: str = vocab.GOOGLE_CALENDAR) -> DataFrame:
     # A start that is there but empty still wins over the original start.
-    times_from = {
-        "_start": F.coalesce(F.col("start"), F.col("originalStartTime")),
-        "_end": F.coalesce(F.col("end"), F.col("originalStartTime")),
-    }
-    df = df.withColumns({n: times.event_time_text(c) for n, c in times_from.items()})
+    original = times.event_time_text(F.col("originalStartTime"))
+    df = df.withColumns(
+        {
+            f"_{name}": F.when(F.col(name).isNull(), original).otherwise(
+                times.event_time_text(F.col(name))
+            )
+            for name in ("start", "end")
+        }
+    )
     start, end, c = times.iso_ts(F.col("_start")), times.iso_ts(F.col("_end")), F.col
     dates = {"start": c("_start"), "end": c("_end"), "created": c("created"), "updated": c("updated")}
     recurring_id = c("recurringEventId")

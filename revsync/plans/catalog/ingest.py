@@ -34,7 +34,7 @@ def _scanned(payloads: DataFrame, schema) -> DataFrame:
     f"lastmodifieddate, {_CRM_TIMES} from {{raw_contacts}}",
 )
 def scan_contacts(t: Inputs) -> DataFrame:
-    landed = _scanned(inputs.contact_payloads(t["raw_contacts"]), schemas.CRM_OBJECT)
+    landed = _scanned(inputs.contact_payloads(t["raw_contacts"]), schemas.CONTACT_OBJECT)
     return landing.named_properties(landed, vocab.CONTACT_PROPERTIES).withColumnsRenamed(
         {"createdAt": "created_at", "updatedAt": "updated_at"}
     )
@@ -46,7 +46,7 @@ def scan_contacts(t: Inputs) -> DataFrame:
     "hs_lastmodifieddate from {raw_deals}",
 )
 def scan_deals(t: Inputs) -> DataFrame:
-    landed = _scanned(inputs.deal_payloads(t["raw_deals"]), schemas.CRM_OBJECT)
+    landed = _scanned(inputs.deal_payloads(t["raw_deals"]), schemas.DEAL_OBJECT)
     return landing.named_properties(landed, vocab.DEAL_PROPERTIES).drop("createdAt", "updatedAt")
 
 

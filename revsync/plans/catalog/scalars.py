@@ -251,10 +251,7 @@ select id, cast(json_object('dealname', dealname, 'dealstage', dealstage, 'amoun
 from {raw_deals}""",
 )
 def raw_json(t: Inputs) -> DataFrame:
-    payloads = inputs.deal_payloads(t["raw_deals"])
-    return payloads.select(
-        "id", text.properties_json(F.col("properties"), F.col("id")).alias("raw")
-    )
+    return common.deals(t).select(F.col("source_id").alias("id"), "raw")
 
 
 @query(

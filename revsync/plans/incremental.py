@@ -137,7 +137,7 @@ def run_incremental(
     everything. A watermark from before `retained_from`, the earliest payloads still
     landed, can no longer be continued: the cursor is dropped and the load is full.
     """
-    spark = session.use_utc(warehouse.spark)
+    spark = session.prepare(warehouse.spark)
     table = warehouse.tables[spec.entity_type]
     cursor = table.cursor(*spec.key)
     mode = choose_mode(cursor, now, max_age)

@@ -243,7 +243,7 @@ class Inputs:
     """The given tables under one folder, and their projections, by name."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = session.use_utc(spark)
+        self.spark = session.prepare(spark)
         self.sf_dir = sf_dir.rstrip("/")
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -279,14 +279,10 @@ def as_ntz(df: DataFrame) -> DataFrame:
 # ---- projections as payloads -----------------------------------------------
 
 
-def _properties(names: list[str]) -> Column:
-    return F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])
-
-
 def contact_payloads(raw: DataFrame) -> DataFrame:
     return raw.select(
         "id",
-        _properties(vocab.CONTACT_PROPERTIES).alias("properties"),
+        F.struct(*vocab.CONTACT_PROPERTIES).alias("properties"),
         times.to_iso(F.col("createdat")).alias("createdAt"),
         times.to_iso(F.col("updatedat")).alias("updatedAt"),
     )
@@ -296,22 +292,22 @@ def deal_payloads(raw: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     return raw.select(
         "id",
-        _properties(vocab.DEAL_PROPERTIES).alias("properties"),
+        F.struct(*vocab.DEAL_PROPERTIES).alias("properties"),
         none.alias("createdAt"),
         none.alias("updatedAt"),
     )
 
 
-def _event_time(ts: str | None, date: str | None, zone: str | None) -> Column:
+def _event_time(ts: str, date: str | None = None, zone: str | None = None) -> Column:
     none = F.lit(None).cast("string")
-    when = times.to_iso(F.col(ts)) if ts else none
-    day = F.date_format(date, "yyyy-MM-dd") if date else none
-    known = when.isNotNull() | day.isNotNull()
+    known = F.col(ts).isNotNull()
+    if date:
+        known = known | F.col(date).isNotNull()
     return F.when(
         known,
         F.struct(
-            when.alias("dateTime"),
-            day.alias("date"),
+            times.to_iso(F.col(ts)).alias("dateTime"),
+            (F.col(date).cast("string") if date else none).alias("date"),
             (F.col(zone) if zone else none).alias("timeZone"),
         ),
     )
@@ -326,8 +322,8 @@ def calendar_payloads(raw: DataFrame) -> DataFrame:
         none.cast("string").alias("location"),
         "status",
         _event_time("start_datetime", "start_date", "timezone").alias("start"),
-        _event_time("end_datetime", None, None).alias("end"),
-        _event_time("original_start", None, None).alias("originalStartTime"),
+        _event_time("end_datetime").alias("end"),
+        _event_time("original_start").alias("originalStartTime"),
         none.cast("struct<email:string>").alias("organizer"),
         none.cast("array<struct<email:string,responseStatus:string>>").alias("attendees"),
         F.col("recurring_event_id").alias("recurringEventId"),

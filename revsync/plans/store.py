@@ -204,7 +204,7 @@ class Table:
         rows.write.mode("overwrite").parquet(path)
         counts = {
             r.outcome: r["rows"]
-            for r in upsert.upsert_summary(self.spark.read.parquet(path)).collect()
+            for r in upsert.upsert_summary(self.changes(version + 1)).collect()
         }
         done = Commit(version + 1, *[counts.get(k, 0) for k in _COUNTED])
         values = {

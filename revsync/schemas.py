@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+from revsync import vocab
+
 _TYPES = {
     "string": T.StringType(),
     "bigint": T.LongType(),
@@ -20,11 +22,18 @@ def struct(**fields: str | T.DataType) -> T.StructType:
     )
 
 
-_STRINGS = T.MapType(T.StringType(), T.StringType())
-
 # ---- landed payloads -------------------------------------------------------
 
-CRM_OBJECT = struct(id="string", properties=_STRINGS, createdAt="string", updatedAt="string")
+
+def _crm_object(properties: list[str]) -> T.StructType:
+    """A CRM object with the properties asked for. Naming them, where a map would take any,
+    lets a scan read only those that a query uses."""
+    named = struct(**{p: "string" for p in properties})
+    return struct(id="string", properties=named, createdAt="string", updatedAt="string")
+
+
+CONTACT_OBJECT = _crm_object(vocab.CONTACT_PROPERTIES)
+DEAL_OBJECT = _crm_object(vocab.DEAL_PROPERTIES)
 
 _EVENT_TIME = struct(dateTime="string", date="string", timeZone="string")
 CALENDAR_EVENT = struct(

@@ -8,9 +8,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
-def use_utc(spark: SparkSession) -> SparkSession:
-    """Zone-less times are UTC throughout; the session must read them that way."""
+def prepare(spark: SparkSession) -> SparkSession:
+    """Set what this package relies on. Call before building or starting anything."""
+    # Zone-less times are UTC throughout; the session must read them that way.
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # The JVM compiles no method beyond 8000 bytes. A stage whose code is longer runs
+    # many times faster split into single expressions than as one interpreted method.
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 

@@ -81,7 +81,7 @@ def _iso_source(**kw) -> SourceSpec:
 CONTACTS = _iso_source(
     provider=vocab.HUBSPOT,
     entity_type=vocab.CONTACT,
-    payload=schemas.CRM_OBJECT,
+    payload=schemas.CONTACT_OBJECT,
     table=schemas.CONTACTS,
     normalize=normalize.normalize_contacts,
     rules=validate.contact_rules,
@@ -90,7 +90,7 @@ CONTACTS = _iso_source(
 DEALS = _iso_source(
     provider=vocab.HUBSPOT,
     entity_type=vocab.DEAL,
-    payload=schemas.CRM_OBJECT,
+    payload=schemas.DEAL_OBJECT,
     table=schemas.DEALS,
     normalize=normalize.normalize_deals,
     rules=validate.deal_rules,

@@ -8,6 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from revsync import session
 from revsync.plans.incremental import load_rows
 from revsync.plans.warehouse import Warehouse
 from revsync.sources.registry import SourceSpec
@@ -33,6 +34,8 @@ def stream_incremental(
     A batch replayed after a crash carries the same id and is found committed.
     """
 
+    session.prepare(warehouse.spark)
+
     def load(batch: DataFrame, batch_no: int) -> None:
         batch_id = f"{name}:{batch_no}"
         load_rows(warehouse, spec, batch, batch_id, now(), batch_id=batch_id, policy=policy)

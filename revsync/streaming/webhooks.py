@@ -61,7 +61,7 @@ class WebhookProcessor:
         name: str = "webhooks",
         now: Callable[[], datetime] = utc_now,
     ):
-        session.use_utc(warehouse.spark)
+        session.prepare(warehouse.spark)
         self.warehouse = warehouse
         self.registry = registry
         self.objects = objects
