@@ -147,8 +147,7 @@ def max_watermark(
     landed: DataFrame, modified: Column, keys: list[str], prior: DataFrame | None = None
 ) -> DataFrame:
     """The new watermark per source: the latest modification seen, never behind the prior one."""
-    seen = landed.groupBy(*keys).agg(F.max(modified).alias("watermark"))
-    if prior is None:
-        return seen
-    both = seen.join(prior.select(*keys, F.col("watermark").alias("_prior")), keys, "full")
-    return both.select(*keys, F.greatest("watermark", "_prior").alias("watermark"))
+    seen = landed.select(*keys, modified.alias("watermark"))
+    if prior is not None:
+        seen = seen.unionByName(prior.select(*keys, "watermark"))
+    return seen.groupBy(*keys).agg(F.max("watermark").alias("watermark"))

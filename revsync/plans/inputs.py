@@ -60,8 +60,9 @@ select concat('pi_', cast(event_id as string)) as id,
   case when event_id % 13 = 0 then null when event_id % 17 = 0 then cast(-5 as bigint)
     else cast(floor(value * 100 + 0.5) as bigint) end as amount,
   case when event_id % 11 = 0 then 'us' when event_id % 19 = 0 then '' else 'usd' end as currency,
-  'succeeded' as status, cast(user_id as string) as customer,
-  date_trunc('second', ts) as occurred_at
+  case event_type when 'purchase' then 'succeeded' when 'signup' then 'processing'
+    else event_type end as status,
+  cast(user_id as string) as customer, date_trunc('second', ts) as occurred_at
 from {events}""",
     "raw_contacts": """
 select cast(c_custkey as string) as id,

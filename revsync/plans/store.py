@@ -5,9 +5,10 @@ delta, the cursor and the batch. Readers go by commit rows only, so data and cur
 appear together or not at all, and a job that dies half-way leaves nothing visible.
 The commit row is written by Spark's own job commit: one file, renamed into place.
 
-A load costs what its batch costs: the big base is never rewritten by it. `compact`
-folds the deltas into a new base now and then. One writer per table at a time; a second
-one finds its version taken and fails.
+A load costs what its batch costs: the big base is never rewritten by it. After some
+loads their deltas are folded into one, which costs what those deltas hold; `compact`
+makes a new base of everything, for when the deltas have grown large beside the base.
+One writer per table at a time; a second one finds its version taken and fails.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from revsync import session, vocab
+from revsync.functions import times
 from revsync.operators import upsert
 from revsync.schemas import COMMIT
 
@@ -57,6 +59,7 @@ class Table:
 
     `month_of` names the time column by whose month the base is laid out, so that a
     date range reads only its months; within files rows are sorted by that column.
+    `fold_after` is how many deltas may pile up before they are folded into one.
     """
 
     def __init__(
@@ -67,6 +70,7 @@ class Table:
         keys: list[str] | None = None,
         updated: str = "source_updated_at",
         month_of: str | None = None,
+        fold_after: int = 32,
     ):
         self.spark = spark
         self.root = root.rstrip("/")
@@ -74,6 +78,7 @@ class Table:
         self.keys = keys or upsert.KEY
         self.updated = updated
         self.month_of = month_of
+        self.fold_after = fold_after
 
     # ---- commit rows -------------------------------------------------------
 
@@ -87,18 +92,24 @@ class Table:
             return session.empty(self.spark, _VERSIONED)
 
     def _versions(self, upto: int | None = None) -> tuple[int, int, list[int]]:
-        """Newest version, newest base (0 for none) and the deltas since that base."""
+        """Newest version, newest base (0 for none) and the deltas to lay over that base."""
         rows = self.commits().select("kind", "version").collect()
         seen = [(r.kind, r.version) for r in rows if upto is None or r.version <= upto]
         base = max((v for kind, v in seen if kind == "base"), default=0)
-        deltas = sorted(v for kind, v in seen if kind == "delta" and v > base)
+        folded = max((v for kind, v in seen if kind == "fold" and v > base), default=base)
+        deltas = sorted(v for kind, v in seen if kind == "delta" and v > folded)
+        if folded > base:
+            deltas = [folded, *deltas]
         return max((v for _, v in seen), default=0), base, deltas
 
     def _commit(self, version: int, values: dict[str, Any]) -> None:
-        row = [values.get(name) for name in COMMIT.names]
-        self.spark.createDataFrame([row], COMMIT).coalesce(1).write.mode("error").json(
-            f"{self.root}/commits/version={version}"
-        )
+        def cell(f: T.StructField) -> Column:
+            v = values.get(f.name)
+            c = times.at(v) if isinstance(v, datetime) else F.lit(v)
+            return c.cast(f.dataType).alias(f.name)
+
+        row = self.spark.range(0, 1, 1, 1).select(*[cell(f) for f in COMMIT.fields])
+        row.write.mode("error").json(f"{self.root}/commits/version={version}")
 
     def cursor(self, provider: str, entity_type: str) -> Cursor | None:
         """The cursor of a source as of its last commit; None if there is none or it was cleared."""
@@ -224,6 +235,8 @@ class Table:
                 expires_at=cursor.expires_at,
             )
         self._commit(version + 1, values)
+        if len(self._versions()[2]) > self.fold_after:
+            self.fold(now)
         return done
 
     def changes(self, version: int) -> DataFrame:
@@ -231,6 +244,14 @@ class Table:
         schema = T.StructType([*self.schema.fields, T.StructField("outcome", T.StringType())])
         return self.spark.read.schema(schema).parquet(f"{self.root}/deltas/version={version}")
 
+    def fold(self, now: datetime) -> int:
+        """Make one delta of all since the base; the base itself stays as it is."""
+        version, _, deltas = self._versions()
+        path = f"{self.root}/deltas/version={version + 1}"
+        self._delta(deltas).hint("rebalance").write.mode("overwrite").parquet(path)
+        self._commit(version + 1, {"kind": "fold", "committed_at": now})
+        return version + 1
+
     def compact(self, now: datetime) -> int:
         """Fold all deltas into a new base. Even sizes come from a rebalance, which splits
         a month that is too big for one file and gathers those that are too small."""

@@ -126,7 +126,9 @@ class WebhookProcessor:
         for spec, write in writes:
             self._upsert(spec, write(ran), batch_id, now)
         append_failures(w, lookups.unconfigured(ran, self.registry))
-        w.webhook_events.commit(ops.ledger_rows(states, ORDER), now, batch_id=batch_id)
+        ledger = ops.ledger_rows(states, ORDER)
+        if not ledger.isEmpty():
+            w.webhook_events.commit(ledger, now, batch_id=batch_id)
         return states
 
     # ---- parts: each gives the deliveries' verdicts, and the rows to write for those that ran
@@ -190,6 +192,8 @@ class WebhookProcessor:
         return _verdict(rows, F.lit(error is None), F.lit(error)), None
 
     def _upsert(self, spec: SourceSpec, rows: DataFrame, batch_id: str, now: datetime) -> None:
+        if rows.isEmpty():
+            return
         table = self.warehouse.tables[spec.entity_type]
         order = ["arrival_seq"] if "arrival_seq" in rows.columns else None
         commit = table.commit(

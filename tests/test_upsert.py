@@ -132,6 +132,21 @@ def test_compaction_keeps_rows_and_prunes_months(spark, root):
     assert t.read().where("source_id = 'k3'").first().amount_minor == 34
 
 
+def test_deltas_are_folded_when_they_pile_up(spark, root):
+    t = table(spark, root, fold_after=2)
+    t.commit(frame(spark, ("a", 0, T1), ("z", 0, T1)), NOW)
+    t.compact(NOW)
+    for n in range(1, 6):
+        t.commit(frame(spark, ("a", n, T1), (f"k{n}", n, T1)), NOW)
+    assert [r.kind for r in t.commits().orderBy("version").collect()].count("fold") == 2
+    assert len(t._versions()[2]) <= 2
+    want = [("a", 5), *[(f"k{n}", n) for n in range(1, 6)], ("z", 0)]
+    assert rows(t.read(), "source_id", "amount_minor") == want
+    # Earlier versions can still be read as they were.
+    assert rows(t.read(version=3), "source_id", "amount_minor") == [("a", 1), ("k1", 1), ("z", 0)]
+    assert t.commit(frame(spark, ("a", 9, T1)), NOW).unchanged == 1
+
+
 def test_batch_order_and_hot_key(spark):
     """A third of a batch is one key: the last to arrive is written, whole and once."""
     data = spark.range(9000).selectExpr(
