@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from revsync import vocab
 from revsync.functions import outcomes
@@ -18,20 +18,49 @@ def with_outcome(jobs: DataFrame) -> DataFrame:
     )
 
 
-def _when(prefix: str = "") -> str:
-    return f"struct({prefix}started_at, {prefix}id)"
+def _position() -> Column:
+    """When a run started; its id settles ties."""
+    return F.struct("started_at", "id")
+
+
+def _succeeded() -> Column:
+    return F.col("outcome") == vocab.SUCCESS
+
+
+def _per_source(rows: DataFrame) -> DataFrame:
+    """Marks of each source, sent to the runs instead of shuffling all runs by source.
+
+    One row per registered source is all they hold, however many runs there are.
+    """
+    return F.broadcast(rows)
+
+
+def _runs_at_marks(jobs: DataFrame) -> DataFrame:
+    """The runs that started last, and last with success, at each source: a few per source.
+
+    Plain times aggregate by hashing; ordering runs by more than their time would sort
+    the whole table for these few.
+    """
+    marks = jobs.groupBy(*SOURCE).agg(
+        F.max("started_at").alias("_at"),
+        F.max(F.when(_succeeded(), F.col("started_at"))).alias("_ok_at"),
+    )
+    started = F.col("started_at")
+    return jobs.join(_per_source(marks), SOURCE).where(
+        (started == F.col("_at")) | (_succeeded() & (started == F.col("_ok_at")))
+    )
 
 
 def sync_status(jobs: DataFrame) -> DataFrame:
-    """The latest run of every source. Aggregates, not windows: one row per source and task."""
-    ok = F.col("outcome") == vocab.SUCCESS
-    at = F.expr(_when())
+    """The latest run of every source, and when it last succeeded."""
     last = F.struct("outcome", "mode", "started_at", "finished_at", "records_upserted")
+    succeeded_at = F.when(_succeeded(), _position())
     return (
-        jobs.groupBy(*SOURCE)
+        _runs_at_marks(jobs)
+        .groupBy(*SOURCE)
         .agg(
-            F.max_by(last, at).alias("_last"),
-            F.max_by("finished_at", F.when(ok, at)).alias("last_successful_sync_at"),
+            F.max_by(last, _position()).alias("_last"),
+            F.max_by("finished_at", succeeded_at).alias("last_successful_sync_at"),
         )
         .select(
             *SOURCE,
@@ -46,18 +75,15 @@ def sync_status(jobs: DataFrame) -> DataFrame:
 
 
 def consecutive_failures(jobs: DataFrame) -> DataFrame:
-    """Runs since the last success, partial failures included.
-
-    The last success per source is a handful of rows; Spark broadcasts it back to the
-    runs, which are then counted where they are.
-    """
-    at = F.expr(_when())
-    last_ok = jobs.groupBy(*SOURCE).agg(
-        F.max(F.when(F.col("outcome") == vocab.SUCCESS, at)).alias("_last_ok")
+    """Runs since the last success, partial failures included."""
+    last_ok = (
+        _runs_at_marks(jobs)
+        .groupBy(*SOURCE)
+        .agg(F.max(F.when(_succeeded(), _position())).alias("_last_ok"))
     )
-    since = F.col("_last_ok").isNull() | (at > F.col("_last_ok"))
+    since = F.col("_last_ok").isNull() | (_position() > F.col("_last_ok"))
     return (
-        jobs.join(last_ok, SOURCE)
+        jobs.join(_per_source(last_ok), SOURCE)
         .groupBy(*SOURCE)
         .agg(F.count(F.when(since, 1)).alias("consecutive_failure_count"))
     )

@@ -152,3 +152,24 @@ def test_views(w, landed, spark):
     got = spark.sql("select canonical_status, sum(amount_minor) from canonical_payments group by 1")
     assert rows(got) == [("collected", 100)]
     assert spark.sql("select outcome from job_history").first()[0] == vocab.SUCCESS
+
+
+def test_revenue_reads_its_months_and_columns_only(spark, w, landed):
+    from revsync.operators import revenue
+
+    day = 86400
+    run(w, landed(*[intent(f"p{i}", 1767225600 + i * day) for i in range(120)]), "j1")
+    w.tables["payment"].compact(NOW)
+    start, end = at("2026-02-10"), at("2026-03-10")
+    df = revenue.revenue(w.tables["payment"].read(start, end), start, end, "month")
+    assert rows(df, "bucket_start", "amount_minor", "payment_count") == [
+        (at("2026-02-01"), 1900, 19), (at("2026-03-01"), 900, 9),
+    ]
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    df = revenue.revenue(w.tables["payment"].read(start, end), start, end, "month")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThanOrEqual(occurred_at,2026-02-10" in plan
+    assert "EqualTo(canonical_status,collected)" in plan
+    assert "(month#" in plan.split("PartitionFilters:")[-1]
+    assert "raw" not in plan.split("ReadSchema:")[-1]
