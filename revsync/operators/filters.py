@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -14,7 +14,7 @@ def date_range(
     start: datetime | None = None, end: datetime | None = None, now: datetime | None = None
 ) -> tuple[datetime, datetime]:
     """A checked half-open range: the end is now and the start 30 days earlier unless given."""
-    end = end or now or datetime.utcnow()
+    end = end or now or datetime.now(timezone.utc).replace(tzinfo=None)
     start = start or end - timedelta(days=vocab.DEFAULT_RANGE_DAYS)
     if not (isinstance(start, datetime) and isinstance(end, datetime)):
         raise ValueError("a date range needs two times")

@@ -12,7 +12,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from revsync import vocab
-from revsync.functions import money, outcomes, text, times
+from revsync.functions import outcomes, text, times
 
 _ISSUES = "array<struct<field:string,message:string>>"
 
