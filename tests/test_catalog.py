@@ -8,10 +8,11 @@ import check
 import pytest
 
 import __spark_entry__ as entry
+from revsync.plans import catalog
 
 SF_DIR = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.abspath(entry.__file__))
-NAMES = sorted(entry.queries())
+NAMES = sorted(catalog.queries())
 needs_data = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test data")
 
 
@@ -21,7 +22,7 @@ def con():
 
 
 def test_every_query_has_a_check():
-    assert set(entry.oracle_sql()) == set(NAMES)
+    assert set(catalog.checks()) == set(NAMES)
 
 
 @needs_data
