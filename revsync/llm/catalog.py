@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from revsync.llm import language_bits, mixing, token_counts
+from revsync.llm import language_bits, mixing, pii_crf, token_counts
 from revsync.llm.common import table
 
 BPE = "byte_bpe_50k.json"
@@ -20,6 +20,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, public_tokenizers.path(BPE), public_tokenizers.PATTERN)
 
 
+def op7_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, by patterns and by a field trained on their finds."""
+    docs = table(spark, sf_dir, "documents")
+    return pii_crf.detect(docs, pii_crf.train(docs, "doc_id", "text"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of the sources by weight takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS)
@@ -35,7 +41,7 @@ def op10_language_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_token_counts, op9_mix_sources, op10_language_bits)
+    f.__name__: f for f in (op3_token_counts, op7_pii_crf, op9_mix_sources, op10_language_bits)
 }
 
 #: SQL that must give the same rows.
