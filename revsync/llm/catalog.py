@@ -7,13 +7,24 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from revsync.llm import language_bits, mixing, pii_crf, token_counts
+from revsync.llm import decontaminate, language_bits, licenses, mixing, pii_crf, token_counts
 from revsync.llm.common import table
 
 BPE = "byte_bpe_50k.json"
 WEIGHTS = [5, 2, 1]
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License statements in every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in a benchmark item's window of ten words."""
+    docs, items = (table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return decontaminate.contamination(docs, items).drop("n_near")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by a byte-level BPE, and which documents have over 512."""
     docs = table(spark, sf_dir, "documents")
@@ -41,11 +52,37 @@ def op10_language_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_token_counts, op7_pii_crf, op9_mix_sources, op10_language_bits)
+    f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_token_counts, op7_pii_crf, op9_mix_sources, op10_language_bits)
 }
 
 #: SQL that must give the same rows.
 ORACLES: dict[str, str] = {
+    "op2_decontaminate": r"""
+with d as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+i as (
+  select item_id::varchar as item, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+iw as (select item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as s from i where len(w) > 0),
+win as (select distinct item, least(len(w), 10) as n, array_to_string(w[s:s + 9], ' ') as p from iw),
+ns as (select distinct n from win),
+dw as (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as s from d, ns),
+dp as (select doc_id, s, n, array_to_string(w[s:s + n - 1], ' ') as p from dw),
+hit as (select distinct dp.doc_id, dp.s, dp.n, win.item from dp join win on dp.p = win.p and dp.n = win.n),
+cov as (
+  select doc_id, count(distinct pos) as n_hit
+  from (select doc_id, unnest(range(s, s + n)) as pos from hit) group by doc_id),
+its as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+  from (select distinct doc_id, item from hit) group by doc_id)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
+  coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 as contaminated
+from d left join cov on d.doc_id = cov.doc_id left join its on d.doc_id = its.doc_id
+""",
     "op9_mix_sources": r"""
 with d as (
   select doc_id, source, md5(concat_ws(':', 'mix', doc_id::varchar)) as key,

@@ -72,3 +72,11 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
 
 def _mark(e: DataFrame):
     return e.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, to be broadcast if it has at most `rows` rows; beyond that a join shuffles it.
+
+    `df` should be staged, since it is counted here.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
