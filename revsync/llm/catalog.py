@@ -7,11 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from revsync.llm import decontaminate, language_bits, licenses, mixing, pii_crf, token_counts
+from revsync.llm import decontaminate, language_bits, licenses, mixing, pii_crf, token_counts, url_filter
 from revsync.llm.common import table
 
 BPE = "byte_bpe_50k.json"
 WEIGHTS = [5, 2, 1]
+URL_RULES = [
+    url_filter.UrlRule("allow", "org", "/"),
+    url_filter.UrlRule("block", "example.org", "/es/"),
+    url_filter.UrlRule("block", "example.org", "/en/1"),
+    url_filter.UrlRule("allow", "com", "/fr/"),
+    url_filter.UrlRule("block", "com", "/de/"),
+]
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +44,11 @@ def op7_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_crf.detect(docs, pii_crf.train(docs, "doc_id", "text"))
 
 
+def op8_url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page by the longest rule, or by its aliases."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of the sources by weight takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS)
@@ -52,7 +64,7 @@ def op10_language_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_token_counts, op7_pii_crf, op9_mix_sources, op10_language_bits)
+    f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_token_counts, op7_pii_crf, op8_url_redirects, op9_mix_sources, op10_language_bits)
 }
 
 #: SQL that must give the same rows.
@@ -82,6 +94,56 @@ select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hi
   coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256,
   coalesce(n_hit, 0) > 0 as contaminated
 from d left join cov on d.doc_id = cov.doc_id left join its on d.doc_id = its.doc_id
+""",
+    "op8_url_redirects": r"""
+with recursive rules(verdict, h, p) as (
+  values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+    ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+page as (
+  select page_id, url, html, coalesce(url, '') as u from pages),
+target as (
+  select url as a, regexp_extract(regexp_extract(html,
+    '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''>\s]+)', 1) as t
+  from pages where url is not null
+  union all
+  select url, regexp_extract(regexp_extract(html,
+    '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''>\s]+)', 1)
+  from pages where url is not null),
+base as (
+  select a, t, regexp_extract(a, '(?s)^(.*?://[^/?#]*)([^?#]*)', 1) as site,
+    regexp_replace(regexp_extract(a, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '[^/]*$', '') as folder
+  from target where t <> ''),
+link as (
+  select a, case when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') then t
+    when starts_with(t, '//') then 'http:' || t when starts_with(t, '/') then site || t
+    else site || case when folder = '' then '/' else folder end || t end as b from base),
+urls as (select distinct u from (select u from page union all select a from link union all select b from link)),
+part as (
+  select u, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path,
+    split_part(case when regexp_matches(u, '(?s)^.*?://[^?#]*\?')
+      then regexp_extract(u, '(?s)^.*?://[^?#]*\?([^#]*)', 1) else '' end, '#', 1) as q from urls),
+kept as (
+  select *, array_to_string([x for x in string_split(q, '&')
+    if x <> '' and not regexp_full_match(x, '(utm_[^=]*|ref|fbclid|gclid|mc_[^=]*)(=.*)?')], '&') as k from part),
+best as (
+  select u, host, path,
+    case when host <> '' then host || case when path = '' then '/' else path end
+      || case when k = '' then '' else '?' || k end end as key,
+    (select arg_max(struct_pack(rule := r.h || r.p, verdict := r.verdict), length(r.h || r.p)) from rules r
+      where (host = r.h or ends_with(host, '.' || r.h)) and starts_with(path, r.p)) as m from kept),
+edge as (
+  select distinct x.key as a, y.key as b from link join best x on link.a = x.u join best y on link.b = y.u
+  where x.key is not null and y.key is not null),
+pairs as (select a, b from edge union select b, a from edge),
+reach(a, b) as (select a, a from pairs union select reach.a, pairs.b from reach join pairs on reach.b = pairs.a),
+aliased as (
+  select reach.a, bool_or(m.verdict = 'allow') as allowed, bool_or(m.verdict = 'block') as blocked
+  from reach join best on reach.b = best.key group by reach.a)
+select page_id, host, path, m.rule as rule,
+  coalesce(m.verdict, case when blocked and not coalesce(allowed, false) then 'block' end, 'allow') as verdict
+from page join best on page.u = best.u left join aliased on best.key = aliased.a
 """,
     "op9_mix_sources": r"""
 with d as (
