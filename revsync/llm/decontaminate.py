@@ -18,7 +18,7 @@ from revsync.llm.common import small, stage, words
 
 WINDOW = 10
 #: Words of a window, the rarest ones, whose postings are intersected.
-RAREST = 3
+RAREST = 2
 #: Rows of benchmark tables that are broadcast at most; larger ones are shuffled instead.
 BROADCAST_ROWS = 200_000
 
@@ -48,53 +48,55 @@ def index(docs: DataFrame, doc_id: str, text: str, terms: DataFrame) -> DataFram
 
 
 def anchors(places: DataFrame, counts: DataFrame, rarest: int) -> DataFrame:
-    """`win`, `term`, `off`, `bit`: each window's rarest words; `all`: its bits together.
+    """`win`, `term`, `off`, `bit`: the rarest words of each window, a bit for each.
 
     `places` has a row per window and word, so a window is a group of `WINDOW` rows at most.
     """
-    ranked = (
+    return (
         places.join(counts, "term")  # a word that is nowhere ends its window's search
         .groupBy("win", "width")
         .agg(F.sort_array(F.collect_list(F.struct("n", "off", "term"))).alias("t"))
         .where(F.size("t") == F.col("width"))
-        .select("win", "width", F.posexplode(F.slice("t", 1, rarest)).alias("rank", "t"))
+        .select("win", F.posexplode(F.slice("t", 1, rarest)).alias("rank", "t"))
+        .select("win", "t.term", "t.off", F.expr("shiftleft(1L, rank)").alias("bit"))
     )
-    return ranked.select(
-        "win", "width", F.col("t.term").alias("term"), F.col("t.off").alias("off"),
-        F.expr("shiftleft(1, rank)").alias("bit"),
-        F.expr(f"shiftleft(1, least(width, {rarest})) - 1").alias("all"),
-    )
 
 
-def meet(postings: DataFrame, anchored: DataFrame, slop: int) -> DataFrame:
-    """(row, win, width, start, exact): where a window's rarest words meet in one start, and
-    once per stretch of `slop` + 1 starts where they meet in that only."""
-    near = (
+def meet(postings: DataFrame, anchored: DataFrame, widths: DataFrame, rarest: int, slop: int) -> DataFrame:
+    """(row, win, width, starts, first): per stretch of `slop` + 1 starts in which all of a
+    window's rarest words meet, the single starts in which they do; none for a proximity match.
+
+    A start's bits have a byte of their own in one number, so both come from one aggregate.
+    """
+    span = slop + 1
+    start = F.col("pos") - F.col("off")
+    met = (
         postings.join(small(anchored, BROADCAST_ROWS), "term")
-        .select("row", "win", "width", (F.col("pos") - F.col("off")).alias("start"), "bit", "all")
-        .groupBy("row", "win", "width", "all", "start")
-        .agg(F.bit_or("bit").alias("bits"))
-    )
-    exact = (F.col("bits") == F.col("all")) & (F.col("start") >= 0)
-    if not slop:
-        return near.where(exact).select("row", "win", "width", "start", F.lit(True).alias("exact"))
-    stretch = F.floor(F.col("start") / (slop + 1))
-    return (
-        near.groupBy("row", "win", "width", "all", stretch.alias("stretch"))
-        .agg(
-            F.bit_or("bits").alias("bits"),
-            F.collect_set(F.when(exact, F.col("start"))).alias("starts"),
-            F.min("start").alias("first"),
-        )
-        .where(F.col("bits") == F.col("all"))
         .select(
-            "row", "win", "width",
-            F.explode(F.when(F.size("starts") > 0, F.col("starts")).otherwise(F.array("first"))).alias("start"),
-            (F.size("starts") > 0).alias("exact"),
+            "row", "win", F.floor(start / span).cast("int").alias("stretch"),
+            F.expr(f"shiftleft(bit, cast(8 * pmod(pos - off, {span}) as int))").alias("bits"),
         )
+        .groupBy("row", "win", "stretch").agg(F.bit_or("bits").alias("bits"))
+        .join(small(widths, BROADCAST_ROWS), "win")
+        .withColumn("all", F.expr(f"shiftleft(1L, least(width, {rarest})) - 1"))
+    )
+    byte = [f"(shiftright(bits, {8 * k}) & all)" for k in range(span)]
+    starts = [
+        F.when(F.expr(f"{byte[k]} = all and stretch * {span} + {k} >= 0"), F.expr(f"stretch * {span} + {k}"))
+        for k in range(span)
+    ]
+    return met.where(F.expr(f"({' | '.join(byte)}) = all")).select(
+        "row", "win", "width", F.array_compact(F.array(*starts)).alias("starts"),
+        (F.col("stretch") * span).alias("first"),
     )
 
 
+def _if_small(found: DataFrame) -> DataFrame:
+    """`found`, to be broadcast if its matches and their items are few; else it is shuffled."""
+    n = found.agg(F.sum(F.expr("aggregate(found, 0L, (n, m) -> n + size(m.starts) + size(m.items))")))
+    return F.broadcast(found) if (n.first()[0] or 0) <= BROADCAST_ROWS else found
+
+
 def contamination(
     docs: DataFrame,
     items: DataFrame,
@@ -110,7 +112,7 @@ def contamination(
 
     A word is hit if it stands in an occurrence of a window of any item. `n_near` counts
     proximity matches: stretches of `slop` + 1 starts in which a window's rarest words meet,
-    while the window itself isn't there. Null and empty texts have no words and hit nothing;
+    while the window itself isn't there (at most 8 rarest words, and a slop of 7). Null and empty texts have no words and hit nothing;
     an item without words or text has no window; an item without an id is hit but neither
     counted nor listed. Repeated rows each get the same result; other columns are left out.
     """
@@ -131,28 +133,32 @@ def contamination(
     counts = stage(postings.groupBy("term").agg(F.count("*").alias("n")), "term-counts")
     anchored = stage(anchors(places, counts, rarest), "anchors")
     found = stage(
-        meet(postings, anchored, slop)
+        meet(postings, anchored, win.select("win", F.size("window").alias("width")), rarest, slop)
         .join(small(win.select("win", "items"), BROADCAST_ROWS), "win")
         .groupBy("row")
-        .agg(F.collect_list(F.struct("start", "width", "win", "items", "exact")).alias("found")),
+        .agg(F.collect_list(F.struct("win", "width", "items", "starts")).alias("found")),
         "matches",
     )
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), row_key(doc_id, text).alias("row"))
-    judged = rows.join(found, "row", "left").select(
+    judged = rows.join(_if_small(found), "row", "left").select(
         "doc_id", words(F.col("text")).alias("w"), F.coalesce("found", F.array()).alias("found")
     )
+    placed = F.flatten(
+        F.transform("found", lambda m: F.transform(m["starts"], lambda s: m.withField("start", s)))
+    )
     same = F.filter(
-        "found", lambda m: m["exact"] & (F.xxhash64(F.slice(F.col("w"), m["start"] + 1, m["width"])) == m["win"])
+        placed, lambda m: F.xxhash64(F.slice(F.col("w"), m["start"] + 1, m["width"])) == m["win"]
     )
     covered = F.array_distinct(
         F.flatten(F.transform("hits", lambda m: F.sequence(m["start"], m["start"] + m["width"] - 1)))
     )
     listed = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda m: m["items"]))))
+    there = F.transform("hits", lambda m: m["win"])
+    near = F.size(F.filter("found", lambda m: ~F.array_contains(there, m["win"])))
     return (
         judged.select("doc_id", F.size("w").cast("long").alias("n_words"), "found", same.alias("hits"))
-        .select("doc_id", "n_words", covered.alias("c"), listed.alias("i"),
-                (F.size("found") - F.size("hits")).cast("long").alias("n_near"))
+        .select("doc_id", "n_words", covered.alias("c"), listed.alias("i"), near.cast("long").alias("n_near"))
         .select(
             F.col("doc_id").alias(doc_id), "n_words", F.size("c").cast("long").alias("n_hit"),
             F.size("i").cast("long").alias("n_items"),
