@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from revsync.llm import decontaminate, language_bits, licenses, mixing, pii_crf, token_counts, url_filter
+from revsync.llm import decontaminate, jaccard_join, language_bits, licenses, mixing, pii_crf, token_counts, url_filter
 from revsync.llm.common import table
 
 BPE = "byte_bpe_50k.json"
@@ -38,6 +38,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, public_tokenizers.path(BPE), public_tokenizers.PATTERN)
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by five-word shingles of similarity 0.75 or more."""
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op7_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document, by patterns and by a field trained on their finds."""
     docs = table(spark, sf_dir, "documents")
@@ -64,7 +69,7 @@ def op10_language_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_token_counts, op7_pii_crf, op8_url_redirects, op9_mix_sources, op10_language_bits)
+    f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_token_counts, op4_ngram_jaccard, op7_pii_crf, op8_url_redirects, op9_mix_sources, op10_language_bits)
 }
 
 #: SQL that must give the same rows.
@@ -94,6 +99,27 @@ select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hi
   coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256,
   coalesce(n_hit, 0) > 0 as contaminated
 from d left join cov on d.doc_id = cov.doc_id left join its on d.doc_id = its.doc_id
+""",
+    "op4_ngram_jaccard": r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') as w from documents),
+g as (
+  select distinct doc_id, array_to_string(w[s:s + 4], ' ') as g
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as s from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from g group by doc_id),
+pair as (
+  select x.doc_id as a, y.doc_id as b, count(*) as k
+  from g x join g y on x.g = y.g and x.doc_id <> y.doc_id group by 1, 2),
+link as (
+  select a, b from pair join n x on x.doc_id = a join n y on y.doc_id = b
+  where 100 * k >= 75 * (x.n + y.n - k)),
+reach(a, b) as (
+  select doc_id, doc_id from d union select reach.a, link.b from reach join link on reach.b = link.a)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles,
+  (select min(b) from reach where reach.a = d.doc_id) as component_id
+from d left join n on n.doc_id = d.doc_id
 """,
     "op8_url_redirects": r"""
 with recursive rules(verdict, h, p) as (

@@ -176,13 +176,13 @@ def identify(
     labelled row was there to learn from. Only the text is looked at. Repeated rows and
     null ids give rows like others; of equal languages the first in order wins.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(filters)
+    shared = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.masks))
     names = [doc_id, *(keep or [])]
     rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], F.col(text).alias("t"))
     fields = [T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(names)]
 
     def run(batches):
-        judge = shared.value.judge
+        judge = Filters(*shared.value).judge
         for batch in batches:
             got = [judge(t) for t in batch.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays(

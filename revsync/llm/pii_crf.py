@@ -281,13 +281,14 @@ def detect(
     kind:start:end in code points. A null or empty text has none. Repeated rows and null
     ids give rows like others; other columns are left out.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    shared = docs.sparkSession.sparkContext.broadcast((field.weights, field.pairs))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     counts = [f"n_{k}" for k in KINDS]
 
     def run(batches):
+        field = Field(*shared.value)
         for batch in batches:
-            found = shared.value.spans(batch.column(1).to_pylist())
+            found = field.spans(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -318,13 +319,14 @@ def blank(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def redact(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
     """The rows of `docs` with all that was found in `text` replaced by its kind in brackets."""
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    shared = docs.sparkSession.sparkContext.broadcast((field.weights, field.pairs))
     at = docs.columns.index(text)
 
     def run(batches):
+        field = Field(*shared.value)
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            found = shared.value.spans(texts)
+            found = field.spans(texts)
             new = [blank(t, s) if s else t for t, (_, s) in zip(texts, found)]
             yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
