@@ -6,9 +6,9 @@ each (its prefix). Several orders are used: the rarest-first one finds the candi
 candidate must also share a prefix n-gram under each of the other orders before its sets are
 counted.
 
-Only connected groups are asked for, so a class that many share an n-gram with is compared
-with the group's first class only; pairs whose classes are not connected by then are
-compared after that, every one. A prefix n-gram that may be frequent is dealt out
+Only connected groups are asked for, so a class is compared with its group's first class,
+then with some other one whose component differs; pairs whose classes are not connected by
+then are compared after that, every one. A prefix n-gram that may be frequent is dealt out
 over several groups, whose first classes are then compared.
 
 Sets travel only of classes in some candidate pair. A set's n-grams are 64-bit hashes.
@@ -30,6 +30,8 @@ COUNTERS, CHUNK = 20, 1 << 14
 GROUP = 5_000
 #: Orders that a candidate must pass before its sets are counted, besides the first.
 ORDERS = 2
+#: Times that classes are compared with one other of their n-gram, before all pairs are.
+MERGES = 1
 #: log2 of the bits that say which classes' sets are wanted.
 WANTED_BITS = 25
 #: Words whose hash a worker keeps.
@@ -371,12 +373,25 @@ def join(
     stars = stage(stars.distinct(), "jaccard-stars")
     links = _verified(stars, _sets(docs, text, width, stars), percent)
 
-    # What is not connected by then: every pair of a group whose components differ.
-    found = components(links, "a", "b")
+    tried, found = stars, components(links, "a", "b")
+
+    # Then against some other class of the n-gram, where their components differ.
+    for k in range(MERGES):
+        left = _open(shared, found)
+        other = F.max_by(F.struct("cls", "n", "i", "comp"), F.xxhash64("cls", "gram", F.lit(k)))
+        other = stage(left.groupBy("gram").agg(other.alias("y")), "jaccard-others")
+        pairs = _pairs(left.join(other, "gram").where("comp <> y.comp").select(me.alias("x"), "y"), percent)
+        pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-merges")
+        if pairs.isEmpty():
+            break
+        links = links.unionAll(_verified(pairs, _sets(docs, text, width, pairs), percent))
+        tried, found = tried.unionAll(pairs), components(links, "a", "b")
+
+    # What is not connected by then: every pair of an n-gram whose components differ.
     left = _open(shared, found)
     x, y = (left.select("gram", F.col("comp").alias(f"{s}c"), me.alias(s)) for s in "xy")
     rest = _pairs(x.join(y, "gram").where("xc < yc"), percent)
-    rest = stage(rest.join(stars, ["a", "b"], "left_anti"), "jaccard-rest")
+    rest = stage(rest.join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
     if not rest.isEmpty():
         more = _verified(rest, _sets(docs, text, width, rest), percent)
         if not more.isEmpty():
