@@ -21,6 +21,9 @@ WINDOW = 10
 RAREST = 2
 #: Rows of benchmark tables that are broadcast at most; larger ones are shuffled instead.
 BROADCAST_ROWS = 200_000
+#: Rows with matches are first told from others by this many values of their key, which are
+#: broadcast whatever the number of rows; only texts that pass are shuffled.
+KEY_VALUES = 1 << 18
 
 
 def windows(items: DataFrame, item_id: str, text: str, width: int) -> DataFrame:
@@ -91,12 +94,6 @@ def meet(postings: DataFrame, anchored: DataFrame, widths: DataFrame, rarest: in
     )
 
 
-def _if_small(found: DataFrame) -> DataFrame:
-    """`found`, to be broadcast if its matches and their items are few; else it is shuffled."""
-    n = found.agg(F.sum(F.expr("aggregate(found, 0L, (n, m) -> n + size(m.starts) + size(m.items))")))
-    return F.broadcast(found) if (n.first()[0] or 0) <= BROADCAST_ROWS else found
-
-
 def contamination(
     docs: DataFrame,
     items: DataFrame,
@@ -140,10 +137,11 @@ def contamination(
         "matches",
     )
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), row_key(doc_id, text).alias("row"))
-    judged = rows.join(_if_small(found), "row", "left").select(
-        "doc_id", words(F.col("text")).alias("w"), F.coalesce("found", F.array()).alias("found")
-    )
+    value = F.pmod("row", F.lit(KEY_VALUES)).alias("value")
+    values = stage(found.select(value).distinct(), "match-values")
+    texts = docs.select(row_key(doc_id, text).alias("row"), F.col(text).alias("text"))
+    near_texts = texts.select("*", value).join(F.broadcast(values), "value", "left_semi")
+    judged = near_texts.join(found, "row").select("row", words(F.col("text")).alias("w"), "found")
     placed = F.flatten(
         F.transform("found", lambda m: F.transform(m["starts"], lambda s: m.withField("start", s)))
     )
@@ -156,13 +154,23 @@ def contamination(
     listed = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda m: m["items"]))))
     there = F.transform("hits", lambda m: m["win"])
     near = F.size(F.filter("found", lambda m: ~F.array_contains(there, m["win"])))
-    return (
-        judged.select("doc_id", F.size("w").cast("long").alias("n_words"), "found", same.alias("hits"))
-        .select("doc_id", "n_words", covered.alias("c"), listed.alias("i"), near.cast("long").alias("n_near"))
+    matched = (
+        judged.select("row", "found", same.alias("hits"))
+        .select("row", covered.alias("c"), listed.alias("i"), near.cast("long").alias("n_near"))
         .select(
-            F.col("doc_id").alias(doc_id), "n_words", F.size("c").cast("long").alias("n_hit"),
-            F.size("i").cast("long").alias("n_items"),
-            F.sha2(F.array_join("i", ","), 256).alias("items_sha256"),
-            (F.size("c") > 0).alias("contaminated"), "n_near",
+            "row", F.size("c").cast("long").alias("n_hit"), F.size("i").cast("long").alias("n_items"),
+            F.sha2(F.array_join("i", ","), 256).alias("items_sha256"), "n_near",
         )
+        .dropDuplicates(["row"])
+    )
+    counted = docs.select(
+        F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row"),
+        F.size(words(F.col(text))).cast("long").alias("n_words"),
+    )
+    none = F.lit(0).cast("long")
+    return counted.join(matched, "row", "left").select(
+        F.col("doc_id").alias(doc_id), "n_words", F.coalesce("n_hit", none).alias("n_hit"),
+        F.coalesce("n_items", none).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
+        (F.coalesce("n_hit", none) > 0).alias("contaminated"), F.coalesce("n_near", none).alias("n_near"),
     )
