@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from revsync.llm import decontaminate, jaccard_join, language_bits, licenses, mixing, pii_crf, token_counts, url_filter
+from revsync.llm import cover_tree, decontaminate, jaccard_join, language_bits, licenses, mixing, pii_crf, token_counts, url_filter
 from revsync.llm.common import table
 
 BPE = "byte_bpe_50k.json"
@@ -43,6 +43,11 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op5_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of vectors linked by a cosine of 0.9 or more."""
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document, by patterns and by a field trained on their finds."""
     docs = table(spark, sf_dir, "documents")
@@ -69,7 +74,7 @@ def op10_language_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_token_counts, op4_ngram_jaccard, op7_pii_crf, op8_url_redirects, op9_mix_sources, op10_language_bits)
+    f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_token_counts, op4_ngram_jaccard, op5_cover_tree, op7_pii_crf, op8_url_redirects, op9_mix_sources, op10_language_bits)
 }
 
 #: SQL that must give the same rows.
@@ -120,6 +125,23 @@ reach(a, b) as (
 select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles,
   (select min(b) from reach where reach.a = d.doc_id) as component_id
 from d left join n on n.doc_id = d.doc_id
+""",
+    "op5_cover_tree": r"""
+with recursive v as (
+  select vec_id, embedding::double[] as e, sqrt(list_sum([x * x for x in embedding::double[]])) as n
+  from embeddings
+  where embedding is not null
+    and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0
+    and len([x for x in embedding if x <> 0]) > 0),
+link as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id
+  where len(a.e) = len(b.e) and list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+reach(a, b) as (
+  select vec_id, vec_id from embeddings union select reach.a, link.b from reach join link on reach.b = link.a),
+c as (select a, min(b) as component_id from reach group by a)
+select vec_id, (select count(*) from link where a = vec_id)::bigint as n_links, component_id,
+  vec_id = component_id as kept
+from embeddings join c on c.a = vec_id
 """,
     "op8_url_redirects": r"""
 with recursive rules(verdict, h, p) as (
