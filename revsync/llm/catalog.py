@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from revsync.llm import cover_tree, decontaminate, jaccard_join, language_bits, licenses, mixing, pii_crf, token_counts, url_filter
+from revsync.llm import cover_tree, decontaminate, jaccard_join, language_bits, licenses, mixing, pii_crf, suffix_array, token_counts, url_filter
 from revsync.llm.common import table
 
 BPE = "byte_bpe_50k.json"
@@ -48,6 +48,11 @@ def op5_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 50 bytes that an earlier one has."""
+    return suffix_array.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document, by patterns and by a field trained on their finds."""
     docs = table(spark, sf_dir, "documents")
@@ -74,7 +79,7 @@ def op10_language_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_token_counts, op4_ngram_jaccard, op5_cover_tree, op7_pii_crf, op8_url_redirects, op9_mix_sources, op10_language_bits)
+    f.__name__: f for f in (op1_license_scan, op2_decontaminate, op3_token_counts, op4_ngram_jaccard, op5_cover_tree, op6_suffix_dedup, op7_pii_crf, op8_url_redirects, op9_mix_sources, op10_language_bits)
 }
 
 #: SQL that must give the same rows.
