@@ -11,7 +11,8 @@ then with some other one whose component differs; pairs whose classes are not co
 then are compared after that, every one. A prefix n-gram that may be frequent is dealt out
 over several groups, whose first classes are then compared.
 
-Sets travel only of classes in some candidate pair. A set's n-grams are 64-bit hashes.
+Texts are read three times: for their classes and counts, for prefixes, and for the sets of
+classes that share a prefix n-gram with another. n-grams are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -254,11 +255,10 @@ def _pairs(df: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _wanted(pairs: DataFrame) -> np.ndarray:
-    """A bit for every hash of a class in `pairs`: 2**WANTED_BITS bits, whatever there is."""
+def _wanted(shared: DataFrame) -> np.ndarray:
+    """A bit for every hash of a class in `shared`: 2**WANTED_BITS bits, whatever there is."""
     rows = (
-        pairs.select(F.explode(F.array("a", "b")).alias("c"))
-        .select((F.pmod("c", F.lit(1 << WANTED_BITS)) + 1).alias("h"))  # positions count from 1
+        shared.select((F.pmod("cls", F.lit(1 << WANTED_BITS)) + 1).alias("h"))  # counted from 1
         .groupBy(F.bitmap_bucket_number("h").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
         .collect()
@@ -271,9 +271,21 @@ def _wanted(pairs: DataFrame) -> np.ndarray:
     return bits
 
 
-def _sets(docs: DataFrame, text: str, width: int, pairs: DataFrame) -> DataFrame:
-    """(cls, grams) of the classes in `pairs`, and of the few that share a bit with one."""
-    wanted = docs.sparkSession.sparkContext.broadcast(_wanted(pairs))
+def _packed(grams: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash; two n-grams of a pair meet in these once in 2**48."""
+    return (grams >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(blob) -> np.ndarray:
+    six = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(six), 8), np.uint8)
+    out[:, :6] = six
+    return out.view("<u8").reshape(-1).astype(np.uint64)
+
+
+def _sets(docs: DataFrame, text: str, width: int, shared: DataFrame) -> DataFrame:
+    """(cls, grams) of the classes in `shared`, and of the few that share a bit with one."""
+    wanted = docs.sparkSession.sparkContext.broadcast(_wanted(shared))
 
     def run(batches):
         sets, seen, bits = Sets(width), set(), wanted.value
@@ -287,7 +299,7 @@ def _sets(docs: DataFrame, text: str, width: int, pairs: DataFrame) -> DataFrame
                 if bits[h >> 3] >> (h & 7) & 1:
                     seen.add(key)
                     keys.append(key)
-                    grams.append(s.tobytes())
+                    grams.append(_packed(s))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.int64()), pa.array(grams, pa.binary())], names=["cls", "grams"]
             )
@@ -303,9 +315,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                a = np.frombuffer(x.as_buffer(), np.uint64)
-                b = np.frombuffer(y.as_buffer(), np.uint64)
-                keep.append(_similar(a, b, percent))
+                keep.append(_similar(_unpacked(x.as_buffer()), _unpacked(y.as_buffer()), percent))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(mask)
 
@@ -371,7 +381,8 @@ def join(
         _pairs(across.select(me.alias("x"), "y"), percent)
     )
     stars = stage(stars.distinct(), "jaccard-stars")
-    links = _verified(stars, _sets(docs, text, width, stars), percent)
+    sets = _sets(docs, text, width, shared)
+    links = _verified(stars, sets, percent)
 
     tried, found = stars, components(links, "a", "b")
 
@@ -384,7 +395,7 @@ def join(
         pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-merges")
         if pairs.isEmpty():
             break
-        links = links.unionAll(_verified(pairs, _sets(docs, text, width, pairs), percent))
+        links = links.unionAll(_verified(pairs, sets, percent))
         tried, found = tried.unionAll(pairs), components(links, "a", "b")
 
     # What is not connected by then: every pair of an n-gram whose components differ.
@@ -393,7 +404,7 @@ def join(
     rest = _pairs(x.join(y, "gram").where("xc < yc"), percent)
     rest = stage(rest.join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
     if not rest.isEmpty():
-        more = _verified(rest, _sets(docs, text, width, rest), percent)
+        more = _verified(rest, sets, percent)
         if not more.isEmpty():
             found = components(links.unionAll(more), "a", "b")
 
