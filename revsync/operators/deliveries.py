@@ -7,6 +7,8 @@ itself, and no key's attempts ever have to meet in one task in order.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from revsync import vocab
@@ -117,11 +119,15 @@ def delivery_sequence(deliveries: DataFrame) -> DataFrame:
     )
 
 
-def ledger_rows(states: DataFrame, order: list[str] | None = None) -> DataFrame:
+def ledger_rows(
+    states: DataFrame, order: list[str] | None = None, now: datetime | None = None
+) -> DataFrame:
     """The state a batch leaves each of its keys in: processed if any attempt was, else failed.
 
-    Keys whose attempts were all skipped keep the ledger row they have.
+    Keys whose attempts were all skipped keep the ledger row they have. `now` is when the
+    batch was processed; without it the last attempt's arrival stands for that.
     """
+    processed_at = F.col("_end.received_at") if now is None else times.at(now)
     here = _position(order or ORDER)
     ran = states.where(F.col("outcome") != vocab.DUPLICATE_SKIPPED)
     seen = F.struct("provider", "event_type", "payload", "received_at")
@@ -136,7 +142,7 @@ def ledger_rows(states: DataFrame, order: list[str] | None = None) -> DataFrame:
             "_seen.payload",
             "_seen.received_at",
             F.col("_end.outcome").alias("processing_status"),
-            F.col("_end.received_at").alias("processed_at"),
+            processed_at.alias("processed_at"),
             "_end.error",
         )
     )

@@ -122,9 +122,16 @@ def recent_failures(
 
 
 def duration_histogram(jobs: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Cumulative duration buckets with sum and count, one pass over the runs."""
+    """Cumulative duration buckets with sum and count, one pass over the runs.
+
+    A run's duration is its `duration_seconds`, or else the time from start to finish.
+    """
     keys = keys or [*SOURCE, "mode", "outcome"]
-    d = F.col("duration_seconds")
+    if "duration_seconds" in jobs.columns:
+        d = F.col("duration_seconds")
+    else:
+        micros = [F.unix_micros(F.col(c).cast("timestamp")) for c in ("finished_at", "started_at")]
+        d = (micros[0] - micros[1]) / 1e6
     bounds = [str(b) for b in vocab.DURATION_BUCKETS]
     counts = [F.count(F.when(d <= float(b), 1)).alias(f"le_{b}") for b in bounds]
     wide = jobs.groupBy(*keys).agg(

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import logging
+import time
+import uuid
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
@@ -69,15 +71,25 @@ def load_rows(
     """Normalise, validate and commit landed payloads; returns the commit, fetched and failed.
 
     The payloads are scanned once: the normalised rows go to a staged table split by
-    verdict, and counts, rejects, watermark and upsert all read that.
+    verdict, and counts, rejects, watermark and upsert all read that. Rejects are logged
+    before the commit and changes after it, each as the batch's own, so that a repeated
+    batch leaves them as they are and one that died half-way makes up for them.
     """
+    with session.scratch(warehouse.spark, warehouse.root) as path:
+        return _load(
+            warehouse, spec, landed, job_id, now, cursor_for, batch_id, policy, f"{path}/rows"
+        )
+
+
+def _load(
+    warehouse, spec, landed, job_id, now, cursor_for, batch_id, policy, path
+) -> tuple[Commit, int, int]:
     spark = warehouse.spark
     table = warehouse.tables[spec.entity_type]
     rules = spec.rules()
     rows = normalized(spec, landed, warehouse.mapping)
     rows = normalize.stamp_synced_at(rows, now)
     ok = validate.is_valid(rules)
-    path = session.new_scratch(spark, f"load-{spec.entity_type}")
     staged_rows = rows.select(
         "*",
         ok.alias("is_valid"),
@@ -93,6 +105,10 @@ def load_rows(
         spec.token(F.max("watermark")).alias("token"),
     ).first()
     order = [c for c in ("arrival_seq", "landed_at", "landed_file") if c in staged.columns]
+    log_id = f"{spec.entity_type}:{batch_id or uuid.uuid4().hex}"
+    if seen.failed:
+        rejects = validate.failure_rows(staged.where("not is_valid"), spec.entity_type, job_id, now)
+        append_failures(warehouse, rejects, log_id)
     commit = table.commit(
         staged.where("is_valid"),
         now,
@@ -101,23 +117,17 @@ def load_rows(
         order=[*order, "source_updated_at", "raw"],
         policy=policy,
     )
-    if not commit.repeated:
-        rejects = staged.where("not is_valid")
-        if seen.failed:
-            append_failures(
-                warehouse, validate.failure_rows(rejects, spec.entity_type, job_id, now)
-            )
-        warehouse.audit.append(
-            upsert.audit_rows(table.changes(commit.version), spec.entity_type, job_id, now)
-        )
+    warehouse.audit.append(
+        upsert.audit_rows(table.changes(commit.version), spec.entity_type, job_id, now), log_id
+    )
     return commit, seen.fetched, seen.failed
 
 
-def append_failures(warehouse: Warehouse, rows: DataFrame) -> None:
+def append_failures(warehouse: Warehouse, rows: DataFrame, batch_id: str | None = None) -> None:
     """Failures are logged as well as can be; not being able to never fails a load."""
     try:
         if not rows.isEmpty():
-            warehouse.failures.append(rows)
+            warehouse.failures.append(rows, batch_id)
     except Exception:  # noqa: BLE001
         log.exception("could not write the failure log")
 
@@ -139,6 +149,7 @@ def run_incremental(
     landed, can no longer be continued: the cursor is dropped and the load is full.
     """
     spark = session.prepare(warehouse.spark)
+    began = time.monotonic()
     table = warehouse.tables[spec.entity_type]
     cursor = table.cursor(*spec.key)
     mode = choose_mode(cursor, now, max_age)
@@ -164,19 +175,24 @@ def run_incremental(
         outcome = _outcome(commit.upserted, failed)
         result = RunResult(
             job_id, *spec.key, mode, outcome, fetched, commit.upserted, failed, fell_back,
-            now, now, commit,
+            now, _after(now, began), commit,
         )
     except Exception as e:  # noqa: BLE001 - a failing source must not stop the others
         log.exception("load of %s/%s failed", *spec.key)
         message = str(e).split("\n", 1)[0]
         result = RunResult(
-            job_id, *spec.key, mode, vocab.FAILED, 0, 0, 0, fell_back, now, now, None, message
+            job_id, *spec.key, mode, vocab.FAILED, 0, 0, 0, fell_back, now, _after(now, began), None, message
         )
         append_failures(warehouse, run_failure(spark, result))
     append_job(warehouse, result)
     return result
 
 
+def _after(start: datetime, began: float) -> datetime:
+    """The time now, on the clock that said `start` when the monotonic one said `began`."""
+    return start + timedelta(seconds=time.monotonic() - began)
+
+
 def _later(spark: SparkSession, spec: SourceSpec, a: str, b: str) -> str:
     later = F.greatest(spec.token_time(F.lit(a)), spec.token_time(F.lit(b)))
     return spark.range(1).select(spec.token(later)).first()[0]

@@ -1,18 +1,21 @@
 """Canonical tables on plain Parquet: keyed upserts that commit together with their cursor.
 
-A commit writes the batch's rows (a delta) and then one small commit row that names the
-delta, the cursor and the batch. Readers go by commit rows only, so data and cursor
-appear together or not at all, and a job that dies half-way leaves nothing visible.
-The commit row is written by Spark's own job commit: one file, renamed into place.
-
-A load costs what its batch costs: the big base is never rewritten by it. After some
-loads their deltas are folded into one, which costs what those deltas hold; `compact`
-makes a new base of everything, for when the deltas have grown large beside the base.
-One writer per table at a time; a second one finds its version taken and fails.
+A commit writes the batch's rows (a delta) to a folder of its own and then one small commit
+row that names the delta, the cursor and the batch. Readers go by commit rows only, so data
+and cursor appear together or not at all, and a job that dies half-way leaves nothing
+visible. Commit rows are numbered; who finds a number taken reads the table again, redoes
+its outcomes and takes the next one. Should two writers still get the same number, which a
+store without exclusive renames allows, both rows stand, in the order of their deltas' names.
+
+A load writes what its batch holds and never rewrites the base; to tell new rows from old it
+reads the keys of the table. After some loads their deltas are folded into one, which costs
+what those deltas hold; `compact` makes a new base of everything.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
 from dataclasses import dataclass
 from datetime import datetime
 from typing import Any
@@ -91,18 +94,36 @@ class Table:
                 raise
             return session.empty(self.spark, _VERSIONED)
 
-    def _versions(self, upto: int | None = None) -> tuple[int, int, list[int]]:
-        """Newest version, newest base (0 for none) and the deltas to lay over that base."""
-        rows = self.commits().select("kind", "version").collect()
-        seen = [(r.kind, r.version) for r in rows if upto is None or r.version <= upto]
-        base = max((v for kind, v in seen if kind == "base"), default=0)
-        folded = max((v for kind, v in seen if kind == "fold" and v > base), default=base)
-        deltas = sorted(v for kind, v in seen if kind == "delta" and v > folded)
-        if folded > base:
-            deltas = [folded, *deltas]
-        return max((v for _, v in seen), default=0), base, deltas
+    def _versions(self, upto: int | None = None) -> tuple[int, str | None, list[str]]:
+        """Newest version, the newest base's folder and the deltas to lay over it, in order.
+
+        Only rows since the newest base or fold come to the driver.
+        """
+        rows = self.commits()
+        if upto is not None:
+            rows = rows.where(F.col("version") <= upto)
+        last = F.struct("covers", "version", "data")
+        top = rows.agg(
+            F.max("version").alias("version"),
+            F.max(F.when(F.col("kind") == "base", last)).alias("base"),
+            F.max(F.when(F.col("kind") == "fold", last)).alias("fold"),
+        ).first()
+        covers = top.base.covers if top.base else 0
+        deltas = []
+        if top.fold and top.fold.covers > covers:
+            covers, deltas = top.fold.covers, [top.fold.data]
+        since = rows.where((F.col("kind") == "delta") & (F.col("version") > covers))
+        deltas += [r.data for r in since.select("data").orderBy("data").collect()]
+        return top.version or 0, top.base.data if top.base else None, deltas
+
+    @staticmethod
+    def _name(version: int) -> str:
+        """A folder that no other writer has, in the order of versions."""
+        return f"{version:012d}-{uuid.uuid4().hex}"
 
     def _commit(self, version: int, values: dict[str, Any]) -> None:
+        """Write the commit row of a version; fails if the version is taken."""
+
         def cell(f: T.StructField) -> Column:
             v = values.get(f.name)
             c = times.at(v) if isinstance(v, datetime) else F.lit(v)
@@ -111,6 +132,17 @@ class Table:
         row = self.spark.range(0, 1, 1, 1).select(*[cell(f) for f in COMMIT.fields])
         row.write.mode("error").json(f"{self.root}/commits/version={version}")
 
+    def _commit_next(self, values: dict[str, Any]) -> int:
+        """Write a commit row that depends on no other, under the next free version."""
+        while True:
+            version = self._versions()[0] + 1
+            try:
+                self._commit(version, values)
+                return version
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_ALREADY_EXISTS":
+                    raise
+
     def cursor(self, provider: str, entity_type: str) -> Cursor | None:
         """The cursor of a source as of its last commit; None if there is none or it was cleared."""
         row = (
@@ -126,40 +158,33 @@ class Table:
         return Cursor(provider, entity_type, row.token, row.issued_at, row.expires_at)
 
     def clear_cursor(self, provider: str, entity_type: str, now: datetime) -> None:
-        version = self._versions()[0]
-        self._commit(
-            version + 1,
-            {
-                "kind": "clear",
-                "committed_at": now,
-                "provider": provider,
-                "entity_type": entity_type,
-            },
+        self._commit_next(
+            {"kind": "clear", "committed_at": now, "provider": provider, "entity_type": entity_type}
         )
 
     # ---- rows --------------------------------------------------------------
 
-    def _delta(self, versions: list[int]) -> DataFrame | None:
+    def _delta(self, names: list[str]) -> DataFrame | None:
         """The newest row of each key among some deltas."""
-        if not versions:
+        if not names:
             return None
-        schema = T.StructType([*self.schema.fields, T.StructField("version", T.IntegerType())])
+        schema = T.StructType([*self.schema.fields, T.StructField("data", T.StringType())])
         rows = (
             self.spark.read.schema(schema)
             .option("basePath", f"{self.root}/deltas")
-            .parquet(*[f"{self.root}/deltas/version={v}" for v in versions])
+            .parquet(*[f"{self.root}/deltas/data={x}" for x in names])
         )
-        if len(versions) > 1:  # a single delta holds each key once
-            rows = upsert.last_per_key(rows, self.keys, ["version"])
+        if len(names) > 1:  # a single delta holds each key once
+            rows = upsert.last_per_key(rows, self.keys, ["data"])
         return rows.select(*self.schema.names)
 
-    def _base(self, version: int, start: datetime | None, end: datetime | None) -> DataFrame | None:
-        if not version:
+    def _base(self, name: str | None, start: datetime | None, end: datetime | None) -> DataFrame | None:
+        if name is None:
             return None
         schema = self.schema
         if self.month_of:
             schema = T.StructType([*schema.fields, T.StructField("month", T.StringType())])
-        rows = self.spark.read.schema(schema).parquet(f"{self.root}/bases/version={version}")
+        rows = self.spark.read.schema(schema).parquet(f"{self.root}/bases/data={name}")
         if self.month_of and start is not None:
             rows = rows.where(F.col("month") >= start.strftime("%Y-%m"))
         if self.month_of and end is not None:
@@ -177,8 +202,8 @@ class Table:
         `start` and `end` prune months of the base; rows of the range's first and last
         month outside it still come out, so filter by the exact range as well.
         """
-        _, base_version, deltas = self._versions(version)
-        base = self._base(base_version, start, end)
+        _, base_name, deltas = self._versions(version)
+        base = self._base(base_name, start, end)
         delta = self._delta(deltas)
         if delta is None:
             return base if base is not None else session.empty(self.spark, self.schema)
@@ -196,68 +221,92 @@ class Table:
         order: list[str | Column] | None = None,
         policy: str = "arrival",
     ) -> Commit:
-        """Upsert a batch. Repeating a `batch_id` changes nothing and reports the first time."""
-        if batch_id is not None:
-            done = self.commits().where(F.col("batch_id") == batch_id).first()
-            if done is not None:
-                return Commit(done.version, done.created, done.updated, done.unchanged, True)
-        version = self._versions()[0]
+        """Upsert a batch. Repeating a `batch_id` changes nothing and reports the first time.
+
+        A batch holds each key once, or `order` says which of its rows is the last.
+        """
         if order:
             batch = upsert.last_per_key(batch, self.keys, order)
-        target = self.read()
-        if policy == "newest":
-            batch = upsert.newest_only(batch, target, self.keys, self.updated)
-        rows = upsert.upsert_outcomes(
-            batch.select(*self.schema.names), target, self.keys, self.updated
-        )
-        path = f"{self.root}/deltas/version={version + 1}"
-        # Left over from a run that died before its commit row: never visible, so replaced.
-        rows.write.mode("overwrite").parquet(path)
-        counts = {
-            r.outcome: r["rows"]
-            for r in upsert.upsert_summary(self.changes(version + 1)).collect()
-        }
-        done = Commit(version + 1, *[counts.get(k, 0) for k in _COUNTED])
-        values = {
-            "kind": "delta",
-            "batch_id": batch_id,
-            "committed_at": now,
-            "created": done.created,
-            "updated": done.updated,
-            "unchanged": done.unchanged,
-        }
-        if cursor is not None:
-            values.update(
-                provider=cursor.provider,
-                entity_type=cursor.entity_type,
-                token=cursor.token,
-                issued_at=cursor.issued_at,
-                expires_at=cursor.expires_at,
+        while True:
+            done = self._done(batch_id)
+            if done is not None:
+                return done
+            version, _, _ = self._versions()
+            target, rows = self.read(), batch
+            if policy == "newest":
+                rows = upsert.newest_only(rows, target, self.keys, self.updated)
+            rows = upsert.upsert_outcomes(
+                rows.select(*self.schema.names), target, self.keys, self.updated
             )
-        self._commit(version + 1, values)
+            name = self._name(version + 1)
+            rows.write.parquet(f"{self.root}/deltas/data={name}")
+            changes = self._changes(name)
+            if not order and not changes.groupBy(*self.keys).count().where("count > 1").isEmpty():
+                raise ValueError("a batch without an order must hold each key once")
+            counts = {r.outcome: r["rows"] for r in upsert.upsert_summary(changes).collect()}
+            done = Commit(version + 1, *[counts.get(k, 0) for k in _COUNTED])
+            values = {
+                "kind": "delta",
+                "batch_id": batch_id,
+                "committed_at": now,
+                "created": done.created,
+                "updated": done.updated,
+                "unchanged": done.unchanged,
+                "data": name,
+            }
+            if cursor is not None:
+                values.update(
+                    provider=cursor.provider,
+                    entity_type=cursor.entity_type,
+                    token=cursor.token,
+                    issued_at=cursor.issued_at,
+                    expires_at=cursor.expires_at,
+                )
+            try:
+                self._commit(version + 1, values)
+                break
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_ALREADY_EXISTS":
+                    raise
         if len(self._versions()[2]) > self.fold_after:
             self.fold(now)
         return done
 
+    def _done(self, batch_id: str | None) -> Commit | None:
+        """The commit of a batch, if there has been one."""
+        if batch_id is None:
+            return None
+        r = self.commits().where(F.col("batch_id") == batch_id).orderBy("version").first()
+        return Commit(r.version, r.created, r.updated, r.unchanged, True) if r else None
+
+    def _changes(self, name: str) -> DataFrame:
+        schema = T.StructType([*self.schema.fields, T.StructField("outcome", T.StringType())])
+        return self.spark.read.schema(schema).parquet(f"{self.root}/deltas/data={name}")
+
     def changes(self, version: int) -> DataFrame:
         """The rows of one commit with their `outcome`."""
-        schema = T.StructType([*self.schema.fields, T.StructField("outcome", T.StringType())])
-        return self.spark.read.schema(schema).parquet(f"{self.root}/deltas/version={version}")
+        mine = (F.col("version") == version) & (F.col("kind") == "delta")
+        return self._changes(self.commits().where(mine).orderBy("data").first().data)
 
     def fold(self, now: datetime) -> int:
-        """Make one delta of all since the base; the base itself stays as it is."""
+        """Make one delta of all since the base; the base itself stays as it is.
+
+        It stands in the order of the last version it covers, before any that came since.
+        """
         version, _, deltas = self._versions()
-        path = f"{self.root}/deltas/version={version + 1}"
-        self._delta(deltas).hint("rebalance").write.mode("overwrite").parquet(path)
-        self._commit(version + 1, {"kind": "fold", "committed_at": now})
-        return version + 1
+        name = self._name(version)
+        self._delta(deltas).hint("rebalance").write.parquet(f"{self.root}/deltas/data={name}")
+        return self._commit_next(
+            {"kind": "fold", "committed_at": now, "data": name, "covers": version}
+        )
 
     def compact(self, now: datetime) -> int:
         """Fold all deltas into a new base. Even sizes come from a rebalance, which splits
         a month that is too big for one file and gathers those that are too small."""
         version = self._versions()[0]
-        rows = self.read()
-        path = f"{self.root}/bases/version={version + 1}"
+        rows = self.read(version=version)
+        name = self._name(version + 1)
+        path = f"{self.root}/bases/data={name}"
         if self.month_of:
             t = F.col(self.month_of)
             rows = (
@@ -265,28 +314,34 @@ class Table:
                 .hint("rebalance", "month")
                 .sortWithinPartitions("month", t)
             )
-            rows.write.mode("overwrite").partitionBy("month").parquet(path)
+            rows.write.partitionBy("month").parquet(path)
         else:
-            rows.hint("rebalance").write.mode("overwrite").parquet(path)
-        self._commit(version + 1, {"kind": "base", "committed_at": now})
-        return version + 1
+            rows.hint("rebalance").write.parquet(path)
+        return self._commit_next(
+            {"kind": "base", "committed_at": now, "data": name, "covers": version}
+        )
 
 
 _COUNTED = (vocab.CREATED, vocab.UPDATED, vocab.UNCHANGED)
 
 
 class Log:
-    """An append-only table: runs, failures, audit rows."""
+    """An append-only table: runs, failures, audit rows.
+
+    Every batch has a folder of its own, so writers don't meet, and writing a batch again
+    replaces it.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
         self.spark, self.path, self.schema = spark, path, schema
 
-    def append(self, rows: DataFrame) -> None:
-        rows.select(*self.schema.names).write.mode("append").parquet(self.path)
+    def append(self, rows: DataFrame, batch_id: str | None = None) -> None:
+        batch = re.sub(r"[^A-Za-z0-9.-]", lambda m: f"_{ord(m[0]):x}_", batch_id or uuid.uuid4().hex)
+        rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
     def read(self) -> DataFrame:
         try:
-            return self.spark.read.schema(self.schema).parquet(self.path)
+            return self.spark.read.schema(self.schema).parquet(self.path).select(*self.schema.names)
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise

@@ -196,4 +196,6 @@ COMMIT = struct(
     created="bigint",
     updated="bigint",
     unchanged="bigint",
+    data="string",
+    covers="int",
 )

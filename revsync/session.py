@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -30,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.split("[")[0] == "local":
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     _local_dir = _local_dir or tempfile.mkdtemp(prefix="revsync-")
     return _local_dir
@@ -53,7 +55,27 @@ def stage(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFr
     Parquet rather than checkpoint(), so later readers still prune columns and filters.
     Pass `spark` inside a stream, whose own session runs without adaptive execution.
     """
+    return stage_at(df, new_scratch(spark or df.sparkSession, name), spark)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this package's own intermediate data."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, root: str) -> Iterator[str]:
+    """A folder below `root` for the intermediate data of one job, removed when it ends."""
+    path = f"{root.rstrip('/')}/_scratch/{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        remove(spark, path)
+
+
+def stage_at(df: DataFrame, path: str, spark: SparkSession | None = None) -> DataFrame:
+    """As `stage`, at a path of the caller's."""
     spark = spark or df.sparkSession
-    path = new_scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -7,6 +7,7 @@ between replays the batch: tables that have its id skip it, the others catch up.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -84,9 +85,15 @@ class WebhookProcessor:
             F.monotonically_increasing_id().alias("delivery_id"),
         )
 
-    def process(self, envelopes: DataFrame, batch_id: str) -> DataFrame:
-        """Process one micro-batch; returns every delivery with its outcome."""
+    def process(
+        self, envelopes: DataFrame, batch_id: str, scratch: str | None = None
+    ) -> DataFrame:
+        """Process one micro-batch; returns every delivery with its outcome.
+
+        The outcomes are read from the folder `scratch`, the caller's to remove.
+        """
         w, now = self.warehouse, self.now()
+        self._scratch = scratch or session.new_scratch(w.spark, "webhooks")
         accepted = self._stage(self.accept(envelopes), "deliveries")
         ledger = self._ledger(batch_id)
         fresh = lookups.new_deliveries(accepted, ledger)
@@ -125,8 +132,8 @@ class WebhookProcessor:
         )
         for spec, write in writes:
             self._upsert(spec, write(ran), batch_id, now)
-        append_failures(w, lookups.unconfigured(ran, self.registry))
-        ledger = ops.ledger_rows(states, ORDER)
+        append_failures(w, lookups.unconfigured(ran, self.registry), f"unconfigured:{batch_id}")
+        ledger = ops.ledger_rows(states, ORDER, now)
         if not ledger.isEmpty():
             w.webhook_events.commit(ledger, now, batch_id=batch_id)
         return states
@@ -134,7 +141,8 @@ class WebhookProcessor:
     # ---- parts: each gives the deliveries' verdicts, and the rows to write for those that ran
 
     def _stage(self, df: DataFrame, name: str) -> DataFrame:
-        return session.stage(df, name, self.warehouse.spark)
+        path = f"{self._scratch}/{name}-{uuid.uuid4().hex}"
+        return session.stage_at(df, path, self.warehouse.spark)
 
     def _ledger(self, batch_id: str) -> DataFrame:
         """The ledger as it was before this batch, also when the batch is replayed."""
@@ -199,10 +207,10 @@ class WebhookProcessor:
         commit = table.commit(
             normalize.stamp_synced_at(rows, now), now, batch_id=batch_id, order=order
         )
-        if not commit.repeated:
-            self.warehouse.audit.append(
-                upsert.audit_rows(table.changes(commit.version), spec.entity_type, batch_id, now)
-            )
+        self.warehouse.audit.append(
+            upsert.audit_rows(table.changes(commit.version), spec.entity_type, batch_id, now),
+            f"{spec.entity_type}:{batch_id}",
+        )
 
     # ---- as a stream -------------------------------------------------------
 
@@ -210,7 +218,9 @@ class WebhookProcessor:
         self, envelopes: DataFrame, checkpoint: str, every: str | None = None
     ) -> StreamingQuery:
         def run(batch: DataFrame, batch_no: int) -> None:
-            self.process(batch, f"{self.name}:{batch_no}")
+            w = self.warehouse
+            with session.scratch(w.spark, w.root) as path:
+                self.process(batch, f"{self.name}:{batch_no}", path)
 
         writer = envelopes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
         trigger = {"processingTime": every} if every else {"availableNow": True}

@@ -7,7 +7,7 @@ from helpers import at, rows
 
 from revsync import schemas, session
 from revsync.operators import upsert
-from revsync.plans.store import Cursor, Table
+from revsync.plans.store import Cursor, Log, Table
 
 ROW = schemas.struct(
     provider="string", source_id="string", amount_minor="bigint", source_updated_at="timestamp_ntz"
@@ -85,18 +85,63 @@ def test_job_that_dies_before_its_commit_row_leaves_nothing(spark, root):
     t.commit(frame(spark, ("a", 1, T1)), NOW)
     # The data of version 2 is written, and then the driver is lost.
     upsert.upsert_outcomes(frame(spark, ("a", 7, T2)), t.read()).write.parquet(
-        f"{root}/deltas/version=2"
+        f"{root}/deltas/data={t._name(2)}"
     )
     assert rows(t.read()) == [("stripe", "a", 1, T1)]
     t.commit(frame(spark, ("b", 2, T1)), NOW)
     assert rows(t.read(), "source_id", "amount_minor") == [("a", 1), ("b", 2)]
 
 
-def test_second_writer_of_a_version_fails(spark, root):
-    t = table(spark, root)
+def test_two_writers_at_one_version_both_stand(spark, root, monkeypatch):
+    """The second finds its version taken when all but its commit row is written."""
+    first, second = table(spark, root), table(spark, root)
+    first.commit(frame(spark, ("a", 1, T1)), NOW)
+    commit, tried = second._commit, []
+
+    def late(version, values):
+        if not tried:
+            first.commit(frame(spark, ("a", 2, T2), ("b", 2, T1)), NOW, batch_id="first")
+        tried.append(version)
+        commit(version, values)
+
+    monkeypatch.setattr(second, "_commit", late)
+    done = second.commit(frame(spark, ("b", 3, T2), ("c", 3, T1)), NOW, batch_id="second")
+    assert tried == [2, 3] and (done.version, done.created, done.updated) == (3, 1, 1)
+    assert rows(first.read(), "source_id", "amount_minor") == [("a", 2), ("b", 3), ("c", 3)]
+    assert rows(first.changes(2), "source_id") == [("a",), ("b",)]
+    assert first.commit(frame(spark, ("z", 0, T1)), NOW, batch_id="second").repeated
+
+
+def test_fold_leaves_out_what_came_meanwhile(spark, root, monkeypatch):
+    t, other = table(spark, root), table(spark, root)
     t.commit(frame(spark, ("a", 1, T1)), NOW)
-    with pytest.raises(Exception, match="(?i)already exists"):
-        t._commit(1, {"kind": "delta", "committed_at": NOW})
+    commit, tried = t._commit, []
+
+    def late(version, values):
+        if not tried:
+            other.commit(frame(spark, ("a", 2, T2), ("b", 2, T1)), NOW)
+        tried.append(version)
+        commit(version, values)
+
+    monkeypatch.setattr(t, "_commit", late)
+    t.fold(NOW)
+    assert rows(t.read(), "source_id", "amount_minor") == [("a", 2), ("b", 2)]
+
+
+def test_repeated_keys_without_an_order_are_refused(spark, root):
+    t = table(spark, root)
+    with pytest.raises(ValueError, match="each key once"):
+        t.commit(frame(spark, ("a", 1, T1), ("a", 2, T2)), NOW)
+    assert t.read().count() == 0 and t.commits().count() == 0
+
+
+def test_log_batches_are_written_once(spark, root):
+    log = Log(spark, f"{root}/log", ROW)
+    log.append(frame(spark, ("a", 1, T1)), "x:1")
+    log.append(frame(spark, ("a", 1, T1)), "x:1")
+    log.append(frame(spark, ("b", 1, T1)), "x/1")
+    log.append(frame(spark, ("c", 1, T1)))
+    assert sorted(r.source_id for r in log.read().collect()) == ["a", "b", "c"]
 
 
 def test_repeated_batch_changes_nothing(spark, root):
