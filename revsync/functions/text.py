@@ -61,3 +61,11 @@ def properties_json(names: list[str], source_id: Column) -> Column:
     return F.to_json(
         F.struct(*names, source_id.alias("id")), {"ignoreNullFields": "false"}
     )
+
+
+def landed_properties_json(line: Column, source_id: Column) -> Column:
+    """All properties of a CRM object as it landed, plus its id; null if it has none."""
+    landed = F.from_json(F.get_json_object(line, "$.properties"), "map<string,string>")
+    others = F.map_filter(landed, lambda name, _: name != "id")
+    whole = F.map_concat(others, F.create_map(F.lit("id"), source_id))
+    return F.to_json(whole, {"ignoreNullFields": "false"})

@@ -54,9 +54,16 @@ def _carried(df: DataFrame) -> list[str]:
     return [c for c in known if c in df.columns]
 
 
+def _raw(df: DataFrame, built: Column, landed=lambda line: line) -> Column:
+    """The payload as it landed, or as its named fields tell it where no text has landed."""
+    if "landed_line" in df.columns:
+        built = F.coalesce(landed(F.col("landed_line")), built)
+    return built.alias("raw")
+
+
 def _unpack(df: DataFrame, names: list[str]) -> DataFrame:
     """The named properties as columns."""
-    corrupt = [c for c in ("_corrupt_record",) if c in df.columns]
+    corrupt = [c for c in ("_corrupt_record", "landed_line") if c in df.columns]
     properties = [F.col("properties")[n].alias(n) for n in names]
     return df.select("id", "createdAt", "updatedAt", *properties, *corrupt, *_carried(df))
 
@@ -75,7 +82,10 @@ def normalize_contacts(df: DataFrame, provider: str = vocab.HUBSPOT) -> DataFram
         c("lifecyclestage").alias("lifecycle_stage"),
         times.iso_ts_or(c("createdate"), c("createdAt")).alias("source_created_at"),
         times.iso_ts_or(c("lastmodifieddate"), c("updatedAt")).alias("source_updated_at"),
-        text.properties_json(vocab.CONTACT_PROPERTIES, c("id")).alias("raw"),
+        _raw(
+            df, text.properties_json(vocab.CONTACT_PROPERTIES, c("id")),
+            lambda line: text.landed_properties_json(line, c("id")),
+        ),
         (_readable(df) & _dates_ok(c("createdate"), c("lastmodifieddate"))).alias("normalize_ok"),
         F.coalesce(
             _unreadable(df),
@@ -104,7 +114,10 @@ def normalize_deals(df: DataFrame, provider: str = vocab.HUBSPOT) -> DataFrame:
         F.lit(None).cast("string").alias("primary_contact_source_id"),
         times.iso_ts_or(c("createdate"), c("createdAt")).alias("source_created_at"),
         times.iso_ts_or(c("hs_lastmodifieddate"), c("updatedAt")).alias("source_updated_at"),
-        text.properties_json(vocab.DEAL_PROPERTIES, c("id")).alias("raw"),
+        _raw(
+            df, text.properties_json(vocab.DEAL_PROPERTIES, c("id")),
+            lambda line: text.landed_properties_json(line, c("id")),
+        ),
         (
             _readable(df)
             & (no_amount | F.coalesce(c("_minor") >= 0, F.lit(False)))
@@ -165,7 +178,7 @@ def normalize_calendar(df: DataFrame, provider: str = vocab.GOOGLE_CALENDAR) ->
         recurring_id.alias("recurring_event_source_id"),
         times.iso_ts(c("created")).alias("source_created_at"),
         times.iso_ts(c("updated")).alias("source_updated_at"),
-        text.raw_json(*schemas.CALENDAR_EVENT.names).alias("raw"),
+        _raw(df, text.raw_json(*schemas.CALENDAR_EVENT.names)),
         (_readable(df) & _dates_ok(*dates.values())).alias("normalize_ok"),
         F.coalesce(_unreadable(df), _date_error(**dates)).alias("normalize_error"),
         *_carried(df),
@@ -194,7 +207,7 @@ def normalize_payments(
         "description",
         created.alias("source_created_at"),
         created.alias("source_updated_at"),
-        text.raw_json(*schemas.PAYMENT_INTENT.names).alias("raw"),
+        _raw(df, text.raw_json(*schemas.PAYMENT_INTENT.names)),
         (_readable(df) & money.is_money(F.col("amount"), F.col("currency"))).alias("normalize_ok"),
         F.coalesce(
             _unreadable(df), money.money_error(F.col("amount"), F.col("currency"))

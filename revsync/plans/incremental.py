@@ -163,6 +163,8 @@ def run_incremental(
         scan = landed
         if since is not None:
             scan = filters.watermark_filter(landed, spec.watermark(), times.at(since))
+            if spec.stored_bound:
+                scan = scan.where(spec.stored_bound(since))
 
         def next_cursor(seen: str | None) -> Cursor:
             prior = cursor.token if since is not None else spec.empty_token

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 CORRUPT = "_corrupt_record"
+#: The payload as it landed, fields that no schema names included.
+LINE = "landed_line"
 
 
 def _with_corrupt(schema: T.StructType) -> T.StructType:
@@ -23,12 +25,11 @@ def _arrival(df: DataFrame) -> DataFrame:
 def read_landed(
     spark: SparkSession, path: str | list[str], schema: T.StructType, fmt: str = "json"
 ) -> DataFrame:
-    """A batch scan. Lines that are no JSON come out with `_corrupt_record` filled."""
-    reader = spark.read.format(fmt)
+    """A batch scan. JSON lines keep their text in `landed_line`; lines that are no JSON come
+    out with `_corrupt_record` filled."""
     if fmt == "json":
-        reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
-        return _arrival(reader.schema(_with_corrupt(schema)).load(path))
-    return _arrival(reader.schema(schema).load(path)).withColumn(
+        return _json_lines(spark.read.format("text").load(path), schema)
+    return _arrival(spark.read.format(fmt).schema(schema).load(path)).withColumn(
         CORRUPT, F.lit(None).cast("string")
     )
 
@@ -42,19 +43,23 @@ def stream_landed(
     path_glob: str | None = None,
 ) -> DataFrame:
     """The same scan as a stream over a landing folder."""
-    reader = spark.readStream.format(fmt)
+    reader = spark.readStream.format("text" if fmt == "json" else fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if path_glob:
         reader = reader.option("pathGlobFilter", path_glob)
     if fmt == "json":
-        reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
-        return _arrival(reader.schema(_with_corrupt(schema)).load(path))
+        return _json_lines(reader.load(path), schema)
     return _arrival(reader.schema(schema).load(path)).withColumn(
         CORRUPT, F.lit(None).cast("string")
     )
 
 
+def _json_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    rows = _arrival(lines).where(F.trim("value") != "")
+    return parse_landed(rows.withColumn(LINE, F.col("value")), "value", schema)
+
+
 def parse_landed(df: DataFrame, column: str, schema: T.StructType) -> DataFrame:
     """Payloads that land as JSON text in a column (a queue, a table) instead of in files."""
     parsed = F.from_json(

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import calendar
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -27,6 +29,9 @@ class SourceSpec:
     token_time: Callable[[Column], Column]
     empty_token: str
     needs_status_map: bool = False
+    # The same bound as `watermark() >= since`, on a column as it is stored, so that a scan
+    # can skip what is older.
+    stored_bound: Callable[[datetime], Column] | None = None
 
     @property
     def key(self) -> tuple[str, str]:
@@ -117,6 +122,7 @@ PAYMENTS = SourceSpec(
     token_time=lambda token: times.unix_ts(token.cast("bigint")),
     empty_token="0",
     needs_status_map=True,
+    stored_bound=lambda since: F.col("created") >= calendar.timegm(since.timetuple()),
 )
 
 

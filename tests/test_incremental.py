@@ -173,3 +173,13 @@ def test_revenue_reads_its_months_and_columns_only(spark, w, landed):
     assert "EqualTo(canonical_status,collected)" in plan
     assert "(month#" in plan.split("PartitionFilters:")[-1]
     assert "raw" not in plan.split("ReadSchema:")[-1]
+
+
+def test_payments_bound_reaches_the_scan(spark, root):
+    """An incremental load of stored payloads skips what is older than its watermark."""
+    payload = "id string, created bigint, status string"
+    spark.createDataFrame([("a", 5, "x"), ("b", 1705276800, "x")], payload).write.parquet(root)
+    landed = spark.read.parquet(root).where(registry.PAYMENTS.stored_bound(at("2024-01-15")))
+    plan = landed._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(created,1705276800)" in plan
+    assert [r.id for r in landed.collect()] == ["b"]

@@ -252,3 +252,17 @@ def test_routing_words(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(types)], "i int, v string")
     got = [r[0] for r in df.orderBy("i").select(filters.event_entity(F.col("v"))).collect()]
     assert got == ["payment", None, "contact", "deal", None]
+
+
+def test_landed_fields_outside_the_schema_are_kept(spark, root):
+    """The stored payload is the landed one, whole."""
+    line = '{"id": "pi_1", "created": 5, "status": "paid", "amount": 1, "currency": "usd", "metadata": {"a": [1]}}'
+    spark.createDataFrame([(line,), ("",), ("{broken",)], "value string").write.text(f"{root}/in")
+    landed = landing.read_landed(spark, f"{root}/in", schemas.PAYMENT_INTENT)
+    assert landed.where("id is null").select("_corrupt_record", "landed_line").collect() == [("{broken",) * 2]
+    got = normalize.normalize_payments(landed.where("id is not null"), dims.status_mapping_seed(spark))
+    assert got.first().raw == line
+    contact = {"id": "7", "properties": {"email": "a@b.cd", "custom": "x", "id": "no"}, "createdAt": "2025-01-01T00:00:00Z"}
+    landed = land(spark, f"{root}/contacts", [contact], schemas.CONTACT_OBJECT)
+    raw = normalize.normalize_contacts(landed).first().raw
+    assert json.loads(raw) == {"email": "a@b.cd", "custom": "x", "id": "7"}
