@@ -17,7 +17,7 @@ from revsync.llm.common import stage
 
 SIZE_WORDS = r"[^\x20\x09-\x0D]+"
 #: Rows of a source that share a range of the hash, about; and the ranges a hash can tell apart.
-RANGE_ROWS, FINEST = 20_000, 1 << 24
+RANGE_ROWS, FINEST = 2_000, 1 << 24
 
 
 def n_words(text: Column) -> Column:
