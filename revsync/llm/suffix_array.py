@@ -30,9 +30,11 @@ from pyspark.sql import DataFrame, functions as F
 from revsync.llm.common import stage
 
 #: Bytes of a q-gram, of a string that counts, of text that is hashed at once.
-GRAM, LENGTH, BLOCK = 16, 50, 1 << 22
+GRAM, LENGTH, BLOCK = 16, 50, 1 << 20
 #: Runs that a task holds before it packs them; bytes of text whose runs travel together.
-HELD, PART_BYTES = 2_000_000, 24 << 20
+HELD, PART_BYTES = 400_000, 8 << 20
+#: Rows of a batch that are taken out of it at once.
+ROWS = 256
 #: log2 of the Bloom filter's bits; its hashes.
 BLOOM_BITS, BLOOM_HASHES = 27, 2
 
@@ -214,8 +216,15 @@ def _covers(parts: int, doc, version, lo, hi) -> pa.RecordBatch:
     return _batch(len(doc), part=part, doc=doc, version=version, lo=lo, hi=hi)
 
 
-def _rows(batches):
+def _few(batches):
+    """The batches' rows, some at a time, since texts take more room in Python."""
     for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
+def _rows(batches):
+    for batch in _few(batches):
         for doc, version, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
             yield doc, version, (text or "").encode("utf-8", "surrogatepass")
 
@@ -381,7 +390,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     ).select("id", "text", "lo", "hi")
 
     def remove(batches):
-        for batch in batches:
+        for batch in _few(batches):
             out: list[list] = [[], [], [], [], []]
             for doc, t, lo, hi in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 data = (t or "").encode("utf-8", "surrogatepass")
