@@ -28,7 +28,7 @@ from revsync.llm.common import components, stage
 #: Points of a block, about, and the most pivots.
 BLOCK, PIVOTS = 4_096, 64
 #: The covering radii of the levels within a block; below the last one stand single points.
-RADII = [1.0, 0.5, 0.25, 0.125, 0.0625]
+RADII = [0.5, 0.25, 0.125, 0.0625]
 #: What rounding may add to a distance in single precision.
 SLACK = 1e-3
 #: Nodes of one tree that are compared with another's at once, and pairs at once.
@@ -46,6 +46,23 @@ def _distance(cos):
     return np.sqrt(np.maximum(2 - 2 * cos, 0))
 
 
+def _net(single: np.ndarray, rows: np.ndarray, radius: float):
+    """Centres that cover `rows` within `radius`, the first row that none covers next: each
+    one's rows, itself first, that no earlier one has, and how far they are at most."""
+    x, least = single[rows], 1 - radius * radius / 2
+    alive = np.ones(len(rows), bool)
+    for at in range(0, len(rows), STRIP):
+        ahead = at + np.flatnonzero(alive[at : at + STRIP])
+        cos = x[ahead] @ x.T
+        for k, i in enumerate(ahead):
+            if alive[i]:
+                near = alive & (cos[k] >= least)
+                near[i] = True
+                alive[near] = False
+                own = rows[near]
+                yield own, float(_distance(cos[k][near].min())) + SLACK if len(own) > 1 else 0.0
+
+
 class Tree:
     """A cover tree over points, by levels: `points` of the nodes, `parent` of each among the
     level before, in order, and `reach`, how far its points are at most. The last level has
@@ -60,16 +77,17 @@ class Tree:
         for radius in RADII:
             points, parent, reach, below = [], [], [], []
             for up, rows in enumerate(members):
-                while len(rows):
-                    # The first one left is a centre; it covers what is near of the others.
-                    d = _distance(single[rows] @ single[rows[0]])
-                    near = d <= radius
-                    near[0] = True
+                if len(rows) == 1:
                     points.append(rows[0])
                     parent.append(up)
-                    reach.append(float(d[near].max()) + SLACK if near.sum() > 1 else 0.0)
-                    below.append(rows[near])
-                    rows = rows[~near]
+                    reach.append(0.0)
+                    below.append(rows)
+                    continue
+                for own, far in _net(single, rows, radius):
+                    points.append(own[0])
+                    parent.append(up)
+                    reach.append(far)
+                    below.append(own)
             self._add(points, parent, reach)
             members = below
         sizes = [len(m) for m in members]
