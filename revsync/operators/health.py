@@ -158,9 +158,20 @@ def classified_fetches(fetch_log: DataFrame) -> DataFrame:
     )
 
 
-def fetch_failures(fetch_log: DataFrame) -> DataFrame:
-    """The failed calls, as failure log rows."""
-    failed = classified_fetches(fetch_log).where(F.col("error_code").isNotNull())
+def fetch_failures(fetch_log: DataFrame, max_attempts: int = 5) -> DataFrame:
+    """The calls that ended their run, as failure log rows.
+
+    A call that is tried again is no failure. Nor is one that makes an incremental run (by
+    the log's `mode`, where it has one) start over in full.
+    """
+    rows = classified_fetches(fetch_log)
+    failed = rows.where(
+        F.col("error_code").isNotNull()
+        & ~(F.col("retryable") & (F.col("attempt") < max_attempts))
+    )
+    if "mode" in rows.columns:
+        resync = F.col("requires_full_resync") & F.col("mode").eqNullSafe(vocab.INCREMENTAL)
+        failed = failed.where(~resync)
     return failed.select(
         "provider",
         "entity_type",

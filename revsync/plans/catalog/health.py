@@ -26,7 +26,8 @@ from {fetch_log}"""
 CHECK_VIEWS["failures"] = """
 select provider, entity_type, job_id, error_code, concat(operation, ' failed with status ',
   coalesce(cast(http_status as varchar), 'none')) as message, occurred_at
-from {classified} where error_code is not null"""
+from {classified} where error_code is not null and not (attempt < 5
+  and (http_status is null or http_status = 429 or http_status >= 500))"""
 CHECK_VIEWS["last_runs"] = """
 select provider, entity_type, outcome as last_sync_status, mode as last_sync_mode,
   started_at as last_sync_started_at, finished_at as last_sync_completed_at,

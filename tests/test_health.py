@@ -74,3 +74,28 @@ def test_failures_keep_without_their_job(spark):
     )
     got = rows(lookups.failures_by_job(failures, jobs), "error_code", "job_mode")
     assert got == [("x", "full"), ("y", None), ("z", None)]
+
+
+def test_failures_are_the_calls_that_ended_a_run(spark):
+    calls = [
+        ("a", 500, 1, "full"), ("a", 500, 5, "full"), ("b", None, 4, "full"), ("c", 401, 1, "full"),
+        ("d", 410, 1, "incremental"), ("e", 410, 1, "full"), ("f", 200, 1, "full"), ("g", 404, 2, None),
+    ]
+    log = spark.createDataFrame(
+        [(j, "hubspot", "deal", "fetch", n, s, m, at("2026-01-01")) for j, s, n, m in calls],
+        "job_id string, provider string, entity_type string, operation string, attempt int, "
+        "http_status int, mode string, occurred_at timestamp_ntz",
+    )
+    assert rows(health.fetch_failures(log), "job_id") == [("a",), ("c",), ("e",), ("g",)]
+    assert rows(health.fetch_failures(log.drop("mode")), "job_id")[2] == ("d",)
+
+
+def test_histogram_of_the_run_log_itself(spark, root):
+    from revsync.plans.warehouse import Warehouse
+
+    w = Warehouse(spark, root)
+    start = at("2026-01-01")
+    job = ("j", "hubspot", "deal", "full", "success", start, start.replace(second=7), 1, 1, 0, False, None)
+    w.jobs.append(spark.createDataFrame([job], w.jobs.schema))
+    got = {r.le: r.observations for r in health.duration_histogram(w.jobs.read()).collect()}
+    assert got["5"] == 0 and got["15"] == 1 and got["+Inf"] == 1

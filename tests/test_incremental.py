@@ -183,3 +183,24 @@ def test_payments_bound_reaches_the_scan(spark, root):
     plan = landed._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(created,1705276800)" in plan
     assert [r.id for r in landed.collect()] == ["b"]
+
+
+def test_nothing_is_left_of_a_load_even_if_it_fails(w, landed, monkeypatch):
+    """Staged rows are below the warehouse's root while a load runs, and gone after it."""
+    import os
+
+    left = lambda: os.path.isdir(f"{w.root}/_scratch") and os.listdir(f"{w.root}/_scratch")
+    seen, commit = [], w.tables["payment"].commit
+
+    def watched(*a, **k):
+        seen.append(len(left()))
+        if len(seen) > 1:
+            raise RuntimeError("lost")
+        return commit(*a, **k)
+
+    monkeypatch.setattr(w.tables["payment"], "commit", watched)
+    assert run(w, landed(intent("a", 100)), "j1").outcome == "success"
+    assert seen == [1] and not left()
+    result = run(w, landed(), "j2")
+    assert (result.outcome, result.error) == ("failed", "lost") and not left()
+    assert result.finished_at > result.started_at
