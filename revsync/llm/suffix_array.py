@@ -32,7 +32,7 @@ from revsync.llm.common import stage
 #: Bytes of a q-gram, of a string that counts, of text that is hashed at once.
 GRAM, LENGTH, BLOCK = 16, 50, 1 << 18
 #: Runs that a task holds before it packs them; bytes of text whose runs travel together.
-HELD, PART_BYTES = 200_000, 8 << 20
+HELD, PART_BYTES = 200_000, 2 << 20
 #: Rows of a batch that are taken out of it at once.
 ROWS = 256
 #: log2 of the Bloom filter's bits; its hashes.
