@@ -6,24 +6,24 @@ suffix needs a bucket of its own: of the q-grams within a string of 50 bytes the
 smallest hash, the anchor, is the same wherever the string stands. So only anchors are put
 into buckets, and a bucket stands for the run of suffixes that share an anchor.
 
-1. Buckets of q-grams. Each is refined by the bytes of the whole run, its context: a run
-   whose context an earlier document has is removed at once, and is needed no more.
-2. Buckets that still hold several contexts are refined once more, suffix by suffix, with
-   the first document of each context only; results of step 1 are reused, not redone.
-
-A task settles equal contexts among its own documents first, so a string that is everywhere
-is one row per task. Buckets travel packed, many together; their number follows the size of
-the input. Which runs step 2 needs is told by a Bloom filter of fixed size: a wrong yes costs
+1. Runs of q-grams that several documents have. Those of a q-gram are told apart by the
+   bytes of the whole run, its context: a run whose context an earlier document has is
+   removed at once, and is needed no more.
+2. The first document's run of each context is told apart from others once more: by the
+   bytes before or after the anchor, and where several documents have these, string by string.
+
+Keys are values (q-gram and context, q-gram and string), never a whole bucket, and only the
+smallest document of a key is asked for. So Spark combines within tasks before it shuffles,
+and a q-gram that is everywhere is as many small groups as it has contexts. Which q-grams,
+halves and runs the next step needs is told by Bloom filters of fixed size: a wrong yes costs
 time only.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -31,8 +31,10 @@ from revsync.llm.common import stage
 
 #: Bytes of a q-gram, of a string that counts, of text that is hashed at once.
 GRAM, LENGTH, BLOCK = 16, 50, 1 << 18
-#: Runs that a task holds before it packs them; bytes of text whose runs travel together.
-HELD, PART_BYTES = 200_000, 2 << 20
+#: Bytes next to an anchor by which runs are told apart before their strings are.
+HALF = (LENGTH - GRAM) // 2
+#: Buckets that a task combines before it hands them on.
+HELD = 200_000
 #: Rows of a batch that are taken out of it at once.
 ROWS = 256
 #: log2 of the Bloom filter's bits; its hashes.
@@ -73,10 +75,8 @@ class Text:
 class Runs:
     """Runs of suffixes with one anchor, as columns."""
 
-    NAMES = ("q", "ctx", "doc", "version", "lo", "n", "off")
-
-    def __init__(self, width: int):
-        self.text, self.shift = Text(BLOCK + 1), np.uint64(32 - width)
+    def __init__(self):
+        self.text = Text(BLOCK + 1)
 
     def blocks(self, rows):
         """Texts by blocks: bytes, and of each piece its end, document and offset. A text longer
@@ -122,10 +122,24 @@ class Runs:
         off = a - lo
         ctx = self.text.of(lo, n + LENGTH - 1) ^ _mix((off + 1).astype(np.uint64))
         return {
-            "q": grams[a] >> self.shift, "ctx": ctx >> np.uint64(24), "doc": docs[piece],
+            "q": grams[a], "ctx": ctx >> np.uint64(24), "doc": docs[piece],
             "version": versions[piece], "lo": lo - start + offsets[piece], "n": n, "off": off, "at": lo,
         }
 
+    def has(self, c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Which runs have suffixes HALF bytes or more before the anchor, and which nearer ones."""
+        return c["off"] >= HALF, c["off"] - c["n"] + 1 < HALF
+
+    def halves(self, c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the HALF bytes before the anchor with it, and of it with the HALF bytes
+        after: the former is in every string that starts HALF bytes or more before the anchor,
+        the latter in every other. Of no meaning where a run has no such string."""
+        a, size = c["at"] + c["off"], HALF + GRAM
+        return tuple(self.text.of(np.clip(x, 0, max(self.text.n - size, 0)), size) for x in (a - HALF, a))
+
+    def strings(self, at: np.ndarray) -> np.ndarray:
+        return self.text.of(at, LENGTH) >> np.uint64(24)
+
 
 def _spans(doc, version, lo, hi):
     """(doc, version, lo, hi) with spans of a document that touch put together."""
@@ -142,78 +156,43 @@ def _spans(doc, version, lo, hi):
     return doc[at], version[at], lo[at], np.maximum.reduceat(hi, at)
 
 
-def _settled(c: dict[str, np.ndarray]):
-    """Order by bucket, context and document; per place whether an earlier document has the
-    context, and the bucket's and context's numbers."""
-    o = np.lexsort((c["doc"], c["ctx"], c["q"]))
-    c = {k: v[o] for k, v in c.items()}
-    bucket, context = np.ones(len(o), bool), np.ones(len(o), bool)
-    bucket[1:] = c["q"][1:] != c["q"][:-1]
-    context[1:] = bucket[1:] | (c["ctx"][1:] != c["ctx"][:-1])
-    first = c["doc"][np.flatnonzero(context)][np.cumsum(context) - 1]
-    return c, c["doc"] > first, bucket, context
-
-
-_PACKED = {"doc": np.int64, "version": np.int16, "lo": np.int32, "n": np.uint8, "off": np.uint8}
-
-
-def _pack(c: dict[str, np.ndarray], five: str) -> bytes:
-    """Columns as bytes: `q` without the part's bits, `five` as 5 bytes, the others compressed
-    in the order of documents, of which little but the steps from one to the next is left."""
-    o = np.lexsort((c["lo"], c["doc"]))
-    rest = b""
-    for k, kind in _PACKED.items():
-        v = c[k][o]
-        if k in ("doc", "lo"):
-            v = np.diff(v, prepend=0)
-        rest += v.astype(kind).tobytes()
-    rest = zlib.compress(rest, 1)
-    q = c["q"][o].astype(np.uint32).tobytes()
-    wide = c[five] if five == "hashes" else c[five][o]
-    wide = wide.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-    head = np.array([len(o), len(wide) // 5, len(rest)], np.int64).tobytes()
-    return head + q + rest + wide
-
-
-def _unpack(blob: bytes, part: int, five: str) -> dict[str, np.ndarray]:
-    n, m, size = np.frombuffer(blob, np.int64, 3)
-    at = 24
-    q = np.frombuffer(blob, np.uint32, n, at).astype(np.uint64) | (np.uint64(part) << np.uint64(32))
-    at += 4 * n
-    rest = zlib.decompress(blob[at : at + size])
-    wide = np.zeros((m, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(blob, np.uint8, 5 * m, at + size).reshape(-1, 5)
-    out, at = {"q": q, five: wide.view("<u8").reshape(-1).astype(np.uint64)}, 0
-    for k, kind in _PACKED.items():
-        v = np.frombuffer(rest, kind, n, at).astype(np.int64)
-        at += n * np.dtype(kind).itemsize
-        out[k] = np.cumsum(v) if k in ("doc", "lo") else v
-    return out
-
-
-def _name(c: dict[str, np.ndarray]) -> np.ndarray:
-    """A run's number in the Bloom filter."""
-    return _mix(c["q"] ^ _mix(c["ctx"] ^ _mix(c["doc"].astype(np.uint64))))
+def _least(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """`q` and `doc`: of every bucket its smallest and, if that is another, largest document."""
+    o = np.lexsort((c["doc"], c["q"]))
+    q, doc = c["q"][o], c["doc"][o]
+    fresh = np.ones(len(o), bool)
+    fresh[1:] = q[1:] != q[:-1]
+    last = np.r_[fresh[1:], np.ones(1, bool)]
+    at, end = np.flatnonzero(fresh), np.flatnonzero(last)
+    end = end[doc[end] > doc[at]]
+    return {"q": np.r_[q[at], q[end]], "doc": np.r_[doc[at], doc[end]]}
+
+
+def _name(c: dict[str, np.ndarray], side: int) -> np.ndarray:
+    """The number of a run's left (0) or right (1) half in the Bloom filter."""
+    return _mix(c["q"] ^ _mix(c["ctx"] ^ _mix(c["doc"].astype(np.uint64) * np.uint64(2) + np.uint64(side))))
 
 
 def _bits(name: np.ndarray, k: int) -> np.ndarray:
     return ((name * _ODD[k]) >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)
 
 
-_MAP = "part long, blob binary, doc long, version long, lo long, hi long"
-_MAP_TYPES = [pa.int64(), pa.binary(), *[pa.int64()] * 4]
+def _in(bits: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Which names the filter lets through."""
+    some = np.ones(len(name), bool)
+    for k in range(BLOOM_HASHES):
+        h = _bits(name, k)
+        some &= (bits[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)
+    return some
 
 
-def _batch(n: int, **have) -> pa.RecordBatch:
-    names = [x.split()[0] for x in _MAP.split(", ")]
-    arrays = [pa.array(have[c], t) if c in have else pa.nulls(n, t) for c, t in zip(names, _MAP_TYPES)]
-    return pa.RecordBatch.from_arrays(arrays, names=names)
+def _batch(**columns) -> pa.RecordBatch:
+    arrays = [pa.array(v.view(np.int64) if v.dtype == np.uint64 else v) for v in columns.values()]
+    return pa.RecordBatch.from_arrays(arrays, names=list(columns))
 
 
-def _covers(parts: int, doc, version, lo, hi) -> pa.RecordBatch:
-    doc, version, lo, hi = _spans(doc, version, lo, hi)
-    part = -1 - (_mix(doc.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-    return _batch(len(doc), part=part, doc=doc, version=version, lo=lo, hi=hi)
+def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return np.asarray(batch.column(name).fill_null(0)).astype(np.int64).view(np.uint64)
 
 
 def _few(batches):
@@ -229,67 +208,17 @@ def _rows(batches):
             yield doc, version, (text or "").encode("utf-8", "surrogatepass")
 
 
-def _first(texts: DataFrame, width: int) -> DataFrame:
-    """Step 1: covers (doc, version, lo, hi), and in `run` the runs that step 2 needs."""
-
-    def pack(batches):
-        runs, held, n = Runs(width), [], 0
-
-        def settle():
-            c = {k: np.concatenate([h[k] for h in held]) for k in Runs.NAMES}
-            c, gone, _, _ = _settled(c)
-            yield _covers(1 << width, *(c[k][gone] for k in ("doc", "version", "lo")), (c["lo"] + c["n"] + LENGTH - 1)[gone])
-            c = {k: v[~gone] for k, v in c.items()}  # still in the order of buckets
-            part = (c["q"] >> np.uint64(32)).astype(np.int64)
-            ends = np.searchsorted(part, np.arange((1 << width) + 1))
-            for p, (i, j) in enumerate(zip(ends[:-1], ends[1:])):
-                if i < j:
-                    blob = _pack({k: v[i:j] for k, v in c.items()}, "ctx")
-                    yield _batch(1, part=[p], blob=[blob])
-
-        for data, of in runs.blocks(_rows(batches)):
-            held.append(runs.of(data, of))
-            n += len(held[-1]["q"])
-            if n >= HELD:
-                yield from settle()
-                held, n = [], 0
-        if held:
-            yield from settle()
-
-    def refine(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = int(pdf["part"].iloc[0])
-        if part < 0:
-            return pdf[["doc", "version", "lo", "hi"]].assign(run=None)
-        each = [_unpack(b, part, "ctx") for b in pdf["blob"]]
-        c, gone, bucket, context = _settled({k: np.concatenate([x[k] for x in each]) for k in each[0]})
-        group = np.cumsum(bucket) - 1
-        at = np.flatnonzero(bucket)
-        several = (np.bincount(group, context) > 1) & (
-            np.minimum.reduceat(c["doc"], at) < np.maximum.reduceat(c["doc"], at)
-        )
-        again = _name(c)[several[group] & ~gone].view(np.int64)
-        doc, version, lo, hi = _spans(*(c[k][gone] for k in ("doc", "version", "lo")), (c["lo"] + c["n"] + LENGTH - 1)[gone])
-        none = pd.array([None] * len(again), "Int64")
-        return pd.concat([
-            pd.DataFrame({"doc": doc, "version": version, "lo": lo, "hi": hi, "run": pd.array([None] * len(doc), "Int64")}),
-            pd.DataFrame({"doc": none, "version": none, "lo": none, "hi": none, "run": again}),
-        ])
-
-    out = texts.mapInArrow(pack, _MAP).groupBy("part")
-    return stage(out.applyInPandas(refine, "doc long, version long, lo long, hi long, run long"), "suffix-first")
-
-
-def _bloom(first: DataFrame) -> np.ndarray:
-    """The Bloom filter of the runs of step 2: 2**BLOOM_BITS bits, however many runs."""
+def _bloom(names: DataFrame):
+    """A broadcast Bloom filter of the column `name`: 2**BLOOM_BITS bits, however many rows."""
 
     def places(batches):
         for batch in batches:
-            name = np.asarray(batch.column(0)).astype(np.int64).view(np.uint64)
+            name = _column(batch, "name")
             for k in range(BLOOM_HASHES):
-                yield pa.RecordBatch.from_arrays([pa.array(_bits(name, k) + 1)], names=["h"])
+                yield _batch(h=_bits(name, k) + 1)
 
     rows = (
-        first.where("run is not null").select("run").mapInArrow(places, "h long")
+        names.select("name").mapInArrow(places, "h long")
         .groupBy(F.bitmap_bucket_number("h").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
     )
@@ -297,54 +226,95 @@ def _bloom(first: DataFrame) -> np.ndarray:
     for r in rows:
         part = np.frombuffer(r.bits, np.uint8)
         bits[(r.bucket - 1) * len(part) : r.bucket * len(part)] = part
-    return bits
+    return names.sparkSession.sparkContext.broadcast(bits)
+
+
+def _shared(rows: DataFrame, *keys: str) -> DataFrame:
+    """`keys` that several documents have, and `first`, the smallest of them."""
+    found = rows.groupBy(*keys).agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+    return found.where("first < last").drop("last")
 
 
-def _second(texts: DataFrame, first: DataFrame, width: int) -> DataFrame:
-    """Step 2: covers of the runs that step 1 left, from all their suffixes."""
-    bloom = texts.sparkSession.sparkContext.broadcast(_bloom(first))
+def _anchors(texts: DataFrame):
+    """The filter of the q-grams that are anchors in several documents."""
 
     def pack(batches):
-        runs, bits = Runs(width), bloom.value
+        runs, held, n = Runs(), [], 0
         for data, of in runs.blocks(_rows(batches)):
             c = runs.of(data, of)
-            name = _name(c)
-            some = np.ones(len(name), bool)
-            for k in range(BLOOM_HASHES):
-                h = _bits(name, k)
-                some &= (bits[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)
+            held.append(_least(c))
+            n += len(held[-1]["q"])
+            if n >= HELD:
+                yield _batch(**_least({k: np.concatenate([h[k] for h in held]) for k in held[0]}))
+                held, n = [], 0
+        if held:
+            yield _batch(**_least({k: np.concatenate([h[k] for h in held]) for k in held[0]}))
+
+    return _bloom(_shared(texts.mapInArrow(pack, "q long, doc long"), "q").select(F.col("q").alias("name")))
+
+
+_RUN = "q long, ctx long, doc long, version long, lo long, n long, left long, right long"
+
+
+def _first(texts: DataFrame) -> DataFrame:
+    """Step 1: the runs whose q-gram several documents have, and of each whether it is `gone`:
+    whether an earlier document has its context."""
+    bloom = _anchors(texts)
+
+    def pack(batches):
+        runs = Runs()
+        for data, of in runs.blocks(_rows(batches)):
+            c = runs.of(data, of)
+            some = _in(bloom.value, c["q"])
             c = {k: v[some] for k, v in c.items()}
-            part = (c["q"] >> np.uint64(32)).astype(np.int64)
-            strings = runs.text.each(LENGTH) >> np.uint64(24)
-            order = np.argsort(part, kind="stable")
-            ends = np.searchsorted(part[order], np.arange((1 << width) + 1))
-            for p, (i, j) in enumerate(zip(ends[:-1], ends[1:])):
-                if i < j:
-                    mine = {k: v[order[i:j]] for k, v in c.items()}
-                    by = np.lexsort((mine["lo"], mine["doc"]))
-                    mine = {k: v[by] for k, v in mine.items()}
-                    mine["hashes"] = strings[_each(mine["at"], mine["n"])]
-                    yield _batch(1, part=[p], blob=[_pack(mine, "hashes")])
-
-    def refine(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = int(pdf["part"].iloc[0])
-        each = [_unpack(b, part, "hashes") for b in pdf["blob"]]
-        c = {k: np.concatenate([x[k] for x in each]) for k in each[0]}
-        n = c["n"]
-        back = np.repeat(c["lo"] + c["off"], n)  # the anchor's place
-        lo = _each(c["lo"], n)
-        key = _mix(np.repeat(c["q"], n) ^ _mix(c["hashes"] << np.uint64(8) | (back - lo).astype(np.uint64)))
-        doc, version = np.repeat(c["doc"], n), np.repeat(c["version"], n)
-        o = np.lexsort((doc, key))
-        fresh = np.ones(len(o), bool)
-        fresh[1:] = key[o][1:] != key[o][:-1]
-        least = doc[o][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-        gone = o[doc[o] > least]
-        spans = _spans(doc[gone], version[gone], lo[gone], lo[gone] + LENGTH)
-        return pd.DataFrame(dict(zip(("doc", "version", "lo", "hi"), spans)))
-
-    out = texts.mapInArrow(pack, _MAP).groupBy("part")
-    return stage(out.applyInPandas(refine, "doc long, version long, lo long, hi long"), "suffix-second")
+            left, right = runs.halves(c)
+            has_left, has_right = runs.has(c)
+            halves = [pa.array(x.view(np.int64), mask=~has) for x, has in ((left, has_left), (right, has_right))]
+            plain = _batch(**{k: c[k] for k in ("q", "ctx", "doc", "version", "lo", "n")})
+            yield pa.RecordBatch.from_arrays([*plain.columns, *halves], names=[*plain.schema.names, "left", "right"])
+
+    found = stage(texts.mapInArrow(pack, _RUN), "suffix-runs")
+    firsts = stage(_shared(found, "q", "ctx"), "suffix-contexts")
+    gone = F.coalesce(F.col("doc") > F.col("first"), F.lit(False))
+    return stage(found.join(firsts, ["q", "ctx"], "left").withColumn("gone", gone).drop("first"), "suffix-first")
+
+
+def _second(texts: DataFrame, first: DataFrame) -> DataFrame:
+    """Step 2: covers of the runs that step 1 left, from their suffixes."""
+    rest = first.where("not gone")
+    halves = rest.select("doc", F.explode(F.array_compact(F.array("left", "right"))).alias("name"))
+    shared = _bloom(_shared(halves, "name"))
+
+    def names(batches):
+        for batch in batches:
+            c = {k: _column(batch, k) for k in ("q", "ctx", "doc")}
+            for side, half in enumerate(("left", "right")):
+                there = batch.column(half).is_valid().to_numpy(zero_copy_only=False)
+                some = there & _in(shared.value, _column(batch, half))
+                yield _batch(name=_name(c, side)[some])
+
+    bloom = _bloom(rest.mapInArrow(names, "name long"))
+
+    def pack(batches):
+        runs = Runs()
+        for data, of in runs.blocks(_rows(batches)):
+            c = runs.of(data, of)
+            sides = [_in(bloom.value, _name(c, side)) & has for side, has in enumerate(runs.has(c))]
+            some = sides[0] | sides[1]
+            c = {k: v[some] for k, v in c.items()}
+            n = c["n"]
+            at = _each(c["at"], n)
+            back = np.repeat(c["at"] + c["off"], n) - at  # how far before the anchor
+            wanted = np.where(back >= HALF, np.repeat(sides[0][some], n), np.repeat(sides[1][some], n))
+            yield _batch(
+                q=np.repeat(c["q"], n)[wanted], string=runs.strings(at[wanted]), doc=np.repeat(c["doc"], n)[wanted],
+                version=np.repeat(c["version"], n)[wanted], lo=_each(c["lo"], n)[wanted],
+            )
+
+    strings = stage(texts.mapInArrow(pack, "q long, string long, doc long, version long, lo long"), "suffix-strings")
+    firsts = stage(_shared(strings, "q", "string"), "suffix-second")
+    late = strings.join(firsts, ["q", "string"]).where("doc > first")
+    return late.select("doc", "version", "lo", (F.col("lo") + LENGTH).alias("hi"))
 
 
 def _each(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -377,11 +347,10 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     out.
     """
     rows = _versions(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")))
-    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    width = min(16, max(3, int(size // PART_BYTES).bit_length()))
     texts = rows.where(F.col("id").isNotNull() & (F.octet_length("text") >= LENGTH)).select("id", "version", "text")
-    first = _first(texts, width)
-    covers = first.where("doc is not null").drop("run").unionAll(_second(texts, first, width))
+    first = _first(texts)
+    gone = first.where("gone").select("doc", "version", "lo", (F.col("lo") + F.col("n") + LENGTH - 1).alias("hi"))
+    covers = gone.unionAll(_second(texts, first))
     covers = covers.groupBy("doc", "version").agg(
         F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")
     )

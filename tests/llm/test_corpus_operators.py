@@ -8,6 +8,7 @@ import check
 import numpy as np
 import pytest
 from helpers_llm import as_counter, components, smallest
+from pyspark.sql import GroupedData
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -126,6 +127,20 @@ def test_suffix_dedup_by_small_blocks(spark, docs_of, rows_of_corpus):
     assert got == expected_removal(rows)
 
 
+def test_suffix_dedup_of_a_hot_q_gram(spark, docs_of, monkeypatch):
+    """No task is given a q-gram's whole bucket, and strings at every distance from it count."""
+
+    def whole_bucket(*_):
+        raise AssertionError("a group is held whole")
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", whole_bucket)
+    phrase = "0123456789 hot phrase of the day"
+    rows = [(i, f"{i * 7919:030d}{phrase}{i * 104729:030d}", None, None) for i in range(300)]
+    rows += [(1000 + k, "<" + rows[k][1][k : k + 50] + ">", None, None) for k in range(40)]
+    got = suffix_array.dedup(docs_of(spark, rows))
+    assert as_counter(got, *REMOVAL) == expected_removal(rows)
+
+
 PAGES = [
     (1, "https://a.example.org/es/1?utm_source=x", '<link rel="canonical" href="http://b.net/x">'),
     (2, "http://b.net/x#top", None),
