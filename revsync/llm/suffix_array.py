@@ -122,7 +122,7 @@ class Runs:
         off = a - lo
         ctx = self.text.of(lo, n + LENGTH - 1) ^ _mix((off + 1).astype(np.uint64))
         return {
-            "q": grams[a], "ctx": ctx >> np.uint64(24), "doc": docs[piece],
+            "q": grams[a], "ctx": ctx, "doc": docs[piece],
             "version": versions[piece], "lo": lo - start + offsets[piece], "n": n, "off": off, "at": lo,
         }
 
@@ -138,7 +138,7 @@ class Runs:
         return tuple(self.text.of(np.clip(x, 0, max(self.text.n - size, 0)), size) for x in (a - HALF, a))
 
     def strings(self, at: np.ndarray) -> np.ndarray:
-        return self.text.of(at, LENGTH) >> np.uint64(24)
+        return self.text.of(at, LENGTH)
 
 
 def _spans(doc, version, lo, hi):

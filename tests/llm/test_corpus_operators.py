@@ -141,6 +141,18 @@ def test_suffix_dedup_of_a_hot_q_gram(spark, docs_of, monkeypatch):
     assert as_counter(got, *REMOVAL) == expected_removal(rows)
 
 
+def test_suffix_dedup_tells_strings_apart_whose_hashes_share_40_bits(spark, docs_of):
+    a, b, c, d = ("0000000000018823abcdefghijklmnopq" + x for x in
+                  ("oaypjvkgnlpsyvvtw", "fodsnhbtvoinrgquj", "oxoipuayuhkzfbnyw", "zdyqzcsvqtxuyrrlh"))
+    text = suffix_array.Text(200)
+    text.load((a + b + c + d).encode())
+    h = text.of(np.arange(0, 200, 50), 50) >> np.uint64(24)
+    assert h[0] == h[1] and h[2] == h[3]
+    rows = [(1, a, None, None), (2, b, None, None), (3, c + " one tail", None, None), (4, d + " another", None, None)]
+    got = suffix_array.dedup(docs_of(spark, rows))
+    assert as_counter(got, *REMOVAL) == expected_removal(rows)
+
+
 PAGES = [
     (1, "https://a.example.org/es/1?utm_source=x", '<link rel="canonical" href="http://b.net/x">'),
     (2, "http://b.net/x#top", None),
