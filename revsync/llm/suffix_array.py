@@ -1,10 +1,10 @@
-"""Removal of byte strings that an earlier document has, by refining suffix buckets.
+"""Removal of byte strings that an earlier document has, by anchors and hashes.
 
-Suffixes are first put into buckets by a q-gram, as bucket-pointer refinement does, and
-buckets are refined by what stands at later offsets until 50 bytes are told apart. Not every
-suffix needs a bucket of its own: of the q-grams within a string of 50 bytes the one with the
-smallest hash, the anchor, is the same wherever the string stands. So only anchors are put
-into buckets, and a bucket stands for the run of suffixes that share an anchor.
+This is not bucket-pointer refinement, which sorts each bucket of suffixes by the buckets of
+later offsets, again and again, and so needs every suffix in every round. Of the q-grams
+within a string of 50 bytes the one with the smallest hash, the anchor, is the same wherever
+the string stands. So only anchors are looked at, and each stands for the run of suffixes
+that share it; hashes of the bytes around it take the place of later buckets.
 
 1. Runs of q-grams that several documents have. Those of a q-gram are told apart by the
    bytes of the whole run, its context: a run whose context an earlier document has is
