@@ -1,7 +1,7 @@
 """Language identification by bit-sliced Bloom filters over byte n-grams.
 
-One array of language bitmasks stands for a Bloom filter per language: bit l of a cell is
-cell's bit in language l's filter. An n-gram's masks at its hash positions, ANDed, give all
+An array of language bitmasks stands for a Bloom filter per language: bit l of a cell is
+cell's bit in language l's filter. A cell has as many 64-bit words as the languages need. An n-gram's masks at its hash positions, ANDed, give all
 languages that may contain it in as many look-ups as one filter needs. A text's count of
 n-grams per language, less what the filter's fill lets through by chance, decides.
 
@@ -69,8 +69,8 @@ class Filters:
     """Languages, their cells' masks and how full each one's filter is."""
 
     def __init__(self, languages: list[str], masks: np.ndarray):
-        self.languages, self.masks = languages, masks
-        bits = [((masks >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(languages))]
+        self.languages, self.masks = languages, masks  # a row of cells for each 64 languages
+        bits = [((masks[i >> 6] >> np.uint64(i & 63)) & np.uint64(1)).mean() for i in range(len(languages))]
         self.chance = np.array(bits, float) ** HASHES  # that an n-gram gets through by accident
 
     def judge(self, text: str | None) -> tuple[str, float]:
@@ -79,11 +79,14 @@ class Filters:
         n, hits = 0, np.zeros(len(self.languages))
         for at in range(0, len(text), BLOCK):
             code = _grams(text[at : at + BLOCK + GRAM])
-            mask = self.masks[_cells(code, 0)]
-            for k in range(1, HASHES):
-                mask &= self.masks[_cells(code, k)]
+            cells = [_cells(code, k) for k in range(HASHES)]
             n += len(code)
-            hits += [np.count_nonzero(mask & np.uint64(1 << i)) for i in range(len(hits))]
+            for w, masks in enumerate(self.masks):
+                mask = masks[cells[0]]
+                for c in cells[1:]:
+                    mask &= masks[c]
+                of = range(64 * w, min(64 * w + 64, len(hits)))
+                hits[64 * w : 64 * w + 64] += [np.count_nonzero(mask & np.uint64(1 << (i & 63))) for i in of]
         if not n:
             return self.languages[0], 0.0
         true = np.clip((hits - self.chance * n) / (1 - np.minimum(self.chance, 0.99)), 0, None)
@@ -96,22 +99,20 @@ def fit(docs: DataFrame, text: str, lang: str, key: Column, sample: int = SAMPLE
     """Fit the filters on about `sample` rows of each language, those of the smallest hash.
 
     Where there are more rows than that, the share of the hash's range is narrowed so that
-    `sample` are expected. At most 64 languages, the most frequent, since a mask has 64 bits.
+    `sample` are expected.
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = labelled.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n"))
-    top = sizes.orderBy(F.desc("n"), "l").limit(64).collect()
-    languages = sorted(r.l for r in top)
+    sizes = sizes.collect()
+    languages = sorted(r.l for r in sizes)
     if not languages:
-        return Filters([], np.zeros(1 << BITS, np.uint64))
-    share = {r.l: min(1.0, sample / r.n) for r in top}
+        return Filters([], np.zeros((0, 1 << BITS), np.uint64))
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r.l, min(1.0, sample / r.n))])
     rows = labelled.select(
         F.col(text).alias("text"), F.col(lang).alias("lang"),
         (F.pmod(F.xxhash64(key, F.lit("language")), F.lit(1 << 30)) / float(1 << 30)).alias("u"),
     )
-    wanted = F.lit(False)
-    for name, s in share.items():
-        wanted = wanted | ((F.col("lang") == name) & (F.col("u") < s))
+    wanted = F.col("u") < share[F.col("lang")]
     number = {name: i for i, name in enumerate(languages)}
 
     def count(batches):
@@ -144,22 +145,24 @@ def fit(docs: DataFrame, text: str, lang: str, key: Column, sample: int = SAMPLE
     def cells(batches):
         for batch in batches:
             code = np.asarray(batch.column(1)).astype(np.uint64)
-            bit = np.uint64(1) << np.asarray(batch.column(0)).astype(np.uint64)
+            language = np.asarray(batch.column(0)).astype(np.uint64)
+            word, bit = language >> np.uint64(6), np.uint64(1) << (language & np.uint64(63))
             for k in range(HASHES):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_cells(code, k)), pa.array(bit.astype(np.int64))], names=["cell", "bit"]
+                    [pa.array(word.astype(np.int32)), pa.array(_cells(code, k)), pa.array(bit.astype(np.int64))],
+                    names=["word", "cell", "bit"],
                 )
 
-    masks = np.zeros(1 << BITS, np.uint64)
+    masks = np.zeros((-(-len(languages) // 64), 1 << BITS), np.uint64)
     set_cells = (
         counts.join(total, "language")
         .where((F.col("n") > 1) & (F.col("n") * 1e6 >= F.col("total") * RATE))
         .select("language", "code")
-        .mapInArrow(cells, "cell long, bit long")
-        .groupBy("cell").agg(F.bit_or("bit").alias("mask"))
+        .mapInArrow(cells, "word int, cell long, bit long")
+        .groupBy("word", "cell").agg(F.bit_or("bit").alias("mask"))
     )
-    got = set_cells.toPandas()  # at most 2**BITS rows
-    masks[got["cell"].to_numpy()] = got["mask"].to_numpy().astype(np.int64).view(np.uint64)
+    got = set_cells.toPandas()  # at most 2**BITS rows for each 64 languages
+    masks[got["word"].to_numpy(), got["cell"].to_numpy()] = got["mask"].to_numpy().astype(np.int64).view(np.uint64)
     return Filters(languages, masks)
 
 

@@ -208,3 +208,15 @@ def test_languages(spark, docs_of):
         i for i, *_ in rows if i is not None and zlib.crc32(str(i).encode()) % 3 == 1
     }
     assert language_bits.fit(docs.where("false"), "text", "lang", F.col("doc_id")).languages == []
+
+
+def test_more_languages_than_a_word_has_bits(spark, docs_of):
+    def word(i):
+        return hashlib.md5(str(i).encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop"))
+
+    rows = [(100 * i + k, f"{word(i)} {word(i + 1000)} " * 3, f"l{i}", None) for i in range(130) for k in range(3 if i < 64 else 2)]
+    docs = docs_of(spark, rows)
+    filters = language_bits.fit(docs, "text", "lang", F.col("doc_id"))
+    assert len(filters.languages) == 130
+    got = {r.doc_id: r.lang_pred for r in language_bits.identify(docs, filters).collect()}
+    assert got == {i: la for i, _, la, _ in rows}
