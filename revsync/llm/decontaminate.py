@@ -66,31 +66,40 @@ def anchors(places: DataFrame, counts: DataFrame, rarest: int) -> DataFrame:
 
 
 def meet(postings: DataFrame, anchored: DataFrame, widths: DataFrame, rarest: int, slop: int) -> DataFrame:
-    """(row, win, width, starts, first): per stretch of `slop` + 1 starts in which all of a
-    window's rarest words meet, the single starts in which they do; none for a proximity match.
+    """(row, win, width, starts, near): per stretch of `slop` + 1 starts the single starts in
+    which all of a window's rarest words meet, and those from which on they meet within `slop`.
 
-    A start's bits have a byte of their own in one number, so both come from one aggregate.
+    A start's bits have a byte of their own in a number. Each goes to its own stretch and, as
+    `next`, to the one before it, so it doesn't matter where the stretches begin. `near` has a
+    start and the bits of it and the `slop` starts after it.
     """
     span = slop + 1
-    start = F.col("pos") - F.col("off")
+    bits = F.expr(f"shiftleft(bit, cast(8 * pmod(pos - off, {span}) as int))")
     met = (
         postings.join(small(anchored, BROADCAST_ROWS), "term")
-        .select(
-            "row", "win", F.floor(start / span).cast("int").alias("stretch"),
-            F.expr(f"shiftleft(bit, cast(8 * pmod(pos - off, {span}) as int))").alias("bits"),
+        .select("row", "win", F.floor((F.col("pos") - F.col("off")) / span).cast("int").alias("at"), bits.alias("bits"))
+        .select("row", "win", "bits", F.explode(F.expr("array(at, at - 1)")).alias("stretch"), "at")
+        .groupBy("row", "win", "stretch")
+        .agg(
+            F.bit_or(F.expr("if(at = stretch, bits, 0L)")).alias("own"),
+            F.bit_or(F.expr("if(at = stretch, 0L, bits)")).alias("next"),
         )
-        .groupBy("row", "win", "stretch").agg(F.bit_or("bits").alias("bits"))
         .join(small(widths, BROADCAST_ROWS), "win")
         .withColumn("all", F.expr(f"shiftleft(1L, least(width, {rarest})) - 1"))
     )
-    byte = [f"(shiftright(bits, {8 * k}) & all)" for k in range(span)]
+    byte = [f"(shiftright({x}, {8 * k}) & all)" for x in ("own", "next") for k in range(span)]
+    meets = [f"({byte[k]} <> 0 and ({' | '.join(byte[k : k + span])}) = all)" for k in range(span)]
     starts = [
         F.when(F.expr(f"{byte[k]} = all and stretch * {span} + {k} >= 0"), F.expr(f"stretch * {span} + {k}"))
         for k in range(span)
     ]
-    return met.where(F.expr(f"({' | '.join(byte)}) = all")).select(
+    near = [
+        F.expr(f"if({meets[k]}, struct(stretch * {span} + {k} as s, array({', '.join(byte[k : k + span])}) as bits, all), null)")
+        for k in range(span)
+    ]
+    return met.where(" or ".join(meets)).select(
         "row", "win", "width", F.array_compact(F.array(*starts)).alias("starts"),
-        (F.col("stretch") * span).alias("first"),
+        F.array_compact(F.array(*near)).alias("near"),
     )
 
 
@@ -108,8 +117,9 @@ def contamination(
     """Per row of `docs`: its id, n_words, n_hit, n_items, items_sha256, contaminated, n_near.
 
     A word is hit if it stands in an occurrence of a window of any item. `n_near` counts
-    proximity matches: stretches of `slop` + 1 starts in which a window's rarest words meet,
-    while the window itself isn't there (at most 8 rarest words, and a slop of 7). Null and empty texts have no words and hit nothing;
+    proximity matches: starts of a window by one of its rarest words from which on, within
+    `slop`, all of them have one, occurrences of the window itself left out (at most 8 rarest
+    words, and a slop of 7). Null and empty texts have no words and hit nothing;
     an item without words or text has no window; an item without an id is hit but neither
     counted nor listed. Repeated rows each get the same result; other columns are left out.
     """
@@ -133,7 +143,7 @@ def contamination(
         meet(postings, anchored, win.select("win", F.size("window").alias("width")), rarest, slop)
         .join(small(win.select("win", "items"), BROADCAST_ROWS), "win")
         .groupBy("row")
-        .agg(F.collect_list(F.struct("win", "width", "items", "starts")).alias("found")),
+        .agg(F.collect_list(F.struct("win", "width", "items", "starts", "near")).alias("found")),
         "matches",
     )
 
@@ -152,10 +162,14 @@ def contamination(
         F.flatten(F.transform("hits", lambda m: F.sequence(m["start"], m["start"] + m["width"] - 1)))
     )
     listed = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda m: m["items"]))))
-    there = F.transform("hits", lambda m: m["win"])
-    near = F.size(F.filter("found", lambda m: ~F.array_contains(there, m["win"])))
+    near = F.expr(
+        "size(filter(flatten(transform(found, m -> transform(m.near, x -> struct(m.win as win, x.s as s, x.bits as bits, x.all as all)))),"
+        " x -> not array_contains(there, struct(x.win, x.s)) and x.all = aggregate("
+        "transform(x.bits, (b, i) -> if(array_contains(there, struct(x.win, x.s + i as s)), 0L, b)), 0L, (a, b) -> a | b)))"
+    )
     matched = (
         judged.select("row", "found", same.alias("hits"))
+        .withColumn("there", F.transform("hits", lambda m: F.struct(m["win"].alias("win"), m["start"].alias("s"))))
         .select("row", covered.alias("c"), listed.alias("i"), near.cast("long").alias("n_near"))
         .select(
             "row", F.size("c").cast("long").alias("n_hit"), F.size("i").cast("long").alias("n_items"),

@@ -104,6 +104,18 @@ def test_proximity_matches(spark, docs_of):
     assert [r.n_near > 0 for r in got][0] is False
 
 
+def test_proximity_matches_at_every_displacement_and_alignment(spark, docs_of):
+    item = "one two three four five six seven eight nine ten"
+    moved = [(k, d) for k in range(8) for d in range(5)]  # words before the passage, words put into it
+    texts = [" ".join(["pad"] * k + ["one"] + ["and"] * d + item.split()[1:]) for k, d in moved]
+    texts += [f"{item} pad pad pad pad {texts[1]}"]  # an occurrence, and a near one elsewhere
+    rows = [(i, t, None, None) for i, t in enumerate(texts)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontaminate.contamination(docs_of(spark, rows), bench).orderBy("doc_id").collect()
+    assert [r.n_near for r in got] == [int(1 <= d <= 3) for _, d in moved] + [1]
+    assert [r.contaminated for r in got] == [d == 0 for _, d in moved] + [True]
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
