@@ -95,6 +95,39 @@ FAMILIES = [
     ("zpl-2.1", "zope public( license)?( 2)?( 1)?", "zope"),
 ]
 
+# The same by SPDX id or usual abbreviation, as words, and the word it holds.
+SHORT = [
+    ("afl-3.0", "afl( v?3)?( 0)?", "afl"),
+    ("agpl-3.0", "(gnu )?agpl( version)?( v?3)?( 0)?", "agpl"),
+    ("agpl-3.0", "(gnu )?agplv3", "agplv3"),
+    ("bsl-1.0", "bsl( 1)?( 0)?", "bsl"),
+    ("busl-1.1", "busl( 1)?( 1)?", "busl"),
+    ("cddl-1.0", "cddl( 1)?( 0)?", "cddl"),
+    ("cpl-1.0", "cpl( 1)?( 0)?", "cpl"),
+    ("ecl-2.0", "ecl( 2)?( 0)?", "ecl"),
+    ("epl-2.0", "epl( v?2)?( 0)?", "epl"),
+    ("eupl-1.2", "eupl( v?1)?( 2)?", "eupl"),
+    ("gfdl-1.3", "(gnu )?gfdl( v?1)?( 3)?", "gfdl"),
+    ("gpl-1.0", "(gnu )?gpl( version)? v?1( 0)?", "gpl"),
+    ("gpl-2.0", "(gnu )?gpl( version)? v?2( 0)?", "gpl"),
+    ("gpl-3.0", "(gnu )?gpl( version)? v?3( 0)?", "gpl"),
+    ("lgpl-2.1", "(gnu )?lgpl( version)? v?2( 1)?", "lgpl"),
+    ("lgpl-2.1", "(gnu )?lgplv2( 1)?", "lgplv2"),
+    ("lgpl-3.0", "(gnu )?lgpl( version)?( v?3)?( 0)?", "lgpl"),
+    ("lgpl-3.0", "(gnu )?lgplv3", "lgplv3"),
+    ("lppl-1.3c", "lppl( 1)?( 3c)?", "lppl"),
+    ("mpl-1.1", "mpl( version)? v?1( 1)?", "mpl"),
+    ("mpl-2.0", "mpl( version)?( v?2)?( 0)?", "mpl"),
+    ("ms-pl", "ms pl", "pl"),
+    ("ms-rl", "ms rl", "rl"),
+    ("odbl-1.0", "odbl( 1)?( 0)?", "odbl"),
+    ("ofl-1.1", "(sil )?ofl( 1)?( 1)?", "ofl"),
+    ("osl-3.0", "osl( 3)?( 0)?", "osl"),
+    ("python-2.0", "python 2 0", "python"),
+    ("sspl-1.0", "sspl( 1)?( 0)?", "sspl"),
+    ("zpl-2.1", "zpl( 2)?( 1)?", "zpl"),
+]
+
 # How a name is stated (X stands for it), words that the form always holds, rank.
 FORMS = [
     ("(dual |re )?licensed under( the)?( terms of( the)?)? X( license| licence)?", ("licensed", "under"), 6),
@@ -141,7 +174,7 @@ def rules() -> list[Rule]:
     """Base phrases, stock phrases, and every family in every form."""
     out = [Rule(label, p, tuple(p.split(" ")), 1, True) for p, label in BASE]
     out += [Rule(label, p, needs, rank) for label, p, needs, rank in PHRASES]
-    for label, name, word in FAMILIES:
+    for label, name, word in FAMILIES + SHORT:
         for form, needed, rank in FORMS:
             pattern = form.replace("X", name if name.startswith("(") else f"({name})")
             out.append(Rule(label, pattern, (*needed, word) if word else needed, rank))

@@ -66,6 +66,14 @@ def test_license_rules_are_many_and_suppressed():
     assert n[5] == "gpl,gpl-3.0,mit"
 
 
+def test_spdx_headers_of_short_ids(spark, docs_of):
+    ids = sorted({label for label, _, _ in licenses.FAMILIES if label != "gpl-any"})
+    rows = [(i, f"SPDX-License-Identifier: {x.upper()}", None, None) for i, x in enumerate(ids)]
+    rows.append((len(ids), "licensed under the MPL", None, None))
+    got = licenses.scan(docs_of(spark, rows)).orderBy("doc_id").collect()
+    assert all(x in r.labels.split(",") for r, x in zip(got, [*ids, "mpl-2.0"]))
+
+
 def expected_contamination(rows, items, width=10):
     windows = {}
     for i, t in items:
