@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from revsync.llm import cover_tree, decontaminate, jaccard_join, language_bits, licenses, mixing, pii_crf, suffix_array, token_counts, url_filter
+from revsync.llm import byte_bpe, cover_tree, decontaminate, jaccard_join, language_bits, licenses, mixing, pii_crf, prefix_trie, suffix_array, token_counts, turn_repair, url_filter
 from revsync.llm.common import table
 
 BPE = "byte_bpe_50k.json"
+RANKS = "byte_bpe_50k.tiktoken"
 WEIGHTS = [5, 2, 1]
 URL_RULES = [
     url_filter.UrlRule("allow", "org", "/"),
@@ -84,10 +85,42 @@ def op10_language_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", language_bits.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document by a byte-level BPE, and the bytes they decode to, as digests."""
+    docs = table(spark, sf_dir, "documents")
+    return byte_bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every conversation after damage."""
+    rows = turn_repair.rows_of(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    return turn_repair.report(rows, turn_repair.damaged(rows)).withColumnRenamed("conv", "conv_id")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of a trie of all conversations, rebuilt to share beginnings."""
+    return prefix_trie.rebuilt_nodes(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_decontaminate, op2_proximity, op3_token_counts, op4_ngram_jaccard, op5_cover_tree, op6_suffix_dedup, op7_pii_crf, op8_url_redirects, op9_mix_sources, op10_language_bits)
+    f.__name__: f for f in (op1_license_scan, op2_decontaminate, op2_proximity, op3_token_counts, op4_ngram_jaccard, op5_cover_tree, op6_suffix_dedup, op7_pii_crf, op8_url_redirects, op9_mix_sources, op10_language_bits, op11_byte_bpe, op12_turn_repair, op13_prefix_trie)
 }
 
+#: The table of a CRC-32 by bytes, and the CRC of an ASCII string by it.
+CRC_TABLE = """
+crc_bits(b, k, c) as (
+  select b, 0, b::ubigint from range(256) t(b)
+  union all
+  select b, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end from crc_bits where k < 8),
+crc as (select list(c order by b) as steps from crc_bits where k = 8)"""
+
+
+def crc32_sql(text: str) -> str:
+    return f"""xor(4294967295::ubigint, list_reduce(
+      list_concat([4294967295::ubigint], [ord(x)::ubigint for x in string_split({text}, '')]),
+      lambda a, x: xor(steps[(xor(a, x) & 255)::int + 1], a >> 8)))"""
+
+
 #: SQL that must give the same rows.
 ORACLES: dict[str, str] = {
     "op2_decontaminate": r"""
@@ -235,6 +268,115 @@ from e
 """,
 }
 
+ORACLES["op12_turn_repair"] = rf"""
+with recursive {CRC_TABLE},
+filled as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    {crc32_sql("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as kind
+  from conversations, crc),
+hurt as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+    case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+    unnest(case kind when 0 then [] when 3 then [1, 2] else [1] end) as copy
+  from filled),
+placed as (
+  select *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare, left(role, 1) as initial,
+    row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as place from hurt),
+seen as (
+  select *, lag(initial) over (partition by conv_id order by place) as before,
+    row_number() over (partition by conv_id, role, text order by place) > 1 as again from placed),
+told as (
+  select *, case when bare = '' then 'blank' when again then 'duplicate'
+    when right(bare, 1) not in ('.', '!', '?') then 'truncated' end as fault from seen),
+turns as (
+  select conv_id, list({{'doomed': coalesce(fault in ('blank', 'duplicate'), false), 'cut': (fault = 'truncated') is true, 'i': initial}} order by place) as t,
+    list(role order by place) as roles, list(text order by place) as texts,
+    coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+    count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+    count(*) filter (fault = 'truncated') as truncated,
+    count(*) filter (before is not null and before || initial not in ('su', 'ua', 'au')) as illegal
+  from told group by conv_id),
+-- per state (nothing yet, after system, after user, after assistant) the least (cost, audit) so far
+step(conv_id, k, e, s, u, a) as (
+  select conv_id, 0, {{'c': 0, 'x': ''}}, null::struct(c integer, x varchar), {{'c': 2, 'x': 'I'}}, {{'c': 4, 'x': 'II'}} from turns
+  union all
+  select conv_id, k, e, s, least_u, list_min([d_a, {{'c': least_u.c + 2, 'x': least_u.x || 'I'}}])
+  from (
+    select conv_id, k, e, s, d_a,
+      list_min([x for x in [d_u, case when e is not null then {{'c': e.c + 2, 'x': e.x || 'I'}} end,
+        case when s is not null then {{'c': s.c + 2, 'x': s.x || 'I'}} end, {{'c': d_a.c + 2, 'x': d_a.x || 'I'}}] if x is not null]) as least_u
+    from (
+      select st.conv_id, st.k + 1 as k, {{'c': st.e.c + 3, 'x': st.e.x || 'D'}} as e,
+        list_min([x for x in [case when st.s is not null then {{'c': st.s.c + 3, 'x': st.s.x || 'D'}} end,
+          case when not r.doomed and r.i = 's' then {{'c': st.e.c + r.cut::int, 'x': st.e.x || 'K'}} end] if x is not null]) as s,
+        list_min([x for x in [{{'c': st.u.c + 3, 'x': st.u.x || 'D'}},
+          case when not r.doomed then {{'c': st.e.c + r.cut::int + case when r.i = 'u' then 0 else 2 end, 'x': st.e.x || case when r.i = 'u' then 'K' else 'R' end}} end,
+          case when not r.doomed and st.s is not null then {{'c': st.s.c + r.cut::int + case when r.i = 'u' then 0 else 2 end, 'x': st.s.x || case when r.i = 'u' then 'K' else 'R' end}} end,
+          case when not r.doomed then {{'c': st.a.c + r.cut::int + case when r.i = 'u' then 0 else 2 end, 'x': st.a.x || case when r.i = 'u' then 'K' else 'R' end}} end] if x is not null]) as d_u,
+        list_min([x for x in [{{'c': st.a.c + 3, 'x': st.a.x || 'D'}},
+          case when not r.doomed then {{'c': st.u.c + r.cut::int + case when r.i = 'a' then 0 else 2 end, 'x': st.u.x || case when r.i = 'a' then 'K' else 'R' end}} end] if x is not null]) as d_a
+      from (select step.*, t[k + 1] as r from step join turns on step.conv_id is not distinct from turns.conv_id where k < len(t)) st))),
+best as (
+  select step.conv_id, list_min([e, a]) as b from step join turns on step.conv_id is not distinct from turns.conv_id where k = len(t)),
+ops as (
+  select conv_id, b.x as audit, unnest(string_split(b.x, '')) as op, generate_subscripts(string_split(b.x, ''), 1) as nr from best where b.x <> ''),
+lined as (
+  select *, count(*) filter (op <> 'I') over w as place, count(*) filter (op <> 'D') over w as out
+  from ops window w as (partition by conv_id order by nr)),
+made as (
+  select l.conv_id, l.out,
+    case when op = 'K' then roles[place]
+      when (l.out - (left(roles[first_place], 1) = 's' and first_op = 'K')::int) % 2 = 1 then 'user' else 'assistant' end
+      || ':' || case when op = 'I' then '' else texts[place] end as line
+  from (select *, first_value(place) over (partition by conv_id order by nr) as first_place,
+      first_value(op) over (partition by conv_id order by nr) as first_op from lined where op <> 'D') l
+  join turns on l.conv_id is not distinct from turns.conv_id),
+mended as (select conv_id, sha256(string_agg(line, chr(10) order by out)) as h from made group by conv_id)
+select c.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank,
+  coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+  coalesce(illegal, 0)::bigint as illegal, coalesce(b.c, 0)::bigint as cost, coalesce(b.x, '') as audit,
+  coalesce(h, sha256('')) as repaired_sha256
+from (select distinct conv_id from conversations) c
+left join turns on c.conv_id is not distinct from turns.conv_id
+left join best on c.conv_id is not distinct from best.conv_id
+left join mended on c.conv_id is not distinct from mended.conv_id
+"""
+ORACLES["op13_prefix_trie"] = rf"""
+with recursive {CRC_TABLE},
+t as (
+  select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as place,
+    md5(length(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) as k, length(coalesce(text, '')) as n
+  from conversations where conv_id is not null),
+convs as (select c, {crc32_sql("c::varchar")} % 6 as h from (select distinct c from t), crc),
+turns as (
+  select convs.c, t.place, k, n from convs join t on t.c = convs.c - convs.c % 100 and place <= h
+  union all
+  select t.c, t.place, k, n from convs join t on t.c = convs.c and place > h),
+paths as (
+  select convs.c, coalesce(list(k order by place) filter (k is not null), []) as ks,
+    coalesce(list(n order by place) filter (k is not null), []) as ns
+  from convs left join turns on turns.c = convs.c group by convs.c),
+prefixes as (
+  select c, d, array_to_string(ks[1:d], ',') as p, array_to_string(ks[1:d - 1], ',') as up,
+    case when d > 0 then ns[d] else 0 end as n, d = len(ks) as ends
+  from (select *, unnest(range(0, len(ks) + 1)) as d from paths)),
+node as (
+  select d, p, any_value(up) as up, min(c) as c, count(*) as n_convs, any_value(n) as n,
+    sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (ends), '')) as ends_sha256
+  from prefixes group by d, p),
+kids as (select d - 1 as d, up as p, count(*) as n_children from node where d > 0 group by 1, 2),
+below as (
+  select u.d, u.p, sum((v.n_convs - 1) * v.n) as saved, count(*) filter (kids.p is null) as n_leaves
+  from node v join prefixes u on u.c = v.c and u.d <= v.d
+  left join kids on kids.d = v.d and kids.p = v.p group by 1, 2)
+select node.c as conv_id, node.d::bigint as depth, up.c as parent_conv_id, node.n_convs::bigint as n_convs,
+  coalesce(n_children, 0)::bigint as n_children, n_leaves::bigint as n_leaves, saved::bigint as saved_tokens,
+  node.ends_sha256
+from node join below on below.d = node.d and below.p = node.p
+left join kids on kids.d = node.d and kids.p = node.p
+left join node up on up.d = node.d - 1 and up.p = node.up and node.d > 0
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

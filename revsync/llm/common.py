@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import contextlib
+import hashlib
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby, islice
+from operator import itemgetter
+from typing import Any
 
-from revsync.session import stage
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from revsync.session import scratch, shared_dir, stage, stage_at
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Runs of what separates words: all of ASCII but digits and lower-case letters.
@@ -80,3 +89,55 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     `df` should be staged, since it is counted here.
     """
     return F.broadcast(df) if df.count() <= rows else df
+
+
+@contextlib.contextmanager
+def workspace(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A function like `stage` whose folders go when the block ends, whatever the outcome.
+
+    A result that is to outlive the block has to be staged by itself within it.
+    """
+    with scratch(spark, f"{shared_dir(spark)}/revsync") as folder:
+        yield lambda df, name: stage_at(df, f"{folder}/{name}")
+
+
+def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[Any, Iterator[tuple]]]:
+    """Rows of sorted batches by runs of one first column: its value, and the others' tuples.
+
+    Only a batch is held at a time, however long a run is.
+    """
+    rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+    return ((k, (r[1:] for r in some)) for k, some in groupby(rows, key=itemgetter(0)))
+
+
+def batched(rows: Iterable[tuple], schema: pa.Schema, size: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of `size`."""
+    rows = iter(rows)
+    while some := list(islice(rows, size)):
+        columns = zip(*some)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def digest_runs(rows: DataFrame, key: str, order: str, value: str, between: str) -> DataFrame:
+    """SHA-256 of each key's values, in order and joined by `between`: `key`, `sha256`, `n`.
+
+    `value` is a column of strings without nulls. A key's values pass through one task, since
+    the digest is a chain, but are hashed as they come and never held together.
+    """
+    columns = rows.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(value).alias("v"))
+    fields = [columns.schema["k"], T.StructField("sha256", T.StringType()), T.StructField("n", T.LongType())]
+    schema = to_arrow_schema(T.StructType(fields))
+
+    def digests(batches):
+        for k, some in runs(batches):
+            h, n = hashlib.sha256(), 0
+            for (v,) in some:
+                h.update(((between if n else "") + v).encode())
+                n += 1
+            yield k, h.hexdigest(), n
+
+    def run(batches):
+        yield from batched(digests(batches), schema)
+
+    ordered = columns.repartition("k").sortWithinPartitions("k", "o").select("k", "v")
+    return ordered.mapInArrow(run, T.StructType(fields)).withColumnRenamed("k", key)
