@@ -223,7 +223,8 @@ class Table:
     ) -> Commit:
         """Upsert a batch. Repeating a `batch_id` changes nothing and reports the first time.
 
-        A batch holds each key once, or `order` says which of its rows is the last.
+        A batch holds each key once, or `order` says which of its rows is the last. One that
+        brings its rows' `outcome`, as a stream with keyed state can, spares reading the table.
         """
         if order:
             batch = upsert.last_per_key(batch, self.keys, order)
@@ -232,12 +233,15 @@ class Table:
             if done is not None:
                 return done
             version, _, _ = self._versions()
-            target, rows = self.read(), batch
-            if policy == "newest":
-                rows = upsert.newest_only(rows, target, self.keys, self.updated)
-            rows = upsert.upsert_outcomes(
-                rows.select(*self.schema.names), target, self.keys, self.updated
-            )
+            rows = batch
+            if "outcome" not in batch.columns:
+                target = self.read()
+                if policy == "newest":
+                    rows = upsert.newest_only(rows, target, self.keys, self.updated)
+                rows = upsert.upsert_outcomes(
+                    rows.select(*self.schema.names), target, self.keys, self.updated
+                )
+            rows = rows.select(*self.schema.names, "outcome")
             name = self._name(version + 1)
             rows.write.parquet(f"{self.root}/deltas/data={name}")
             changes = self._changes(name)

@@ -1,8 +1,12 @@
 """The webhook feed: a delivery is processed with success at most once, and retried if not.
 
-Per micro-batch: keys already processed are skipped, the rest is normalised and validated
-as a set, good rows are upserted, and last of all the ledger is committed. A crash in
-between replays the batch: tables that have its id skip it, the others catch up.
+Per batch: keys already processed are skipped, the rest is normalised and validated as a set,
+good rows are upserted, and last of all the ledger is committed. A crash in between replays
+the batch: tables that have its id skip it, the others catch up.
+
+A batch on its own looks keys up in the ledger. As a stream the keys are Spark's keyed state:
+a streaming aggregate holds each key's first success and latest attempt, combined in every
+task before the shuffle, so that neither the ledger is read nor a key's attempts have to meet.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ import uuid
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from revsync import session, vocab
@@ -25,6 +29,13 @@ from revsync.streaming.incremental import utc_now
 # replay; exact copies are told apart by their number and need no order.
 ORDER = ["received_at", "attempt", "payload", "delivery_id"]
 
+#: What is known of an attempt's fate when it arrives.
+OK, FAILED, OPEN = "ok", "failed", "open"
+PROCESSED = T.StructType(
+    [T.StructField("idempotency_key", T.StringType()), T.StructField("at", T.TimestampType())]
+)
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def _judge(rows: DataFrame, rules: list[validate.Rule]) -> DataFrame:
     ok = validate.is_valid(rules)
@@ -82,7 +93,6 @@ class WebhookProcessor:
             attempt.alias("attempt"),
             lookups.delivery_entity().alias("entity_type"),
             F.to_json(F.struct(*own)).alias("payload"),
-            F.monotonically_increasing_id().alias("delivery_id"),
         )
 
     def process(
@@ -94,13 +104,35 @@ class WebhookProcessor:
         """
         w, now = self.warehouse, self.now()
         self._scratch = scratch or session.new_scratch(w.spark, "webhooks")
-        accepted = self._stage(self.accept(envelopes), "deliveries")
+        accepted = self.accept(envelopes).withColumn("delivery_id", F.monotonically_increasing_id())
+        accepted = self._stage(accepted, "deliveries")
         ledger = self._ledger(batch_id)
-        fresh = lookups.new_deliveries(accepted, ledger)
+        states = self._settle(
+            lookups.new_deliveries(accepted, ledger),
+            lookups.known_deliveries(accepted, ledger),
+            ledger, batch_id, now,
+        )
+        rows = ops.ledger_rows(states, ORDER, now)
+        if not rows.isEmpty():
+            w.webhook_events.commit(rows, now, batch_id=batch_id)
+        return states
 
-        verdicts = [
-            _verdict(lookups.known_deliveries(accepted, ledger), F.lit(False), F.lit(None))
-        ]
+    def _settle(
+        self,
+        fresh: DataFrame,
+        known: DataFrame | None,
+        ledger: DataFrame | None,
+        batch_id: str,
+        now: datetime,
+    ) -> DataFrame:
+        """Judge deliveries, write what those that ran bring, and tell every one's outcome.
+
+        `known` are the deliveries of keys that the ledger has as processed.
+        """
+        w = self.warehouse
+        verdicts = []
+        if known is not None:
+            verdicts.append(_verdict(known, F.lit(False), F.lit(None)))
         writes: list[tuple[SourceSpec, Callable[[DataFrame], DataFrame]]] = []
         configured = F.lit(False)
         for spec in self.registry.all():
@@ -125,7 +157,7 @@ class WebhookProcessor:
             judged = judged.unionByName(v)
         states = self._stage(ops.delivery_states(judged, ledger, ORDER), "delivery-states")
 
-        ran = accepted.join(
+        ran = fresh.join(
             states.where(F.col("outcome") == vocab.PROCESSED).select("delivery_id"),
             "delivery_id",
             "left_semi",
@@ -133,9 +165,6 @@ class WebhookProcessor:
         for spec, write in writes:
             self._upsert(spec, write(ran), batch_id, now)
         append_failures(w, lookups.unconfigured(ran, self.registry), f"unconfigured:{batch_id}")
-        ledger = ops.ledger_rows(states, ORDER, now)
-        if not ledger.isEmpty():
-            w.webhook_events.commit(ledger, now, batch_id=batch_id)
         return states
 
     # ---- parts: each gives the deliveries' verdicts, and the rows to write for those that ran
@@ -214,14 +243,127 @@ class WebhookProcessor:
 
     # ---- as a stream -------------------------------------------------------
 
+    def _judged(self, accepted: DataFrame) -> DataFrame:
+        """Attempts as the state takes them: key, `at`, and what is known of their fate.
+
+        Whether a payment event can be processed shows in itself. What a notification or a
+        poke stands for is only seen when the batch is settled: they are open till then.
+        """
+        mine, configured = F.lit(False), F.lit(False)
+        for spec in self.registry.all():
+            here = (F.col("provider") == spec.provider) & (F.col("entity_type") == spec.entity_type)
+            configured = configured | here
+            if spec.entity_type == vocab.PAYMENT:
+                mine = mine | here
+        mine, configured = (F.coalesce(c, F.lit(False)) for c in (mine, configured))
+        attempt = ["received_at", "attempt", "payload"]
+        others = accepted.where(~mine).select(
+            "idempotency_key", *attempt, F.when(configured, OPEN).otherwise(OK).alias("fate")
+        )
+        rows = [others]
+        for spec in self.registry.all():
+            if spec.entity_type == vocab.PAYMENT:
+                own = accepted.where((F.col("provider") == spec.provider) & (F.col("entity_type") == vocab.PAYMENT))
+                carried = own.withColumn("arrival_seq", F.struct("idempotency_key", *attempt))
+                normal = normalize.normalize_payment_event(carried, self.warehouse.mapping, spec.provider)
+                ok = F.coalesce(validate.is_valid(spec.rules()), F.lit(False))
+                rows.append(normal.select("arrival_seq.*", F.when(ok, OK).otherwise(FAILED).alias("fate")))
+        out = rows[0]
+        for more in rows[1:]:
+            out = out.unionByName(more)
+        return out.withColumn("at", F.current_timestamp())
+
+    def keyed_state(self, envelopes: DataFrame, processed: DataFrame) -> DataFrame:
+        """The stream of keys that a micro-batch touches, each with the state it is left in.
+
+        `won` is a key's first successful attempt and `last` its latest one, by batch and then
+        by arrival. `processed` brings keys that were processed without this stream's seeing
+        it, with `at` from before any batch.
+        """
+        attempts = self._judged(self.accept(envelopes))
+        known = processed.select("idempotency_key", "at", F.lit(OK).alias("fate"))
+        rows = attempts.unionByName(known, allowMissingColumns=True)
+        here = F.struct("at", "received_at", "attempt", "payload", "fate")
+        seen = rows.groupBy("idempotency_key").agg(
+            F.min(F.when(F.col("fate") == OK, here)).alias("won"),
+            F.min("at").alias("first_at"),
+            F.max(F.when(F.col("payload").isNotNull(), here)).alias("last"),
+        )
+        return seen.withColumn("now", F.current_timestamp())
+
+    def _settle_touched(self, touched: DataFrame, envelope, batch_id: str, processed: str) -> None:
+        """Settle the keys that a micro-batch brought something new for, by one attempt each."""
+        w, now = self.warehouse, self.now()
+        wins = F.col("won.at") == F.col("now")
+        runs = wins | (F.col("won").isNull() & (F.col("last.at") == F.col("now")))
+        decided = F.when(wins, F.col("won")).otherwise(F.col("last"))
+        fresh = (
+            touched.where(runs)
+            .select("idempotency_key", decided.alias("_d"), (F.col("first_at") < F.col("now")).alias("seen_before"))
+            .withColumn("_e", F.from_json("_d.payload", envelope))
+            .select(
+                *[F.col("_e")[c].alias(c) for c in envelope.names], F.col("_d.attempt").alias("attempt"),
+                F.col("_d.payload").alias("payload"), F.col("_d.fate").alias("fate"), "seen_before",
+            )
+            .withColumn("entity_type", lookups.delivery_entity())
+            .withColumn("delivery_id", F.monotonically_increasing_id())
+        )
+        fresh = self._stage(fresh, "fresh")
+        states = self._settle(fresh.drop("fate", "seen_before"), None, None, batch_id, now)
+        known = fresh.select("delivery_id", "fate", "seen_before")
+        states = self._stage(states.join(known, "delivery_id"), "settled")
+        rows = ops.ledger_rows(states, ORDER, now).join(
+            states.select(
+                "idempotency_key",
+                F.when(F.col("seen_before"), vocab.UPDATED).otherwise(vocab.CREATED).alias("outcome"),
+            ),
+            "idempotency_key",
+        )
+        if not fresh.isEmpty():
+            w.webhook_events.commit(rows, now, batch_id=batch_id)
+        # What was open became known here, which the state learns with the next batch.
+        done = states.where((F.col("fate") == OPEN) & (F.col("outcome") == vocab.PROCESSED))
+        _write_processed(done, f"{processed}/batch={batch_id.rpartition(':')[2]}")
+
     def start(
         self, envelopes: DataFrame, checkpoint: str, every: str | None = None
     ) -> StreamingQuery:
+        """Process a stream of envelopes, with the keys' state in the checkpoint.
+
+        The state begins with what the ledger has as processed when the checkpoint is new,
+        and has no end, as the ledger has none; it lies in RocksDB on the executors' disks.
+        Where several micro-batches make up one `availableNow` run, a notification or poke
+        that repeats an earlier one of that run is done again, which loads the same objects.
+        """
+        w = self.warehouse
+        spark = w.spark
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        processed = f"{checkpoint.rstrip('/')}-processed"
+        if not _exists(spark, f"{processed}/batch=start/_SUCCESS"):
+            ledger = w.webhook_events.read().where(F.col("processing_status") == vocab.PROCESSED)
+            _write_processed(ledger, f"{processed}/batch=start")
+        marks = spark.readStream.schema(PROCESSED).option("pathGlobFilter", "*.parquet").parquet(processed)
+        accepted = self.accept(envelopes)
+        own = accepted.drop("attempt", "entity_type", "payload")
+        state = self.keyed_state(envelopes, marks)
+
         def run(batch: DataFrame, batch_no: int) -> None:
-            w = self.warehouse
-            with session.scratch(w.spark, w.root) as path:
-                self.process(batch, f"{self.name}:{batch_no}", path)
+            with session.scratch(spark, w.root) as path:
+                self._scratch = path
+                touched = self._stage(batch, "touched")
+                self._settle_touched(touched, own.schema, f"{self.name}:{batch_no}", processed)
 
-        writer = envelopes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+        writer = state.writeStream.outputMode("update").foreachBatch(run)
         trigger = {"processingTime": every} if every else {"availableNow": True}
-        return writer.trigger(**trigger).start()
+        return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def _write_processed(rows: DataFrame, path: str) -> None:
+    """Keys that are processed, as of before any batch to come."""
+    at = F.timestamp_seconds(F.lit(0)).alias("at")
+    rows.select("idempotency_key", at).write.mode("overwrite").parquet(path)
+
+
+def _exists(spark, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)

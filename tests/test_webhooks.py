@@ -239,3 +239,82 @@ def test_feed_as_a_stream_with_a_restart(spark, w, root):
     go()
     assert ledger(w) == [("stripe:e1", "processed"), ("stripe:e2", "processed")]
     assert [p[:2] for p in payments(w)] == [("pi_1", "succeeded"), ("pi_2", "succeeded")]
+
+
+class Feed:
+    """A landing folder and a stream over it that is started anew each time."""
+
+    def __init__(self, spark, root, make):
+        self.spark, self.folder, self.checkpoint, self.make = spark, f"{root}/feed", f"{root}/checkpoint", make
+
+    def send(self, *envelopes):
+        lines = [(json.dumps(e),) for e in envelopes]
+        self.spark.createDataFrame(lines, "value string").coalesce(1).write.mode("append").text(self.folder)
+        stream = self.spark.readStream.schema(schemas.ENVELOPE).json(self.folder)
+        query = self.make().start(stream, self.checkpoint)
+        query.awaitTermination()
+        return query
+
+
+def test_stream_keeps_keys_in_state_and_never_reads_the_ledger(spark, w, root):
+    """What the ledger held before the stream began counts; after that only the state is asked."""
+    send(spark, processor(w), "q:0", payment_event("e0", id="pi_0"), payment_event("e9", currency="x", id="pi_9"))
+    reads, read = [], w.webhook_events.read
+    w.webhook_events.read = lambda *a, **k: reads.append(1) or read(*a, **k)
+    feed = Feed(spark, root, lambda: processor(w))
+    hot = [payment_event("e1", currency="x")] * 300
+    feed.send(payment_event("e0", "canceled", id="pi_0"), payment_event("e9", id="pi_9"), *hot)
+    assert reads == [1]  # as the checkpoint was made
+    assert dict(ledger_of(read)) == {"stripe:e0": "processed", "stripe:e9": "processed", "stripe:e1": "failed"}
+    query = feed.send(payment_event("e1"))
+    feed.send(payment_event("e1", "canceled"), payment_event("e0", "canceled", id="pi_0"))
+    assert reads == [1]
+    plan = query._jsq.explainInternal(True)
+    assert "StateStoreSave" in plan and "webhook_events" not in plan
+    # partial sums before the exchange: a key's attempts are combined where they are read
+    assert plan.count("partial_min") >= 2 and "merge_min" in plan
+    assert dict(ledger_of(read))["stripe:e1"] == "processed"
+    assert {p[0]: p[1] for p in payments(w)} == {"pi_0": "succeeded", "pi_1": "succeeded", "pi_9": "succeeded"}
+
+
+def ledger_of(read):
+    return rows(read(), "idempotency_key", "processing_status")
+
+
+def test_stream_learns_the_fate_of_notifications_and_pokes(spark, w, root):
+    landed, fate, loads = ["1"], ["boom"], []
+
+    def load(spec, batch_id):
+        loads.append(batch_id)
+        return fate[0]
+
+    feed = Feed(
+        spark, root,
+        lambda: processor(w, [registry.CONTACTS, registry.CALENDAR], objects=lambda spec: contacts(spark, *landed), on_poke=load),
+    )
+    feed.send(notice("1", "contact.creation", "1"), notice("2", "contact.creation", "2"), poke("1"))
+    first = {"hubspot:s:1": "processed", "hubspot:s:2": "failed", "google_calendar:c:r:1": "failed"}
+    assert dict(ledger(w)) == first and len(loads) == 1
+    landed.append("2")
+    fate[0] = None
+    again = [notice("1", "contact.creation", "1"), notice("2", "contact.creation", "2"), poke("1")]
+    feed.send(*again)
+    assert dict(ledger(w)) == dict.fromkeys(first, "processed") and len(loads) == 2
+    commits = w.webhook_events.commits().count()
+    feed.send(*again)
+    assert len(loads) == 2 and w.webhook_events.commits().count() == commits
+    assert rows(w.tables["contact"].read(), "source_id") == [("1",), ("2",)]
+
+
+def test_stream_replays_a_batch_that_died_before_its_ledger(spark, w, root):
+    feed = Feed(spark, root, lambda: processor(w))
+    commit = w.webhook_events.commit
+    w.webhook_events.commit = lambda *a, **k: (_ for _ in ()).throw(RuntimeError("driver lost"))
+    with pytest.raises(Exception, match="driver lost"):
+        feed.send(payment_event("e1"))
+    assert ledger(w) == [] and len(payments(w)) == 1
+    w.webhook_events.commit = commit
+    feed.send(payment_event("e1", "canceled"), payment_event("e2", id="pi_2"))
+    assert ledger(w) == [("stripe:e1", "processed"), ("stripe:e2", "processed")]
+    assert [p[:2] for p in payments(w)] == [("pi_1", "succeeded"), ("pi_2", "succeeded")]
+    assert w.tables["payment"].commits().count() == 2
