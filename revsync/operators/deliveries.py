@@ -2,7 +2,9 @@
 
 The first attempt that succeeds is processed, later ones are skipped, earlier ones
 failed. So a key's state is its first success, a minimum that every task can take for
-itself, and no key's attempts ever have to meet in one task in order.
+itself, and no key's attempts ever have to meet in one task in order. They don't meet
+unordered either: a key is dealt by salts, or by seconds where it is ranked, and only the
+minima and counts of these parts come together.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from revsync.functions import text, times
 from revsync.operators import filters
 
 ORDER = ["received_at", "attempt"]
+#: Parts that a key's attempts are dealt into; a part exists only where it has attempts.
+SALTS = 1024
 
 
 def _position(order: list[str]) -> Column:
@@ -55,13 +59,23 @@ def delivery_states(
     `process_ok` says whether processing that attempt works out. With a ledger, keys
     processed in earlier batches are skipped and keys that failed there go again.
     """
-    key, here = "idempotency_key", _position(order or ORDER)
-    rows = deliveries.join(_first_attempts(deliveries, [key], here), key, "left")
+    key, order = "idempotency_key", order or ORDER
+    here = _position(order)
+    rows = deliveries.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
+    whole_key = Window.partitionBy(key)
+    marks = _first_attempts(rows, [key, "_salt"], here).select(
+        key,
+        "_salt",
+        F.min("_first").over(whole_key).alias("_first"),
+        F.min("_first_ok").over(whole_key).alias("_first_ok"),
+    )
     ledger_status = F.lit(None).cast("string")
     if ledger is not None:
         known = ledger.select(key, F.col("processing_status").alias("_ledger"))
-        rows, ledger_status = rows.join(known, key, "left"), F.col("_ledger")
-    return rows.select(*deliveries.columns, *_judge(here, ledger_status))
+        marks, ledger_status = marks.join(known, key, "left"), F.col("_ledger")
+    return rows.join(marks, [key, "_salt"], "left").select(
+        *deliveries.columns, *_judge(here, ledger_status)
+    )
 
 
 def webhook_outcomes(deliveries: DataFrame) -> DataFrame:

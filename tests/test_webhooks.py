@@ -5,6 +5,7 @@ import random
 
 import pytest
 from helpers import at, rows
+from pyspark.sql import functions as F
 
 from revsync import schemas
 from revsync.operators import deliveries, lookups
@@ -48,6 +49,34 @@ def test_against_one_by_one_with_a_hot_key(spark):
     assert got == replay(data)
 
 
+@pytest.mark.parametrize("operator", ["webhook_outcomes", "delivery_sequence"])
+def test_a_hot_key_is_split_without_any_broadcast(spark, operator):
+    """Half of all rows have one key: no task gets more than a few parts of it."""
+    held = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        data = spark.range(40_000).selectExpr(
+            "if(id % 2 = 0, 'hot', concat('k', id)) idempotency_key", "'stripe' provider", "cast(id as int) attempt",
+            "timestamp_ntz'2026-01-01' + make_interval(0, 0, 0, 0, 0, 0, id % 5000) received_at", "id = 30000 process_ok",
+        )
+        made = getattr(deliveries, operator)(data)
+        hot = made.withColumn("task", F.spark_partition_id()).where("idempotency_key = 'hot'").groupBy("task")
+        counts = [r.n for r in hot.agg(F.count("*").alias("n"), F.max("outcome")).collect()]
+        assert sum(counts) == 20_000 and len(counts) >= 12 and max(counts) < 4_000
+        assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
+        skipped = made.where("idempotency_key = 'hot' and outcome = 'duplicate_skipped'").count()
+        position = [(i % 5000, i) for i in range(0, 40_000, 2)]
+        assert skipped == sum(p > (30_000 % 5000, 30_000) for p in position)
+    finally:
+        for k in held:
+            spark.conf.unset(k)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_ledger_status_counts(spark):
     data = [("a", "stripe", 1, NOW, True), ("b", "stripe", 1, NOW, True), ("c", "stripe", 1, NOW, False)]
     ledger = spark.createDataFrame(
