@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from revsync import schemas, session, vocab
-from revsync.functions import outcomes, times
+from revsync.functions import outcomes
 from revsync.operators import deliveries, filters, validate
 from revsync.plans import inputs
 from revsync.plans.catalog import common
 from revsync.plans.catalog.registry import CHECK_VIEWS, query
 from revsync.plans.inputs import Inputs
 from revsync.plans.store import Log
-from revsync.sources import dims, registry
+from revsync.sources import dims, landing, registry
 
 RANGE = (datetime(2024, 1, 3), datetime(2024, 1, 25))
 IN_RANGE = (
@@ -222,44 +222,80 @@ def allow_list(t: Inputs) -> DataFrame:
     return kept.select("provider", "source_id", "canonical_status")
 
 
-CURSOR_TOKEN = "2026-01-15T00:00:00.000Z"
+#: Each source's cursor, and what it has landed as: payloads, and the day each landed on.
+CURSORS = {
+    vocab.CONTACT: datetime(2026, 1, 15),
+    vocab.DEAL: datetime(1996, 3, 15),
+    vocab.EVENT: datetime(2024, 1, 15),
+    vocab.PAYMENT: datetime(2024, 1, 15),
+}
+CHECK_VIEWS["changed"] = """
+select * from (
+  select 'contact' as entity_type, id, cast(left(lastmodifieddate, 23) as timestamp) as modified,
+    timestamp '2026-01-15 00:00:00' as since from {raw_contacts}
+  union all
+  select 'deal', id, cast(left(hs_lastmodifieddate, 23) as timestamp),
+    timestamp '1996-03-15 00:00:00' from {raw_deals}
+  union all
+  select 'event', id, updated, timestamp '2024-01-15 00:00:00' from {raw_calendar}
+  union all
+  select 'payment', id, occurred_at, timestamp '2024-01-15 00:00:00' from {bad_payments})
+where modified >= since"""
+
+
+def landed_sources(t: Inputs) -> list[tuple[registry.SourceSpec, DataFrame]]:
+    """All sources' payloads, landed by day as JSON and read again; deals land once a month."""
+
+    def some_days_later(modified: Column) -> Column:
+        lag = F.pmod(F.xxhash64("id"), F.lit(3)).cast("int")
+        return F.date_add(F.coalesce(modified.cast("date"), F.lit("2026-01-31").cast("date")), lag)
+
+    sources = [
+        (registry.CONTACTS, inputs.contact_payloads(t["raw_contacts"]), some_days_later),
+        (registry.DEALS, inputs.deal_payloads(t["raw_deals"]), F.last_day),
+        (registry.CALENDAR, inputs.calendar_payloads(t["raw_calendar"]), some_days_later),
+        (registry.PAYMENTS, inputs.payment_payloads(t["bad_payments"]), some_days_later),
+    ]
+    read = []
+    for spec, payloads, on in sources:
+        path = session.new_scratch(t.spark, f"landing-{spec.entity_type}")
+        landing.land(payloads, path, on(spec.watermark()))
+        read.append((spec, landing.read_landed(t.spark, path, spec.payload)))
+    return read
+
+
+def _changed(t: Inputs) -> DataFrame:
+    out = None
+    for spec, landed in landed_sources(t):
+        changed = spec.changed_since(landed, CURSORS[spec.entity_type]).select(
+            F.lit(spec.entity_type).alias("entity_type"), "id", spec.watermark().alias("modified")
+        )
+        out = changed if out is None else out.unionByName(changed)
+    return out
 
 
-@query(
-    "watermark_filter",
-    f"select id, lastmodifieddate from {{raw_contacts}} where lastmodifieddate >= '{CURSOR_TOKEN}'",
-)
+@query("watermark_filter", "select entity_type, id, modified from {changed}")
 def watermark_filter(t: Inputs) -> DataFrame:
-    spec = registry.CONTACTS
-    since = spec.token_time(F.lit(CURSOR_TOKEN))
-    landed = inputs.contact_payloads(t["raw_contacts"])
-    return filters.watermark_filter(landed, spec.watermark(), since).select(
-        "id", F.col("properties")["lastmodifieddate"].alias("lastmodifieddate")
-    )
+    """What changed since each source's cursor; files that landed before it are not opened."""
+    return _changed(t)
 
 
 @query(
     "incremental_order",
-    f"""
-select id, lastmodifieddate from {{raw_contacts}} where lastmodifieddate >= '{CURSOR_TOKEN}'
-order by lastmodifieddate, id""",
+    "select entity_type, id, modified from {changed} order by entity_type, modified, id",
 )
 def incremental_order(t: Inputs) -> DataFrame:
-    """What changed since the cursor, oldest change first."""
-    return watermark_filter(t).orderBy("lastmodifieddate", "id")
+    """What changed since the cursors, oldest change first."""
+    return _changed(t).orderBy("entity_type", "modified", "id")
 
 
 @query(
     "last_row_watermark",
-    f"select max(lastmodifieddate) as token from {{raw_contacts}} "
-    f"where lastmodifieddate >= '{CURSOR_TOKEN}'",
+    "select entity_type, max(modified) as watermark from {changed} group by 1",
 )
 def last_row_watermark(t: Inputs) -> DataFrame:
     """The last row of an ascending load holds the greatest time: a maximum, without the sort."""
-    changed = watermark_filter(t)
-    return changed.agg(
-        times.to_iso(F.max(times.iso_ts(F.col("lastmodifieddate")))).alias("token")
-    )
+    return _changed(t).groupBy("entity_type").agg(F.max("modified").alias("watermark"))
 
 
 @query(

@@ -11,8 +11,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from revsync import schemas, session, vocab
-from revsync.functions import times
-from revsync.operators import filters, normalize, upsert, validate
+from revsync.operators import normalize, upsert, validate
 from revsync.plans.store import Commit, Cursor
 from revsync.plans.warehouse import Warehouse
 from revsync.sources.registry import SourceSpec
@@ -160,11 +159,7 @@ def run_incremental(
             log.warning("%s/%s: watermark predates landed data; loading in full", *spec.key)
             table.clear_cursor(*spec.key, now)
             mode, cursor, since, fell_back = vocab.FULL, None, None, True
-        scan = landed
-        if since is not None:
-            scan = filters.watermark_filter(landed, spec.watermark(), times.at(since))
-            if spec.stored_bound:
-                scan = scan.where(spec.stored_bound(since))
+        scan = landed if since is None else spec.changed_since(landed, since)
 
         def next_cursor(seen: str | None) -> Cursor:
             prior = cursor.token if since is not None else spec.empty_token

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from revsync.functions import times
 
 CORRUPT = "_corrupt_record"
 #: The payload as it landed, fields that no schema names included.
 LINE = "landed_line"
+#: The day of landing, where a landing folder has a folder for each.
+LANDED_ON = "landed_on"
 
 
 def _with_corrupt(schema: T.StructType) -> T.StructType:
@@ -22,6 +28,25 @@ def _arrival(df: DataFrame) -> DataFrame:
     )
 
 
+def land(payloads: DataFrame, path: str, on: Column) -> None:
+    """Add payloads to a landing folder as JSON lines, in a folder for each day `on`."""
+    lines = payloads.select(F.to_json(F.struct(*payloads.columns)).alias("value"), on.cast("date").alias(LANDED_ON))
+    lines.hint("rebalance", LANDED_ON).write.mode("append").partitionBy(LANDED_ON).text(path)
+
+
+def landed_since(landed: DataFrame, moment: datetime) -> DataFrame:
+    """Payloads of files that landed at `moment` or later; other files are not opened.
+
+    Spark prunes the folders of earlier days, and among the rest files by when they were
+    written. Payloads that tell neither stay.
+    """
+    if LANDED_ON in landed.columns:
+        landed = landed.where(F.col(LANDED_ON) >= F.lit(moment.date()))
+    if "landed_at" in landed.columns:
+        landed = landed.where(F.col("landed_at") >= times.at(moment))
+    return landed
+
+
 def read_landed(
     spark: SparkSession, path: str | list[str], schema: T.StructType, fmt: str = "json"
 ) -> DataFrame:

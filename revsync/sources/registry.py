@@ -5,13 +5,14 @@ from __future__ import annotations
 import calendar
 from collections.abc import Callable
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from revsync import schemas, vocab
 from revsync.functions import times
-from revsync.operators import normalize, validate
+from revsync.operators import filters, normalize, validate
+from revsync.sources import landing
 
 
 @dataclass(frozen=True)
@@ -33,6 +34,19 @@ class SourceSpec:
     # can skip what is older.
     stored_bound: Callable[[datetime], Column] | None = None
 
+    def changed_since(
+        self, landed: DataFrame, since: datetime, skew: timedelta = timedelta(days=1)
+    ) -> DataFrame:
+        """Landed payloads modified at `since` or later.
+
+        A payload lands after it was modified, so that what landed before is not even read;
+        `skew` is how far the provider's clock may be ahead of the one that dates files.
+        """
+        scan = landing.landed_since(landed, since - skew)
+        if self.stored_bound:
+            scan = scan.where(self.stored_bound(since))
+        return filters.watermark_filter(scan, self.watermark(), times.at(since))
+
     @property
     def key(self) -> tuple[str, str]:
         return (self.provider, self.entity_type)

@@ -5,6 +5,7 @@ from datetime import timedelta
 
 import pytest
 from helpers import at, rows
+from pyspark.sql import functions as F
 
 from revsync import schemas, vocab
 from revsync.operators import upsert
@@ -185,6 +186,53 @@ def test_payments_bound_reaches_the_scan(spark, root):
     assert [r.id for r in landed.collect()] == ["b"]
 
 
+def files_read(df):
+    """How many files a plan without a shuffle has opened, once it has run."""
+    df = df.select("*")  # metrics count a plan's first run
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    assert leaves.size() == 1
+    return leaves.apply(0).metrics().apply("numFiles").value()
+
+
+@pytest.mark.parametrize("spec", registry.default_registry().all(), ids=lambda s: s.entity_type)
+def test_days_that_landed_before_the_watermark_are_not_read(spark, root, spec):
+    path = f"{root}/landing"
+    for day in range(1, 11):
+        modified = f"2026-01-{day:02d}T12:00:00.000Z"
+        payload = {"id": f"x{day}", "updated": modified, "created": modified}
+        if spec.provider == vocab.HUBSPOT:
+            payload = {"id": f"x{day}", "properties": {"lastmodifieddate": modified, "hs_lastmodifieddate": modified}}
+        if spec.entity_type == "payment":
+            payload = intent(f"x{day}", 1767225600 + 86400 * (day - 1) + 43200)
+        line = spark.createDataFrame([(json.dumps(payload),)], "value string")
+        parsed = landing.parse_landed(line, "value", spec.payload).drop(landing.CORRUPT)
+        landing.land(parsed, path, F.lit(f"2026-01-{day:02d}"))
+    landed = landing.read_landed(spark, path, spec.payload)
+    changed = spec.changed_since(landed, at("2026-01-08T12:00"))
+    assert sorted(r.id for r in changed.collect()) == ["x10", "x8", "x9"]
+    assert files_read(changed) == 4  # the day before too, for clocks that differ
+    assert "landed_on" in changed._jdf.queryExecution().executedPlan().toString().split("PartitionFilters:")[1]
+
+
+def test_files_written_before_the_watermark_are_not_read(spark, root):
+    """A landing folder without days: Spark prunes its files by when they were written."""
+    import os
+
+    path = f"{root}/landing"
+    for k in range(4):
+        write(spark, path, intent(f"p{k}", 1767225600 + k * 86400))
+    local = path.removeprefix("file:")
+    names = {f: open(f"{local}/{f}").read() for f in os.listdir(local) if f.endswith(".txt")}
+    for f, text in names.items():
+        day = 1767225600 + int(json.loads(text)["id"][1:]) * 86400
+        os.utime(f"{local}/{f}", (day + 3600, day + 3600))
+    landed = landing.read_landed(spark, path, schemas.PAYMENT_INTENT)
+    changed = registry.PAYMENTS.changed_since(landed, at("2026-01-03"))
+    assert sorted(r.id for r in changed.collect()) == ["p2", "p3"]
+    assert files_read(changed) == 3
+
+
 def test_nothing_is_left_of_a_load_even_if_it_fails(w, landed, monkeypatch):
     """Staged rows are below the warehouse's root while a load runs, and gone after it."""
     import os
