@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from revsync import vocab
 from revsync.functions import outcomes
@@ -27,40 +27,50 @@ def _succeeded() -> Column:
     return F.col("outcome") == vocab.SUCCESS
 
 
-def _per_source(rows: DataFrame) -> DataFrame:
-    """Marks of each source, sent to the runs instead of shuffling all runs by source.
+def daily_states(jobs: DataFrame) -> DataFrame:
+    """One row per source and day that has what its status needs: states of days combine.
 
-    One row per registered source is all they hold, however many runs there are.
+    A day's last run, its last success, its runs and those after that success.
     """
-    return F.broadcast(rows)
+    position, started = _position(), F.col("started_at")
+    day = Window.partitionBy(*SOURCE, "day")
+    newest_first = day.orderBy(F.desc("started_at"), F.desc("id"))
+    rows = jobs.select(
+        *SOURCE, "id", "started_at", "finished_at", "outcome", "mode", "records_upserted",
+        F.date_trunc("day", started).alias("day"),
+    ).withColumn("_ok_since", F.count(F.when(_succeeded(), 1)).over(newest_first))
+    last = F.struct("outcome", "mode", "started_at", "finished_at", "records_upserted")
+    succeeded = F.when(_succeeded(), position)
+    return rows.groupBy(*SOURCE, "day").agg(
+        F.max(position).alias("last_at"),
+        F.max_by(last, position).alias("last"),
+        F.max(succeeded).alias("ok_at"),
+        F.max_by("finished_at", succeeded).alias("ok_finished_at"),
+        F.count(F.lit(1)).alias("runs"),
+        F.count(F.when(F.col("_ok_since") == 0, 1)).alias("runs_after_ok"),
+    )
 
 
-def _runs_at_marks(jobs: DataFrame) -> DataFrame:
-    """The runs that started last, and last with success, at each source: a few per source.
+def list_sync_status(jobs: DataFrame) -> DataFrame:
+    """The whole status table: each source's latest run, last success and runs since then.
 
-    Plain times aggregate by hashing; ordering runs by more than their time would sort
-    the whole table for these few.
+    The run log is read once. Its runs meet by source and day; what meets by source is a
+    row a day.
     """
-    marks = jobs.groupBy(*SOURCE).agg(
-        F.max("started_at").alias("_at"),
-        F.max(F.when(_succeeded(), F.col("started_at"))).alias("_ok_at"),
-    )
-    started = F.col("started_at")
-    return jobs.join(_per_source(marks), SOURCE).where(
-        (started == F.col("_at")) | (_succeeded() & (started == F.col("_ok_at")))
+    ok_day = F.max(F.when(F.col("ok_at").isNotNull(), F.col("day"))).over(Window.partitionBy(*SOURCE))
+    after = (
+        F.when(F.col("_ok_day").isNull() | (F.col("day") > F.col("_ok_day")), F.col("runs"))
+        .when(F.col("day") == F.col("_ok_day"), F.col("runs_after_ok"))
+        .otherwise(0)
     )
-
-
-def sync_status(jobs: DataFrame) -> DataFrame:
-    """The latest run of every source, and when it last succeeded."""
-    last = F.struct("outcome", "mode", "started_at", "finished_at", "records_upserted")
-    succeeded_at = F.when(_succeeded(), _position())
     return (
-        _runs_at_marks(jobs)
+        daily_states(jobs)
+        .withColumn("_ok_day", ok_day)
         .groupBy(*SOURCE)
         .agg(
-            F.max_by(last, _position()).alias("_last"),
-            F.max_by("finished_at", succeeded_at).alias("last_successful_sync_at"),
+            F.max_by("last", "last_at").alias("_last"),
+            F.max_by("ok_finished_at", "ok_at").alias("last_successful_sync_at"),
+            F.sum(after).alias("consecutive_failure_count"),
         )
         .select(
             *SOURCE,
@@ -70,28 +80,19 @@ def sync_status(jobs: DataFrame) -> DataFrame:
             F.col("_last.finished_at").alias("last_sync_completed_at"),
             "last_successful_sync_at",
             F.col("_last.records_upserted").alias("records_processed_last_run"),
+            "consecutive_failure_count",
         )
     )
 
 
-def consecutive_failures(jobs: DataFrame) -> DataFrame:
-    """Runs since the last success, partial failures included."""
-    last_ok = (
-        _runs_at_marks(jobs)
-        .groupBy(*SOURCE)
-        .agg(F.max(F.when(_succeeded(), _position())).alias("_last_ok"))
-    )
-    since = F.col("_last_ok").isNull() | (_position() > F.col("_last_ok"))
-    return (
-        jobs.join(_per_source(last_ok), SOURCE)
-        .groupBy(*SOURCE)
-        .agg(F.count(F.when(since, 1)).alias("consecutive_failure_count"))
-    )
+def sync_status(jobs: DataFrame) -> DataFrame:
+    """The latest run of every source, and when it last succeeded."""
+    return list_sync_status(jobs).drop("consecutive_failure_count")
 
 
-def list_sync_status(jobs: DataFrame) -> DataFrame:
-    """The whole status table, failure counts included."""
-    return sync_status(jobs).join(consecutive_failures(jobs), SOURCE)
+def consecutive_failures(jobs: DataFrame) -> DataFrame:
+    """Runs since the last success, partial failures included."""
+    return list_sync_status(jobs).select(*SOURCE, "consecutive_failure_count")
 
 
 def _limit(limit: int) -> int:

@@ -119,15 +119,18 @@ def revenue_order(t: Inputs) -> DataFrame:
 @query(
     "revenue_report_nested",
     f"""
-select bucket_start, bucket_end, cast(to_json(list(struct_pack(currency := currency,
+select 'bucket' as kind, bucket_start, bucket_end, cast(to_json(list(struct_pack(currency := currency,
   amount_minor := amount_minor, payment_count := payment_count) order by currency)) as varchar)
-  as totals_by_currency
-from ({_sql("canonical_payments", IN_RANGE, *_bucket("week"))}) group by 1, 2""",
+  as totals_by_currency, null as provider, null as raw_status, cast(null as bigint) as count
+from ({_sql("canonical_payments", IN_RANGE, *_bucket("week"))}) group by 1, 2, 3
+union all
+select 'warning', null, null, null, provider, raw_status, cast(count(*) as bigint)
+from {{canonical_payments}} where {IN_RANGE} and canonical_status = 'unknown' group by 5, 6""",
 )
 def revenue_report_nested(t: Inputs) -> DataFrame:
-    """Buckets with an array of totals, shown as JSON."""
-    report = ops.revenue_report(common.payments(t), *RANGE, "week")
-    return report.buckets.withColumn("totals_by_currency", F.to_json("totals_by_currency"))
+    """Buckets with an array of totals, shown as JSON, and warnings, from one scan."""
+    report = ops.report_rows(common.payments(t), *RANGE, "week")
+    return report.withColumn("totals_by_currency", F.to_json("totals_by_currency"))
 
 
 @query(
