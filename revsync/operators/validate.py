@@ -164,6 +164,8 @@ def check_rules(table: str) -> list[tuple[str, Column]]:
     """(name, predicate true for an offending row). As in SQL, a null passes a CHECK."""
     c = F.col
     return {
+        "canonical_contacts": [],
+        "failure_logs": [],
         "providers": [
             ("provider_source_system_valid", ~c("source_system").isin(vocab.SOURCE_SYSTEMS))
         ],
@@ -205,10 +207,26 @@ def check_rules(table: str) -> list[tuple[str, Column]]:
 
 def check_constraints(df: DataFrame, table: str) -> DataFrame:
     """Every row with `violations`: the names of the rules it breaks, comma-separated."""
-    return df.withColumn(
-        "violations",
-        F.concat_ws(",", *[F.when(broken, name) for name, broken in check_rules(table)]),
-    )
+    return df.withColumn("violations", violations(table))
+
+
+def violations(table: str) -> Column:
+    """The names of the table's rules that a row breaks, comma-separated; empty for none."""
+    return F.concat_ws(",", *[F.when(broken, name) for name, broken in check_rules(table)])
+
+
+def enforce(df: DataFrame, table: str) -> DataFrame:
+    """The rows as they are; one that breaks a rule of the table fails the job that writes it.
+
+    The check sits in a column rather than a filter, which the optimiser would move to where
+    rows that are not written still are.
+    """
+    if not check_rules(table):
+        return df
+    broken, first = violations(table), df.schema.fields[0]
+    message = F.concat(F.lit(f"{table} violates "), broken)
+    checked = F.when(broken == "", F.col(first.name)).otherwise(F.raise_error(message).cast(first.dataType))
+    return df.select(checked.alias(first.name), *df.columns[1:])
 
 
 def quarantine(df: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:

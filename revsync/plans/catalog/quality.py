@@ -144,11 +144,27 @@ select 'job_history', id, 'job_history_outcome_valid' from {provider_rows}
 where status not in ('success', 'partial_failure', 'failed')
 union all
 select 'payment_status_mappings', id, 'payment_status_mapping_canonical_valid' from {provider_rows}
-where status not in ('collected', 'pending', 'failed', 'refunded', 'cancelled', 'unknown')""",
+where status not in ('collected', 'pending', 'failed', 'refunded', 'cancelled', 'unknown')
+union all
+select 'providers', id, 'provider_source_system_valid' from {provider_rows} where status <> 'pending'
+union all
+select 'sync_metadata', id, concat_ws(',',
+  case when status <> 'settled' then 'sync_metadata_status_valid' end,
+  case when entity_type <> 'event' then 'sync_metadata_mode_valid' end)
+from {provider_rows} where status <> 'settled' or entity_type <> 'event'
+union all
+select 'webhook_events', id, 'webhook_event_status_valid' from {provider_rows} where status <> 'collected'
+union all
+select 'canonical_record_audit', id, 'canonical_record_audit_operation_valid'
+from {provider_rows} where status <> 'settled'""",
 )
 def check_constraints(t: Inputs) -> DataFrame:
     """Rows each table's rules keep out, and the rules they break."""
     rows = t["provider_rows"]
+
+    def instead(column: str, word: str, good: str) -> Column:
+        return F.when(F.col(column) == word, good).otherwise(F.col(column))
+
     candidates = {
         "canonical_deals": common.deals(t).withColumnRenamed("source_id", "id"),
         "canonical_events": common.calendar(t).withColumnRenamed("source_id", "id"),
@@ -159,6 +175,18 @@ def check_constraints(t: Inputs) -> DataFrame:
             "id", F.lit(vocab.FULL).alias("mode"), F.col("status").alias("outcome")
         ),
         "payment_status_mappings": rows.select("id", F.col("status").alias("canonical_status")),
+        "providers": rows.select("id", instead("status", "pending", "crm").alias("source_system")),
+        "sync_metadata": rows.select(
+            "id",
+            instead("status", "settled", vocab.SUCCESS).alias("last_sync_status"),
+            instead("entity_type", vocab.EVENT, vocab.FULL).alias("last_sync_mode"),
+        ),
+        "webhook_events": rows.select(
+            "id", instead("status", "collected", vocab.PROCESSED).alias("processing_status")
+        ),
+        "canonical_record_audit": rows.select(
+            "id", instead("status", "settled", vocab.CREATED).alias("operation")
+        ),
     }
     out = None
     for table, df in candidates.items():

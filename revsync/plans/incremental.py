@@ -8,7 +8,7 @@ import uuid
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from revsync import schemas, session, vocab
 from revsync.operators import normalize, upsert, validate
@@ -70,9 +70,11 @@ def load_rows(
     """Normalise, validate and commit landed payloads; returns the commit, fetched and failed.
 
     The payloads are scanned once: the normalised rows go to a staged table split by
-    verdict, and counts, rejects, watermark and upsert all read that. Rejects are logged
-    before the commit and changes after it, each as the batch's own, so that a repeated
-    batch leaves them as they are and one that died half-way makes up for them.
+    verdict, Spark observes their counts and watermark on the way, and rejects and upsert
+    read that table. A row that breaks a rule of its table, or whose provider does not
+    exist, is a reject like one that fails validation. Rejects are logged before the commit
+    and changes after it, each as the batch's own, so that a repeated batch leaves them as
+    they are and one that died half-way makes up for them.
     """
     with session.scratch(warehouse.spark, warehouse.root) as path:
         return _load(
@@ -80,38 +82,62 @@ def load_rows(
         )
 
 
+def _judged(warehouse: Warehouse, spec: SourceSpec, rows: DataFrame) -> DataFrame:
+    """Rows with their verdict, and `broken`: the rules of the table that each breaks."""
+    rules, table = spec.rules(), warehouse.tables[spec.entity_type].name
+    known = warehouse.providers.select(F.col("provider").alias("_known"))
+    rows = rows.join(known, F.col("provider") == F.col("_known"), "left")
+    exists = F.when(F.col("_known").isNull(), vocab.PROVIDER_EXISTS)
+    names = [F.when(broken, name) for name, broken in validate.check_rules(table)]
+    ok = validate.is_valid(rules)
+    keeps = F.col("broken") == ""
+    return (
+        rows.withColumn("broken", F.concat_ws(",", exists, *names))
+        .drop("_known")
+        .select(
+            "*",
+            (ok & keeps).alias("is_valid"),
+            F.when(~ok, validate.reject_message(rules))
+            .when(~keeps, F.concat(F.lit(vocab.VIOLATES), "broken")).alias("reject_message"),
+            F.when(~ok, validate.issues(rules)).alias("issues"),
+        )
+    )
+
+
 def _load(
     warehouse, spec, landed, job_id, now, cursor_for, batch_id, policy, path
 ) -> tuple[Commit, int, int]:
     spark = warehouse.spark
     table = warehouse.tables[spec.entity_type]
-    rules = spec.rules()
     rows = normalized(spec, landed, warehouse.mapping)
-    rows = normalize.stamp_synced_at(rows, now)
-    ok = validate.is_valid(rules)
-    staged_rows = rows.select(
-        "*",
-        ok.alias("is_valid"),
-        F.when(~ok, validate.reject_message(rules)).alias("reject_message"),
-        F.when(~ok, validate.issues(rules)).alias("issues"),
-    )
-    staged_rows.write.partitionBy("is_valid").parquet(path)
-    staged = spark.read.schema(staged_rows.schema).parquet(path)
-
-    seen = staged.agg(
+    judged = _judged(warehouse, spec, normalize.stamp_synced_at(rows, now))
+    seen = Observation(f"load-{uuid.uuid4().hex}")
+    watched = judged.observe(
+        seen,
         F.count(F.lit(1)).alias("fetched"),
         F.count(F.when(~F.col("is_valid"), 1)).alias("failed"),
         spec.token(F.max("watermark")).alias("token"),
-    ).first()
+        *[
+            F.count(F.when(broken, 1)).alias(name)
+            for name, broken in validate.check_rules(table.name)
+        ],
+    )
+    watched.write.partitionBy("is_valid").parquet(path)
+    staged = spark.read.schema(judged.schema).parquet(path)
+    counts = seen.get
+    for name, _ in validate.check_rules(table.name):
+        if counts[name]:
+            log.warning("%s: %d rows break %s", table.name, counts[name], name)
+
     order = [c for c in ("arrival_seq", "landed_at", "landed_file") if c in staged.columns]
     log_id = f"{spec.entity_type}:{batch_id or uuid.uuid4().hex}"
-    if seen.failed:
+    if counts["failed"]:
         rejects = validate.failure_rows(staged.where("not is_valid"), spec.entity_type, job_id, now)
         append_failures(warehouse, rejects, log_id)
     commit = table.commit(
         staged.where("is_valid"),
         now,
-        cursor=cursor_for(seen.token) if cursor_for else None,
+        cursor=cursor_for(counts["token"]) if cursor_for else None,
         batch_id=batch_id,
         order=[*order, "source_updated_at", "raw"],
         policy=policy,
@@ -119,7 +145,7 @@ def _load(
     warehouse.audit.append(
         upsert.audit_rows(table.changes(commit.version), spec.entity_type, job_id, now), log_id
     )
-    return commit, seen.fetched, seen.failed
+    return commit, counts["fetched"], counts["failed"]
 
 
 def append_failures(warehouse: Warehouse, rows: DataFrame, batch_id: str | None = None) -> None:
@@ -146,6 +172,9 @@ def run_incremental(
     Starts at the stored watermark (inclusive) while the cursor is usable, else reads
     everything. A watermark from before `retained_from`, the earliest payloads still
     landed, can no longer be continued: the cursor is dropped and the load is full.
+
+    `job_id` names one run. Running it again after a crash completes what it left undone, and
+    leaves one row in the run log; what it has committed is not committed twice.
     """
     spark = session.prepare(warehouse.spark)
     began = time.monotonic()
@@ -167,7 +196,7 @@ def run_incremental(
             return Cursor(*spec.key, token, now)
 
         commit, fetched, failed = load_rows(
-            warehouse, spec, scan, job_id, now, next_cursor, policy=policy
+            warehouse, spec, scan, job_id, now, next_cursor, batch_id=job_id, policy=policy
         )
         outcome = _outcome(commit.upserted, failed)
         result = RunResult(
@@ -180,7 +209,7 @@ def run_incremental(
         result = RunResult(
             job_id, *spec.key, mode, vocab.FAILED, 0, 0, 0, fell_back, now, _after(now, began), None, message
         )
-        append_failures(warehouse, run_failure(spark, result))
+        append_failures(warehouse, run_failure(spark, result), _run_id(result))
     append_job(warehouse, result)
     return result
 
@@ -207,9 +236,48 @@ def run_failure(spark: SparkSession, r: RunResult) -> DataFrame:
 
 
 def append_job(warehouse: Warehouse, r: RunResult) -> None:
-    """One row per finished run."""
+    """One row per run, whether it is run once or again."""
     row = (
         r.job_id, r.provider, r.entity_type, r.mode, r.outcome, r.started_at, r.finished_at,
         r.records_fetched, r.records_upserted, r.records_failed, r.fell_back, r.error,
     )
-    warehouse.jobs.append(warehouse.spark.createDataFrame([row], schemas.JOB_HISTORY))
+    warehouse.jobs.append(warehouse.spark.createDataFrame([row], schemas.JOB_HISTORY), _run_id(r))
+
+
+def _run_id(r: RunResult) -> str:
+    return f"{r.provider}:{r.entity_type}:{r.job_id}"
+
+
+def run_batch(
+    warehouse: Warehouse,
+    spec: SourceSpec,
+    landed: DataFrame,
+    batch_id: str,
+    now: datetime,
+    policy: str = "arrival",
+) -> RunResult:
+    """Load a stream's micro-batch as a run of its own, logged like any other.
+
+    One that fails is logged as failed and fails the stream; its replay, which has the same
+    id, takes the place of that row.
+    """
+    began = time.monotonic()
+
+    def result(outcome, fetched=0, upserted=0, failed=0, commit=None, error=None):
+        return RunResult(
+            batch_id, *spec.key, vocab.INCREMENTAL, outcome, fetched, upserted, failed, False,
+            now, _after(now, began), commit, error,
+        )
+
+    try:
+        commit, fetched, failed = load_rows(
+            warehouse, spec, landed, batch_id, now, batch_id=batch_id, policy=policy
+        )
+    except Exception as e:
+        done = result(vocab.FAILED, error=str(e).split("\n", 1)[0])
+        append_failures(warehouse, run_failure(warehouse.spark, done), _run_id(done))
+        append_job(warehouse, done)
+        raise
+    done = result(_outcome(commit.upserted, failed), fetched, commit.upserted, failed, commit)
+    append_job(warehouse, done)
+    return done

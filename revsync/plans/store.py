@@ -7,8 +7,8 @@ visible. Commit rows are numbered; who finds a number taken reads the table agai
 its outcomes and takes the next one. Should two writers still get the same number, which a
 store without exclusive renames allows, both rows stand, in the order of their deltas' names.
 
-A load writes what its batch holds and never rewrites the base; to tell new rows from old it
-reads the keys of the table. After some loads their deltas are folded into one, which costs
+A load writes what its batch holds and never rewrites the base. Rows lie in folders by a hash
+of their key, and to tell new rows from old a load reads those of its batch's keys. After some loads their deltas are folded into one, which costs
 what those deltas hold; `compact` makes a new base of everything.
 """
 
@@ -25,9 +25,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from revsync import session, vocab
 from revsync.functions import times
-from revsync.operators import upsert
+from revsync.operators import upsert, validate
 from revsync.schemas import COMMIT
 
+#: The folders that rows lie in: by a hash of their key, and deltas by the commit that wrote them.
+BUCKET = "key_bucket"
+_FOLDERS = [T.StructField("data", T.StringType()), T.StructField(BUCKET, T.IntegerType())]
 _VERSIONED = T.StructType([*COMMIT.fields, T.StructField("version", T.IntegerType())])
 
 
@@ -60,9 +63,9 @@ class Commit:
 class Table:
     """A keyed table below `root`, a folder all executors can reach.
 
-    `month_of` names the time column by whose month the base is laid out, so that a
-    date range reads only its months; within files rows are sorted by that column.
-    `fold_after` is how many deltas may pile up before they are folded into one.
+    Rows are laid out in `buckets` folders by a hash of their key. `month_of` names the time
+    column by whose month the base is laid out as well, so that a date range reads only its
+    months; within files rows are sorted by that column. `fold_after` is how many deltas may pile up before they are folded into one.
     """
 
     def __init__(
@@ -74,6 +77,8 @@ class Table:
         updated: str = "source_updated_at",
         month_of: str | None = None,
         fold_after: int = 32,
+        buckets: int = 16,
+        name: str | None = None,
     ):
         self.spark = spark
         self.root = root.rstrip("/")
@@ -82,6 +87,8 @@ class Table:
         self.updated = updated
         self.month_of = month_of
         self.fold_after = fold_after
+        self.buckets = buckets
+        self.name = name
 
     # ---- commit rows -------------------------------------------------------
 
@@ -164,27 +171,55 @@ class Table:
 
     # ---- rows --------------------------------------------------------------
 
-    def _delta(self, names: list[str]) -> DataFrame | None:
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def _write(self, rows: DataFrame, path: str, *first: str, sort: Column | None = None) -> None:
+        """Rows in a folder for each bucket, below one for each value of `first`. Even sizes
+        come from a rebalance, which splits what is too big for one file and gathers what is
+        too small."""
+        rows = rows.withColumn(BUCKET, self._bucket()).hint("rebalance", *first, BUCKET)
+        if sort is not None:
+            rows = rows.sortWithinPartitions(*first, BUCKET, sort)
+        rows.write.partitionBy(*first, BUCKET).parquet(path)
+
+    def _in(self, rows: DataFrame, buckets: list[int] | None) -> DataFrame:
+        return rows if buckets is None else rows.where(F.col(BUCKET).isin(buckets))
+
+    def buckets_of(self, rows: DataFrame) -> list[int]:
+        """The buckets of some rows' keys: at most as many numbers as there are buckets."""
+        found = rows.select(self._bucket().alias(BUCKET)).distinct().collect()
+        return sorted(r[0] for r in found)
+
+    def _delta(self, names: list[str], buckets: list[int] | None = None) -> DataFrame | None:
         """The newest row of each key among some deltas."""
         if not names:
             return None
-        schema = T.StructType([*self.schema.fields, T.StructField("data", T.StringType())])
+        schema = T.StructType([*self.schema.fields, *_FOLDERS])
         rows = (
             self.spark.read.schema(schema)
             .option("basePath", f"{self.root}/deltas")
             .parquet(*[f"{self.root}/deltas/data={x}" for x in names])
         )
+        rows = self._in(rows, buckets)
         if len(names) > 1:  # a single delta holds each key once
             rows = upsert.last_per_key(rows, self.keys, ["data"])
         return rows.select(*self.schema.names)
 
-    def _base(self, name: str | None, start: datetime | None, end: datetime | None) -> DataFrame | None:
+    def _base(
+        self,
+        name: str | None,
+        start: datetime | None,
+        end: datetime | None,
+        buckets: list[int] | None = None,
+    ) -> DataFrame | None:
         if name is None:
             return None
-        schema = self.schema
+        schema = T.StructType([*self.schema.fields, T.StructField(BUCKET, T.IntegerType())])
         if self.month_of:
-            schema = T.StructType([*schema.fields, T.StructField("month", T.StringType())])
+            schema = schema.add("month", T.StringType())
         rows = self.spark.read.schema(schema).parquet(f"{self.root}/bases/data={name}")
+        rows = self._in(rows, buckets)
         if self.month_of and start is not None:
             rows = rows.where(F.col("month") >= start.strftime("%Y-%m"))
         if self.month_of and end is not None:
@@ -196,21 +231,26 @@ class Table:
         start: datetime | None = None,
         end: datetime | None = None,
         version: int | None = None,
+        buckets: list[int] | None = None,
     ) -> DataFrame:
         """The table as of a version: the base with its deltas' rows in place of its own.
 
-        `start` and `end` prune months of the base; rows of the range's first and last
+        With `buckets` only those come out, and no other folder is read. `start` and `end` prune months of the base; rows of the range's first and last
         month outside it still come out, so filter by the exact range as well.
         """
         _, base_name, deltas = self._versions(version)
-        base = self._base(base_name, start, end)
-        delta = self._delta(deltas)
+        base = self._base(base_name, start, end, buckets)
+        delta = self._delta(deltas, buckets)
         if delta is None:
             return base if base is not None else session.empty(self.spark, self.schema)
         if base is None:
             return delta
         return upsert.upsert_snapshot(base, delta, self.keys)
 
+    def lookup(self, wanted: DataFrame) -> DataFrame:
+        """The rows of some keys, from the folders that can have them."""
+        return upsert.point_lookup(self.read(buckets=self.buckets_of(wanted)), wanted, self.keys)
+
     def commit(
         self,
         batch: DataFrame,
@@ -235,15 +275,17 @@ class Table:
             version, _, _ = self._versions()
             rows = batch
             if "outcome" not in batch.columns:
-                target = self.read()
+                target = self.read(buckets=self.buckets_of(batch))
                 if policy == "newest":
                     rows = upsert.newest_only(rows, target, self.keys, self.updated)
                 rows = upsert.upsert_outcomes(
                     rows.select(*self.schema.names), target, self.keys, self.updated
                 )
             rows = rows.select(*self.schema.names, "outcome")
+            if self.name:
+                rows = validate.enforce(rows, self.name)
             name = self._name(version + 1)
-            rows.write.parquet(f"{self.root}/deltas/data={name}")
+            self._write(rows, f"{self.root}/deltas/data={name}")
             changes = self._changes(name)
             if not order and not changes.groupBy(*self.keys).count().where("count > 1").isEmpty():
                 raise ValueError("a batch without an order must hold each key once")
@@ -285,7 +327,8 @@ class Table:
 
     def _changes(self, name: str) -> DataFrame:
         schema = T.StructType([*self.schema.fields, T.StructField("outcome", T.StringType())])
-        return self.spark.read.schema(schema).parquet(f"{self.root}/deltas/data={name}")
+        rows = self.spark.read.schema(schema).parquet(f"{self.root}/deltas/data={name}")
+        return rows.select(*schema.names)
 
     def changes(self, version: int) -> DataFrame:
         """The rows of one commit with their `outcome`."""
@@ -299,28 +342,22 @@ class Table:
         """
         version, _, deltas = self._versions()
         name = self._name(version)
-        self._delta(deltas).hint("rebalance").write.parquet(f"{self.root}/deltas/data={name}")
+        self._write(self._delta(deltas), f"{self.root}/deltas/data={name}")
         return self._commit_next(
             {"kind": "fold", "committed_at": now, "data": name, "covers": version}
         )
 
     def compact(self, now: datetime) -> int:
-        """Fold all deltas into a new base. Even sizes come from a rebalance, which splits
-        a month that is too big for one file and gathers those that are too small."""
+        """Fold all deltas into a new base."""
         version = self._versions()[0]
         rows = self.read(version=version)
         name = self._name(version + 1)
         path = f"{self.root}/bases/data={name}"
         if self.month_of:
             t = F.col(self.month_of)
-            rows = (
-                rows.withColumn("month", F.date_format(t, "yyyy-MM"))
-                .hint("rebalance", "month")
-                .sortWithinPartitions("month", t)
-            )
-            rows.write.partitionBy("month").parquet(path)
+            self._write(rows.withColumn("month", F.date_format(t, "yyyy-MM")), path, "month", sort=t)
         else:
-            rows.hint("rebalance").write.parquet(path)
+            self._write(rows, path)
         return self._commit_next(
             {"kind": "base", "committed_at": now, "data": name, "covers": version}
         )
@@ -333,15 +370,18 @@ class Log:
     """An append-only table: runs, failures, audit rows.
 
     Every batch has a folder of its own, so writers don't meet, and writing a batch again
-    replaces it.
+    replaces it. A log with a `name` keeps that table's rules.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
-        self.spark, self.path, self.schema = spark, path, schema
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, name: str | None = None):
+        self.spark, self.path, self.schema, self.name = spark, path, schema, name
 
     def append(self, rows: DataFrame, batch_id: str | None = None) -> None:
         batch = re.sub(r"[^A-Za-z0-9.-]", lambda m: f"_{ord(m[0]):x}_", batch_id or uuid.uuid4().hex)
-        rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        rows = rows.select(*self.schema.names)
+        if self.name:
+            rows = validate.enforce(rows, self.name)
+        rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
     def read(self) -> DataFrame:
         try:

@@ -183,6 +183,13 @@ AUDIT = struct(
     snapshot="string",
 )
 
+STATUS_MAPPINGS = struct(
+    provider="string",
+    raw_status="string",
+    canonical_status="string",
+    updated_at="timestamp_ntz",
+)
+
 # One row per commit of a table: the cursor sits in the row that makes its data visible.
 COMMIT = struct(
     kind="string",

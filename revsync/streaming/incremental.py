@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from revsync import session
-from revsync.plans.incremental import load_rows
+from revsync.plans.incremental import run_batch
 from revsync.plans.warehouse import Warehouse
 from revsync.sources.registry import SourceSpec
 
@@ -31,14 +31,15 @@ def stream_incremental(
 ) -> StreamingQuery:
     """Load what lands: everything there is and then stop, or `every` '15 minutes' for good.
 
-    A batch replayed after a crash carries the same id and is found committed.
+    Every micro-batch is a run in the run log. One replayed after a crash carries the same id
+    and is found committed.
     """
 
     session.prepare(warehouse.spark)
 
     def load(batch: DataFrame, batch_no: int) -> None:
         batch_id = f"{name}:{batch_no}"
-        load_rows(warehouse, spec, batch, batch_id, now(), batch_id=batch_id, policy=policy)
+        run_batch(warehouse, spec, batch, batch_id, now(), policy=policy)
 
     writer = landed.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": every} if every else {"availableNow": True}

@@ -106,7 +106,7 @@ class WebhookProcessor:
         self._scratch = scratch or session.new_scratch(w.spark, "webhooks")
         accepted = self.accept(envelopes).withColumn("delivery_id", F.monotonically_increasing_id())
         accepted = self._stage(accepted, "deliveries")
-        ledger = self._ledger(batch_id)
+        ledger = self._ledger(batch_id, accepted)
         states = self._settle(
             lookups.new_deliveries(accepted, ledger),
             lookups.known_deliveries(accepted, ledger),
@@ -173,11 +173,13 @@ class WebhookProcessor:
         path = f"{self._scratch}/{name}-{uuid.uuid4().hex}"
         return session.stage_at(df, path, self.warehouse.spark)
 
-    def _ledger(self, batch_id: str) -> DataFrame:
-        """The ledger as it was before this batch, also when the batch is replayed."""
+    def _ledger(self, batch_id: str, accepted: DataFrame) -> DataFrame:
+        """The ledger as it was before this batch, also when the batch is replayed; of it what
+        the batch's keys can be in."""
         table = self.warehouse.webhook_events
         done = table.commits().where(F.col("batch_id") == batch_id).first()
-        return table.read(version=done.version - 1) if done else table.read()
+        buckets = table.buckets_of(accepted)
+        return table.read(version=done.version - 1 if done else None, buckets=buckets)
 
     def _payments(self, spec: SourceSpec, rows: DataFrame):
         """Payment events carry the payment itself."""

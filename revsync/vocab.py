@@ -172,3 +172,7 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
+
+#: The rule that a row's provider exists, and how a reject tells the rules it breaks.
+PROVIDER_EXISTS = "provider_exists"
+VIOLATES = "Violates: "

@@ -252,3 +252,100 @@ def test_nothing_is_left_of_a_load_even_if_it_fails(w, landed, monkeypatch):
     result = run(w, landed(), "j2")
     assert (result.outcome, result.error) == ("failed", "lost") and not left()
     assert result.finished_at > result.started_at
+
+
+def test_a_run_repeated_by_its_id_leaves_one_row_of_everything(w, landed, monkeypatch):
+    """The run dies after its commit: run again it makes up for its audit rows and its log row."""
+    df = landed(intent("a", 100), intent("b", 100, amount=-1))
+    append = w.audit.append
+    monkeypatch.setattr(w.audit, "append", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+    assert run(w, df, "j1").outcome == "failed"
+    monkeypatch.setattr(w.audit, "append", append)
+    result = run(w, df, "j1", NOW + timedelta(minutes=1))
+    assert (result.outcome, result.records_upserted, result.records_failed) == ("partial_failure", 1, 1)
+    assert rows(w.jobs.read(), "id", "outcome") == [("j1", "partial_failure")]
+    assert rows(w.audit.read(), "source_id", "operation") == [("a", "created")]
+    assert w.tables["payment"].commits().where("kind = 'delta'").count() == 1
+    assert w.failures.read().where("error_code = 'MALFORMED_RESPONSE'").count() == 1
+
+
+def test_every_micro_batch_is_one_run(w, spark, root):
+    path, checkpoint = f"{root}/landing", f"{root}/checkpoint"
+
+    def go():
+        stream = landing.stream_landed(spark, path, schemas.PAYMENT_INTENT)
+        stream_incremental(w, registry.PAYMENTS, stream, checkpoint).awaitTermination()
+
+    columns = ("id", "mode", "outcome", "records_fetched", "records_upserted", "records_failed")
+    write(spark, path, intent("a", 1), intent("b", 1, amount=-1))
+    go()
+    first = ("incremental:0", "incremental", "partial_failure", 2, 1, 1)
+    assert rows(w.jobs.read(), *columns) == [first]
+    write(spark, path, intent("c", 2))
+    commit, table = w.tables["payment"].commit, w.tables["payment"]
+    table.commit = lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost"))
+    with pytest.raises(Exception, match="lost"):
+        go()
+    assert rows(w.jobs.read(), *columns) == [first, ("incremental:1", "incremental", "failed", 0, 0, 0)]
+    assert w.failures.read().where("error_code = 'UNEXPECTED_ERROR'").count() == 1
+    table.commit = commit
+    go()
+    assert rows(w.jobs.read(), *columns) == [first, ("incremental:1", "incremental", "success", 1, 1, 0)]
+
+
+def test_rows_that_break_a_rule_of_their_table_are_rejects(w, spark, monkeypatch):
+    """Rules of the table, and that the provider exists, hold whatever validation lets through."""
+    from dataclasses import replace
+
+    event = ("e", "s", None, None, "confirmed", (None, "2026-01-02", None), (None, "2026-01-03", None),
+             None, None, None, None, None, None, "2026-01-01T00:00:00Z")
+    late = ("f", *event[1:5], (None, "2026-01-05", None), *event[6:])
+    landed_ = spark.createDataFrame([event, late], schemas.CALENDAR_EVENT)
+    lax = replace(registry.CALENDAR, rules=lambda: [])
+    result = run_incremental(w, lax, landed_, NOW, "j1")
+    assert (result.outcome, result.records_failed) == ("partial_failure", 1)
+    assert rows(w.tables["event"].read(), "source_id") == [("e",)]
+    assert [r.message for r in w.failures.read().collect()] == ["Violates: event_end_after_start"]
+    other = replace(lax, normalize=lambda df: registry.CALENDAR.normalize(df, "legacy"))
+    assert run_incremental(w, other, landed_, NOW, "j2").records_upserted == 0
+    assert {r.message for r in w.failures.read().where("job_id = 'j2'").collect()} == {
+        "Violates: provider_exists", "Violates: provider_exists,event_end_after_start",
+    }
+
+
+@pytest.mark.parametrize("table", ["job_history", "canonical_record_audit", "webhook_events", "payment_status_mappings"])
+def test_other_tables_take_no_row_that_breaks_a_rule(w, spark, table):
+    log = {"job_history": w.jobs, "canonical_record_audit": w.audit}.get(table)
+    keyed = {"webhook_events": w.webhook_events, "payment_status_mappings": w.mapping_edits}.get(table)
+    schema = (log or keyed).schema
+    row = [None if f.name not in ("idempotency_key", "raw_status", "provider", "mode") else "x" for f in schema.fields]
+    column = {"job_history": "outcome", "canonical_record_audit": "operation", "webhook_events": "processing_status",
+              "payment_status_mappings": "canonical_status"}[table]
+    row[schema.names.index(column)] = "nonsense"
+    bad = spark.createDataFrame([tuple(row)], schema)
+    with pytest.raises(Exception, match=f"{table} violates"):
+        log.append(bad, "b") if log else keyed.commit(bad, NOW)
+    assert (log or keyed).read().count() == 0
+
+
+def test_an_edit_of_the_mapping_is_used_by_the_next_micro_batch(w, spark, root):
+    """Edited through one session and warehouse, seen by a stream of another."""
+    path, checkpoint = f"{root}/landing", f"{root}/checkpoint"
+
+    def go():
+        stream = landing.stream_landed(spark, path, schemas.PAYMENT_INTENT)
+        stream_incremental(w, registry.PAYMENTS, stream, checkpoint).awaitTermination()
+        return rows(w.tables["payment"].read(), "source_id", "canonical_status")
+
+    write(spark, path, intent("a", 1, status="settled"))
+    assert go() == [("a", "unknown")]
+    elsewhere = Warehouse(spark.newSession(), w.root)
+    word = "provider string, raw_status string, canonical_status string"
+    elsewhere.edit_mapping(elsewhere.spark.createDataFrame([("stripe", "settled", "collected")], word), NOW)
+    write(spark, path, intent("b", 1, status="settled"), intent("c", 1))
+    assert go() == [("a", "unknown"), ("b", "collected"), ("c", "collected")]
+    with pytest.raises(Exception):
+        elsewhere.edit_mapping(elsewhere.spark.createDataFrame([("stripe", "settled", "paid")], word), NOW)
+    with pytest.raises(Exception, match="bad payment status mapping"):
+        elsewhere.edit_mapping(elsewhere.spark.createDataFrame([("nobody", "settled", "collected")], word), NOW)
+    assert w.mapping.where("raw_status = 'settled'").first().canonical_status == "collected"

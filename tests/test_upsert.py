@@ -264,3 +264,42 @@ def test_audit_rows(spark):
     out = upsert.upsert_outcomes(frame(spark, ("a", 1, T1), ("b", 2, T2), ("c", 3, T1)), target)
     got = rows(upsert.audit_rows(out, "payment", "j", NOW), "source_id", "operation")
     assert got == [("b", "updated"), ("c", "created")]
+
+
+def test_a_batch_reads_only_its_keys_folders(spark, root):
+    """Of deltas, folds and bases alike, for an upsert and for a lookup."""
+    t = table(spark, root, buckets=8)
+    many = [(f"k{i}", i, T1) for i in range(200)]
+    t.commit(frame(spark, *many), NOW)
+    t.commit(frame(spark, *many[:50]), NOW)
+    one = frame(spark, ("k7", 70, T2))
+    asked, read = [], t.read
+    t.read = lambda *a, **k: asked.append(k.get("buckets")) or read(*a, **k)
+    bucket = t.buckets_of(one)
+    assert len(bucket) == 1
+    for step in (lambda: t.fold(NOW), lambda: t.compact(NOW), lambda: None):
+        t.commit(one, NOW)
+        assert asked[-1] == bucket
+        found = t.lookup(one)
+        assert rows(found) == [("stripe", "k7", 70, T2)]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        parts = [p.split("]")[0] for p in plan.split("PartitionFilters: [")[1:]]
+        assert parts and all("key_bucket" in p for p in parts)
+        step()
+    assert t.read().count() == 200
+
+
+def test_files_of_other_folders_are_not_opened(spark, root):
+    t = table(spark, root, buckets=8)
+    t.commit(frame(spark, *[(f"k{i}", i, T1) for i in range(200)]), NOW)
+    one = t.buckets_of(frame(spark, ("k7", 70, T2)))
+    part = t.read(buckets=one)
+    kept = part.count()
+    assert 0 < kept < 60
+    part = part.select("*")
+    part.collect()
+    files = part._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().apply("numFiles").value()
+    everything = t.read()
+    everything.collect()
+    total = everything._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().apply("numFiles").value()
+    assert files < total / 4
