@@ -41,12 +41,10 @@ def _known_currency(currency: Column) -> Column:
     return plain | normalize_currency(currency).rlike(vocab.CURRENCY_PATTERN)
 
 
-def money_error(amount_minor: Column, currency: Column) -> Column:
-    """Why (amount, currency) is not money, or null."""
+def money_error(amount_minor: Column, currency: Column, missing: str = vocab.NULL) -> Column:
+    """Why (amount, currency) is not money, or null. `missing` is what a missing amount is called."""
     return (
-        F.when(
-            amount_minor.isNull(), F.lit(vocab.AMOUNT_NOT_INTEGER % vocab.NOT_A_NUMBER)
-        )
+        F.when(amount_minor.isNull(), F.lit(vocab.AMOUNT_NOT_INTEGER % missing))
         .when(amount_minor < 0, F.format_string(vocab.AMOUNT_NEGATIVE, amount_minor.cast("string")))
         .when(
             ~F.coalesce(_known_currency(currency), F.lit(False)),

@@ -125,7 +125,7 @@ def normalize_deals(df: DataFrame, provider: str = vocab.HUBSPOT) -> DataFrame:
         ).alias("normalize_ok"),
         F.coalesce(
             _unreadable(df),
-            F.when(~no_amount, money.money_error(c("_minor"), currency)),
+            F.when(~no_amount, money.money_error(c("_minor"), currency, vocab.NOT_A_NUMBER)),
             _date_error(**dates),
         ).alias("normalize_error"),
         *_carried(df),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, functions as F
 
-from revsync.operators import normalize, validate
+from revsync.operators import filters, normalize, validate
 from revsync.plans import inputs
 from revsync.plans.catalog.registry import CHECK_VIEWS
 from revsync.plans.inputs import Inputs
@@ -22,15 +24,34 @@ def calendar(t: Inputs) -> DataFrame:
     return normalize.normalize_calendar(inputs.calendar_payloads(t["raw_calendar"]))
 
 
+#: Where a projection of payments takes their times from. A bound of whole seconds means the
+#: same on the column as it is stored, which a scan can skip by.
+_STORED_TIME = {"raw_payments": ("events", "ts"), "raw_payments_bench": ("lineitem", "l_shipdate")}
+
+
+def payments_between(t: Inputs, start: datetime, end: datetime, source: str = "raw_payments") -> DataFrame:
+    """Canonical payments of a range, and of the stored table only that range."""
+    table, column = _STORED_TIME[source]
+    raw = t.project(source, {table: filters.range_filter(t[table], column, start, end)})
+    return _valid(_canonical(t, raw))
+
+
 def all_payments(t: Inputs, source: str = "raw_payments") -> DataFrame:
-    raw = t[source]
+    return _canonical(t, t[source])
+
+
+def _canonical(t: Inputs, raw: DataFrame) -> DataFrame:
     provider = F.col("provider") if "provider" in raw.columns else "stripe"
     return normalize.normalize_payments(inputs.payment_payloads(raw), t["status_map"], provider)
 
 
 def payments(t: Inputs, source: str = "raw_payments") -> DataFrame:
     """Canonical payments: the valid ones."""
-    return validate.split_valid_rejects(all_payments(t, source), validate.payment_rules())[0]
+    return _valid(all_payments(t, source))
+
+
+def _valid(rows: DataFrame) -> DataFrame:
+    return validate.split_valid_rejects(rows, validate.payment_rules())[0]
 
 
 CHECK_VIEWS.update(
@@ -109,7 +130,7 @@ from {calendar_norm}""",
 select 'stripe' as provider, id as source_id, amount as amount_minor,
   concat_ws('; ', case when coalesce(id, '') = '' then 'sourceId: sourceId is required' end,
     case when amount < 0 then 'amount: amount must be non-negative' end) as issue_text,
-  case when amount is null then 'Money.amountMinor must be an integer, got NaN'
+  case when amount is null then 'Money.amountMinor must be an integer, got null'
     when amount < 0 then concat('Money.amountMinor must be >= 0, got ', cast(amount as varchar))
     when not regexp_matches(upper(trim(currency)), '^[A-Z][A-Z][A-Z]$')
       then concat('Money.currency must be an ISO-4217 code, got "', currency, '"')

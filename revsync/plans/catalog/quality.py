@@ -62,14 +62,12 @@ select case when normalize_error is null and issue_text = '' then 'valid' else '
 from {deals_all} group by 1""",
 )
 def split_valid_rejects(t: Inputs) -> DataFrame:
-    valid, rejects = validate.split_valid_rejects(common.deals(t), validate.deal_rules())
-
-    def counted(df: DataFrame, part: str) -> DataFrame:
-        return df.groupBy(F.lit(part).alias("part")).agg(
-            F.count(F.lit(1)).alias("records"), F.sum("amount_minor").alias("amount_minor")
-        )
-
-    return counted(valid, "valid").unionByName(counted(rejects, "reject"))
+    """Both parts' sums from one scan."""
+    judged = validate.check(common.deals(t), validate.deal_rules())
+    part = F.when(F.col("is_valid"), "valid").otherwise("reject").alias("part")
+    return judged.groupBy(part).agg(
+        F.count(F.lit(1)).alias("records"), F.sum("amount_minor").alias("amount_minor")
+    )
 
 
 def _rejects(t: Inputs, entity: str) -> DataFrame:
@@ -236,7 +234,7 @@ def enum_filter(t: Inputs) -> DataFrame:
     f"select provider, source_id, occurred_at from {{canonical_payments}} where {IN_RANGE}",
 )
 def range_filter(t: Inputs) -> DataFrame:
-    kept = filters.range_filter(common.payments(t), "occurred_at", *RANGE)
+    kept = filters.range_filter(common.payments_between(t, *RANGE), "occurred_at", *RANGE)
     return kept.select("provider", "source_id", "occurred_at")
 
 

@@ -57,26 +57,26 @@ def map_status(t: Inputs) -> DataFrame:
     ),
 )
 def revenue_total(t: Inputs) -> DataFrame:
-    return ops.revenue(common.payments(t), *RANGE)
+    return ops.revenue(common.payments_between(t, *RANGE), *RANGE)
 
 
 @query("revenue_daily", _sql("canonical_payments", IN_RANGE, *_bucket("day")))
 def revenue_daily(t: Inputs) -> DataFrame:
-    return ops.revenue(common.payments(t), *RANGE, "day")
+    return ops.revenue(common.payments_between(t, *RANGE), *RANGE, "day")
 
 
 @query("revenue_weekly", _sql("canonical_payments", IN_RANGE, *_bucket("week")))
 def revenue_weekly(t: Inputs) -> DataFrame:
-    return ops.revenue(common.payments(t), *RANGE, "week")
+    return ops.revenue(common.payments_between(t, *RANGE), *RANGE, "week")
 
 
 @query("revenue_monthly", _sql("canonical_payments", IN_RANGE, *_bucket("month")))
 def revenue_monthly(t: Inputs) -> DataFrame:
-    return ops.revenue(common.payments(t), *RANGE, "month")
+    return ops.revenue(common.payments_between(t, *RANGE), *RANGE, "month")
 
 
 def _long(t: Inputs, granularity: str) -> DataFrame:
-    return ops.revenue(common.payments(t, "raw_payments_bench"), *LONG_RANGE, granularity)
+    return ops.revenue(common.payments_between(t, *LONG_RANGE, "raw_payments_bench"), *LONG_RANGE, granularity)
 
 
 @query(
@@ -113,7 +113,7 @@ def revenue_monthly_years(t: Inputs) -> DataFrame:
     + " order by bucket_start nulls first, currency",
 )
 def revenue_order(t: Inputs) -> DataFrame:
-    return ops.revenue_order(ops.revenue(common.payments(t), *RANGE, "week"))
+    return ops.revenue_order(ops.revenue(common.payments_between(t, *RANGE), *RANGE, "week"))
 
 
 @query(
@@ -129,7 +129,7 @@ from {{canonical_payments}} where {IN_RANGE} and canonical_status = 'unknown' gr
 )
 def revenue_report_nested(t: Inputs) -> DataFrame:
     """Buckets with an array of totals, shown as JSON, and warnings, from one scan."""
-    report = ops.report_rows(common.payments(t), *RANGE, "week")
+    report = ops.report_rows(common.payments_between(t, *RANGE), *RANGE, "week")
     return report.withColumn("totals_by_currency", F.to_json("totals_by_currency"))
 
 
@@ -140,7 +140,7 @@ select provider, raw_status, cast(count(*) as bigint) as count from {{canonical_
 where {IN_RANGE} and canonical_status = 'unknown' group by 1, 2""",
 )
 def unknown_status_warnings(t: Inputs) -> DataFrame:
-    return ops.unknown_statuses(common.payments(t), *RANGE)
+    return ops.unknown_statuses(common.payments_between(t, *RANGE), *RANGE)
 
 
 @query(
@@ -150,7 +150,7 @@ select provider, raw_status, cast(count(*) as bigint) as count from {{bench_paym
 where {IN_LONG_RANGE} and canonical_status = 'unknown' group by 1, 2""",
 )
 def unknown_status_warnings_years(t: Inputs) -> DataFrame:
-    return ops.unknown_statuses(common.payments(t, "raw_payments_bench"), *LONG_RANGE)
+    return ops.unknown_statuses(common.payments_between(t, *LONG_RANGE, "raw_payments_bench"), *LONG_RANGE)
 
 
 @query(

@@ -31,7 +31,7 @@ def amount_to_minor(t: Inputs) -> DataFrame:
     "money",
     """
 select id, amount as amount_minor, upper(trim(currency)) as currency,
-  case when amount is null then 'Money.amountMinor must be an integer, got NaN'
+  case when amount is null then 'Money.amountMinor must be an integer, got null'
     when amount < 0 then concat('Money.amountMinor must be >= 0, got ', cast(amount as varchar))
     when not regexp_matches(upper(trim(currency)), '^[A-Z][A-Z][A-Z]$')
       then concat('Money.currency must be an ISO-4217 code, got "', currency, '"')

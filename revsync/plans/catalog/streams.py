@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from revsync import session, vocab
-from revsync.plans import inputs
+from revsync.plans import inputs, objects
 from revsync.plans.catalog import common  # noqa: F401  (defines check views)
 from revsync.plans.catalog.registry import CHECK_VIEWS, query
+from revsync.plans.incremental import run_incremental
 from revsync.plans.inputs import Inputs
 from revsync.plans.warehouse import Warehouse
-from revsync.sources.registry import CONTACTS, DEALS, PAYMENTS, Registry, SourceSpec
-from revsync.streaming.incremental import stream_incremental
+from revsync.sources.registry import CALENDAR, CONTACTS, DEALS, PAYMENTS, Registry, SourceSpec
+from revsync.streaming.incremental import stream_incremental, utc_now
 from revsync.streaming.webhooks import WebhookProcessor
 
 
@@ -97,23 +98,34 @@ where issue_text = '' and source_id in (select object_id from {raw_envelopes}
 union all
 select 'deal', source_id, source_updated_at from {deals_all}
 where issue_text = '' and normalize_error is null and source_id in (
-  select object_id from {raw_envelopes} where event_type like 'deal.%' and lag_seconds <= 300)""",
+  select object_id from {raw_envelopes} where event_type like 'deal.%' and lag_seconds <= 300)
+union all
+select 'event', source_id, source_updated_at from {calendar_all}
+where issue_text = '' and exists (select 1 from {raw_envelopes}
+  where provider = 'google_calendar' and resource_state <> 'sync' and channel_token = 'secret')""",
 )
 def stream_object_notifications(t: Inputs) -> DataFrame:
-    """Contacts and deals that notifications brought in."""
+    """Contacts and deals that notifications brought in, and events that pokes had loaded."""
     w = _warehouse(t)
+    landed = {
+        CONTACTS: inputs.contact_payloads(t["raw_contacts"]),
+        DEALS: inputs.deal_payloads(t["raw_deals"]),
+    }
+    for spec, payloads in landed.items():
+        objects.keep(w, spec, payloads, "landed", utc_now())
 
-    def objects(spec: SourceSpec) -> DataFrame:
-        if spec is CONTACTS:
-            return inputs.contact_payloads(t["raw_contacts"])
-        return inputs.deal_payloads(t["raw_deals"])
+    def load_calendar(spec: SourceSpec, batch_id: str) -> str | None:
+        payloads = inputs.calendar_payloads(t["raw_calendar"])
+        return run_incremental(w, spec, payloads, utc_now(), batch_id).error
 
     feed = t.project("raw_envelopes", {"events": t.stream("events")})
-    processor = WebhookProcessor(w, Registry([CONTACTS, DEALS]), objects)
+    processor = WebhookProcessor(
+        w, Registry([CONTACTS, DEALS, CALENDAR]), on_poke=load_calendar, channel_token="secret"
+    )
     query_ = processor.start(inputs.envelopes(feed), session.new_scratch(t.spark, "checkpoint"))
     query_.awaitTermination()
     loaded = None
-    for entity in (vocab.CONTACT, vocab.DEAL):
+    for entity in (vocab.CONTACT, vocab.DEAL, vocab.EVENT):
         rows = w.tables[entity].read().select(
             F.lit(entity).alias("entity_type"), "source_id", "source_updated_at"
         )

@@ -84,7 +84,7 @@ def load_rows(
 
 def _judged(warehouse: Warehouse, spec: SourceSpec, rows: DataFrame) -> DataFrame:
     """Rows with their verdict, and `broken`: the rules of the table that each breaks."""
-    rules, table = spec.rules(), warehouse.tables[spec.entity_type].name
+    rules, table = spec.rules(), warehouse.names[spec.entity_type]
     known = warehouse.providers.select(F.col("provider").alias("_known"))
     rows = rows.join(known, F.col("provider") == F.col("_known"), "left")
     exists = F.when(F.col("_known").isNull(), vocab.PROVIDER_EXISTS)
@@ -108,7 +108,7 @@ def _load(
     warehouse, spec, landed, job_id, now, cursor_for, batch_id, policy, path
 ) -> tuple[Commit, int, int]:
     spark = warehouse.spark
-    table = warehouse.tables[spec.entity_type]
+    table, name = warehouse.tables[spec.entity_type], warehouse.names[spec.entity_type]
     rows = normalized(spec, landed, warehouse.mapping)
     judged = _judged(warehouse, spec, normalize.stamp_synced_at(rows, now))
     seen = Observation(f"load-{uuid.uuid4().hex}")
@@ -118,16 +118,16 @@ def _load(
         F.count(F.when(~F.col("is_valid"), 1)).alias("failed"),
         spec.token(F.max("watermark")).alias("token"),
         *[
-            F.count(F.when(broken, 1)).alias(name)
-            for name, broken in validate.check_rules(table.name)
+            F.count(F.when(broken, 1)).alias(rule)
+            for rule, broken in validate.check_rules(name)
         ],
     )
     watched.write.partitionBy("is_valid").parquet(path)
     staged = spark.read.schema(judged.schema).parquet(path)
     counts = seen.get
-    for name, _ in validate.check_rules(table.name):
-        if counts[name]:
-            log.warning("%s: %d rows break %s", table.name, counts[name], name)
+    for rule, _ in validate.check_rules(name):
+        if counts[rule]:
+            log.warning("%s: %d rows break %s", name, counts[rule], rule)
 
     order = [c for c in ("arrival_seq", "landed_at", "landed_file") if c in staged.columns]
     log_id = f"{spec.entity_type}:{batch_id or uuid.uuid4().hex}"

@@ -37,6 +37,12 @@ class Warehouse:
                 "canonical_payments", schemas.PAYMENTS, month_of="occurred_at"
             ),
         }
+        self.objects = {
+            entity: self._table(
+                f"landed_objects/{entity}", schemas.LANDED_OBJECTS, updated="modified"
+            )
+            for entity in (vocab.CONTACT, vocab.DEAL)
+        }
         self.webhook_events = self._table(
             "webhook_events",
             schemas.WEBHOOK_EVENTS,
@@ -48,10 +54,11 @@ class Warehouse:
         self.audit = self._log("canonical_record_audit", schemas.AUDIT)
 
     def _table(self, name: str, schema, **kw) -> Table:
-        return Table(self.spark, f"{self.root}/{name}", schema, name=name, **kw)
+        rules = name if name in validate.TABLES else None
+        return Table(self.spark, f"{self.root}/{name}", schema, name=rules, **kw)
 
     def _log(self, name: str, schema) -> Log:
-        return Log(self.spark, f"{self.root}/{name}", schema, name)
+        return Log(self.spark, f"{self.root}/{name}", schema, name if name in validate.TABLES else None)
 
     @property
     def mapping(self) -> DataFrame:
@@ -64,15 +71,17 @@ class Warehouse:
         checked = dims.check_status_map(validate.enforce(edits, "payment_status_mappings"))
         self.mapping_edits.commit(checked.withColumn("updated_at", times.at(now)), now)
 
+    #: The canonical tables' names.
+    names = {
+        vocab.CONTACT: "canonical_contacts",
+        vocab.DEAL: "canonical_deals",
+        vocab.EVENT: "canonical_events",
+        vocab.PAYMENT: "canonical_payments",
+    }
+
     def register_views(self) -> None:
         """The canonical tables as temporary views, for SQL."""
-        names = {
-            vocab.CONTACT: "canonical_contacts",
-            vocab.DEAL: "canonical_deals",
-            vocab.EVENT: "canonical_events",
-            vocab.PAYMENT: "canonical_payments",
-        }
-        for entity, name in names.items():
+        for entity, name in self.names.items():
             self.tables[entity].read().createOrReplaceTempView(name)
         self.webhook_events.read().createOrReplaceTempView("webhook_events")
         self.jobs.read().createOrReplaceTempView("job_history")

@@ -183,6 +183,9 @@ AUDIT = struct(
     snapshot="string",
 )
 
+LANDED_OBJECTS = struct(
+    **_KEY, modified="timestamp_ntz", payload="string"
+)
 STATUS_MAPPINGS = struct(
     provider="string",
     raw_status="string",

@@ -50,13 +50,12 @@ def landed_since(landed: DataFrame, moment: datetime) -> DataFrame:
 def read_landed(
     spark: SparkSession, path: str | list[str], schema: T.StructType, fmt: str = "json"
 ) -> DataFrame:
-    """A batch scan. JSON lines keep their text in `landed_line`; lines that are no JSON come
-    out with `_corrupt_record` filled."""
+    """A batch scan, with each payload whole in `landed_line`: a JSON line's text, or another
+    format's row as JSON, whatever columns the files have besides the schema's. Lines that are
+    no JSON come out with `_corrupt_record` filled."""
     if fmt == "json":
         return _json_lines(spark.read.format("text").load(path), schema)
-    return _arrival(spark.read.format(fmt).schema(schema).load(path)).withColumn(
-        CORRUPT, F.lit(None).cast("string")
-    )
+    return _whole_rows(spark.read.format(fmt).option("mergeSchema", "true").load(path), schema)
 
 
 def stream_landed(
@@ -75,9 +74,40 @@ def stream_landed(
         reader = reader.option("pathGlobFilter", path_glob)
     if fmt == "json":
         return _json_lines(reader.load(path), schema)
-    return _arrival(reader.schema(schema).load(path)).withColumn(
-        CORRUPT, F.lit(None).cast("string")
-    )
+    landed = spark.read.format(fmt).option("mergeSchema", "true").load(path).schema
+    return _whole_rows(reader.schema(landed).load(path), schema)
+
+
+def _whole_rows(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """Rows of files that have their own columns: those of the schema, and all of them as JSON.
+
+    A query that doesn't ask for the JSON reads the schema's columns only.
+    """
+    own = [c for c in rows.columns if c != LANDED_ON]
+    typed = [_shaped(F.col(f.name), rows.schema[f.name].dataType, f.dataType).alias(f.name)
+             if f.name in own else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+    landed = _arrival(rows).withColumn(LINE, F.to_json(F.struct(*own)))
+    others = [c for c in (LANDED_ON, "landed_at", "landed_file", LINE) if c in landed.columns]
+    return landed.select(*others, *typed, F.lit(None).cast("string").alias(CORRUPT))
+
+
+def _shaped(c: Column, have: T.DataType, want: T.DataType) -> Column:
+    """A column with the fields that are wanted, by name at every depth."""
+    if isinstance(have, T.StructType) and isinstance(want, T.StructType):
+        names = have.names
+        fields = [
+            (_shaped(c[f.name], have[f.name].dataType, f.dataType) if f.name in names
+             else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in want.fields
+        ]
+        return F.when(c.isNotNull(), F.struct(*fields))
+    if isinstance(have, T.ArrayType) and isinstance(want, T.ArrayType):
+        return F.transform(c, lambda x: _shaped(x, have.elementType, want.elementType))
+    if isinstance(have, T.MapType) and isinstance(want, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[c[f.name].cast(f.dataType).alias(f.name) for f in want.fields]))
+    if isinstance(have, (T.StructType, T.MapType)) and isinstance(want, T.StringType):
+        return F.to_json(c)
+    return c.cast(want)
 
 
 def _json_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:

@@ -18,10 +18,12 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from revsync import session, vocab
+from revsync import schemas, session, vocab
 from revsync.operators import deliveries as ops, lookups, normalize, upsert, validate
+from revsync.plans import objects
 from revsync.plans.incremental import append_failures, normalized
 from revsync.plans.warehouse import Warehouse
+from revsync.sources import landing
 from revsync.sources.registry import Registry, SourceSpec
 from revsync.streaming.incremental import utc_now
 
@@ -59,7 +61,8 @@ def _verdict(rows: DataFrame, ok: Column, error: Column) -> DataFrame:
 class WebhookProcessor:
     """Processes micro-batches of envelopes (see schemas.ENVELOPE) for the configured sources.
 
-    `objects` gives, per source, all landed payloads a notification may point to.
+    `objects` gives, per source, all landed payloads a notification may point to. Without it
+    notified objects are looked up in the warehouse's latest ones, which loads keep.
     `on_poke` runs a calendar load; it returns an error text, or None when it worked.
     """
 
@@ -88,11 +91,14 @@ class WebhookProcessor:
         rows = ops.handshake_drop(ops.replay_window(rows), self.channel_token)
         own = [c for c in rows.columns if c != "attempt" and not c.startswith(("_", "landed_"))]
         attempt = F.col("attempt") if "attempt" in rows.columns else F.lit(1)
+        payload = F.to_json(F.struct(*own))
+        if landing.LINE in rows.columns:  # the call as it landed, fields that no schema names included
+            payload = F.coalesce(landing.LINE, payload)
         return rows.select(
             *own,
             attempt.alias("attempt"),
             lookups.delivery_entity().alias("entity_type"),
-            F.to_json(F.struct(*own)).alias("payload"),
+            payload.alias("payload"),
         )
 
     def process(
@@ -200,7 +206,10 @@ class WebhookProcessor:
 
     def _notifications(self, spec: SourceSpec, rows: DataFrame):
         """Contacts and deals: the notification names an object, whose landed state is loaded."""
-        latest = lookups.refetch_by_id(rows, self.objects(spec), spec.watermark(), ["updatedAt"])
+        if self.objects:
+            latest = lookups.refetch_by_id(rows, self.objects(spec), spec.watermark(), ["updatedAt"])
+        else:
+            latest = objects.lookup(self.warehouse, spec, rows)
         judged = self._stage(
             _judge(normalized(spec, latest, self.warehouse.mapping), spec.rules()), "objects"
         )
@@ -304,9 +313,11 @@ class WebhookProcessor:
             .select("idempotency_key", decided.alias("_d"), (F.col("first_at") < F.col("now")).alias("seen_before"))
             .withColumn("_e", F.from_json("_d.payload", envelope))
             .select(
-                *[F.col("_e")[c].alias(c) for c in envelope.names], F.col("_d.attempt").alias("attempt"),
-                F.col("_d.payload").alias("payload"), F.col("_d.fate").alias("fate"), "seen_before",
+                *[F.col("_e")[c].alias(c) for c in envelope.names], "_d.attempt", "_d.payload", "_d.fate", "seen_before",
             )
+        )
+        fresh = (
+            ops.parse_envelopes(fresh)
             .withColumn("entity_type", lookups.delivery_entity())
             .withColumn("delivery_id", F.monotonically_increasing_id())
         )
@@ -345,15 +356,14 @@ class WebhookProcessor:
             ledger = w.webhook_events.read().where(F.col("processing_status") == vocab.PROCESSED)
             _write_processed(ledger, f"{processed}/batch=start")
         marks = spark.readStream.schema(PROCESSED).option("pathGlobFilter", "*.parquet").parquet(processed)
-        accepted = self.accept(envelopes)
-        own = accepted.drop("attempt", "entity_type", "payload")
+        own = T.StructType([f for f in envelopes.schema.fields if f.name in schemas.ENVELOPE.names])
         state = self.keyed_state(envelopes, marks)
 
         def run(batch: DataFrame, batch_no: int) -> None:
             with session.scratch(spark, w.root) as path:
                 self._scratch = path
                 touched = self._stage(batch, "touched")
-                self._settle_touched(touched, own.schema, f"{self.name}:{batch_no}", processed)
+                self._settle_touched(touched, own, f"{self.name}:{batch_no}", processed)
 
         writer = state.writeStream.outputMode("update").foreachBatch(run)
         trigger = {"processingTime": every} if every else {"availableNow": True}

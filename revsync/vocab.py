@@ -121,6 +121,7 @@ NOT_CONFIGURED = (
 
 # Words for a missing number or a missing text inside a message or a key.
 NOT_A_NUMBER = "NaN"
+NULL = "null"
 UNDEFINED = "undefined"
 
 # Names of the CHECK rules on the tables.

@@ -41,7 +41,7 @@ def test_entry(spark):
 @needs_data
 @pytest.mark.parametrize("name", NAMES)
 def test_plan_has_no_cross_join_and_no_python(spark, name):
-    if name.startswith("stream_") or name in ("incremental_load", "fallback_full"):
+    if name.startswith("stream_") or name in ("incremental_load", "fallback_full", *LANDS):
         pytest.skip("runs jobs of its own")
     plan = entry.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python"):
@@ -60,7 +60,20 @@ def test_reports_read_their_table_once(spark, name):
     assert "Join" not in plan or name == "revenue_report_nested"
 
 
-ONE_ROW = {"last_row_watermark", "max_watermark", "split_valid_rejects"}
+RANGED = sorted(n for n in NAMES if n.startswith(("revenue_", "unknown_status")) or n == "range_filter")
+
+
+@needs_data
+@pytest.mark.parametrize("name", RANGED)
+def test_a_range_reaches_the_scan(spark, name):
+    plan = entry.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    column = "l_shipdate" if name.endswith("_years") else "ts"
+    pushed = plan.split("PushedFilters: [")[1]
+    assert f"GreaterThanOrEqual({column}," in pushed and f"LessThan({column}," in pushed, plan
+
+
+LANDS = ("watermark_filter", "incremental_order", "last_row_watermark")
+ONE_ROW = {"max_watermark"}
 
 
 def sources():

@@ -43,7 +43,7 @@ def test_money(spark):
     errors = each(df, money.money_error(F.col("a"), F.col("c")))
     assert [e is None for e in errors] == [ok for *_, ok in cases]
     assert errors[3] == "Money.amountMinor must be >= 0, got -1"
-    assert errors[4] == "Money.amountMinor must be an integer, got NaN"
+    assert errors[4] == "Money.amountMinor must be an integer, got null"
     assert errors[5] == 'Money.currency must be an ISO-4217 code, got "us"'
 
 

@@ -266,3 +266,41 @@ def test_landed_fields_outside_the_schema_are_kept(spark, root):
     landed = land(spark, f"{root}/contacts", [contact], schemas.CONTACT_OBJECT)
     raw = normalize.normalize_contacts(landed).first().raw
     assert json.loads(raw) == {"email": "a@b.cd", "custom": "x", "id": "7"}
+
+
+def test_parquet_payloads_are_kept_whole(spark, root):
+    """Fields that no schema names, at the top and inside, are in `raw`; a query without it reads none of them."""
+    import json
+
+    spark.sql(
+        "select '1' id, named_struct('email', 'a@b.cd', 'pet', 'cat') properties, 7 score, "
+        "'2026-01-01T00:00:00Z' updatedAt"
+    ).write.parquet(f"{root}/in")
+    spark.sql("select '2' id, named_struct('email', 'b@b.cd') properties, 'x' other").write.mode("append").parquet(f"{root}/in")
+    landed = landing.read_landed(spark, f"{root}/in", schemas.CONTACT_OBJECT, "parquet")
+    got = {r.source_id: r for r in normalize.normalize_contacts(landed).collect()}
+    assert (got["1"].email, got["1"].phone) == ("a@b.cd", None) and got["2"].email == "b@b.cd"
+    assert json.loads(got["1"].raw)["pet"] == "cat"
+    whole = {r.id: json.loads(r.landed_line) for r in landed.collect()}
+    assert whole["1"]["score"] == 7 and whole["2"]["other"] == "x"
+    plan = normalize.normalize_contacts(landed).select("email")._jdf.queryExecution().executedPlan().toString()
+    assert "pet" not in plan.split("ReadSchema:")[1] and "score" not in plan.split("ReadSchema:")[1]
+
+
+def test_parquet_payments_and_events_keep_their_types(spark, root):
+    spark.sql(
+        "select 'p' id, 1767225600 created, 'succeeded' status, 5 amount, 'usd' currency, "
+        "named_struct('id', 'cus_1') customer, 1 extra"
+    ).write.parquet(f"{root}/payments")
+    landed = landing.read_landed(spark, f"{root}/payments", schemas.PAYMENT_INTENT, "parquet")
+    row = normalize.normalize_payments(landed, dims.status_mapping_seed(spark)).first()
+    assert (row.amount_minor, row.customer_ref, row.canonical_status) == (5, "cus_1", "collected")
+    assert '"extra":1' in row.raw
+    spark.sql(
+        "select 'e' id, named_struct('date', '2026-01-02', 'kind', 'day') start, "
+        "array(named_struct('email', 'a@b.cd', 'self', true)) attendees"
+    ).write.parquet(f"{root}/events")
+    landed = landing.read_landed(spark, f"{root}/events", schemas.CALENDAR_EVENT, "parquet")
+    row = normalize.normalize_calendar(landed).first()
+    assert row.attendees[0].email == "a@b.cd" and row.start_at.isoformat() == "2026-01-02T00:00:00"
+    assert '"self":true' in row.raw

@@ -11,7 +11,7 @@ from revsync import schemas
 from revsync.operators import deliveries, lookups
 from revsync.plans.incremental import run_incremental
 from revsync.plans.warehouse import Warehouse
-from revsync.sources import registry
+from revsync.sources import landing, registry
 from revsync.sources.registry import Registry
 from revsync.streaming.webhooks import WebhookProcessor
 
@@ -347,3 +347,49 @@ def test_stream_replays_a_batch_that_died_before_its_ledger(spark, w, root):
     assert ledger(w) == [("stripe:e1", "processed"), ("stripe:e2", "processed")]
     assert [p[:2] for p in payments(w)] == [("pi_1", "succeeded"), ("pi_2", "succeeded")]
     assert w.tables["payment"].commits().count() == 2
+
+
+def test_landed_calls_are_kept_whole(spark, w, root):
+    """A field that no schema names is in the ledger's payload, as a batch and as a stream."""
+    folder = f"{root}/calls"
+    lines = [(json.dumps(payment_event("e1") | {"livemode": True}),)]
+    spark.createDataFrame(lines, "value string").write.text(folder)
+    processor(w).process(landing.read_landed(spark, folder, schemas.ENVELOPE), "q:0")
+    assert json.loads(w.webhook_events.read().first().payload)["livemode"] is True
+    lines = [(json.dumps(payment_event("e2", id="pi_2") | {"livemode": False}),)]
+    spark.createDataFrame(lines, "value string").write.mode("append").text(folder)
+    stream = landing.stream_landed(spark, folder, schemas.ENVELOPE)
+    processor(w).start(stream, f"{root}/checkpoint").awaitTermination()
+    payload = {r.idempotency_key: json.loads(r.payload) for r in w.webhook_events.read().collect()}
+    assert payload["stripe:e2"]["livemode"] is False and len(payments(w)) == 2
+
+
+def test_notified_objects_are_looked_up_by_their_folder(spark, w):
+    """Loads keep the latest of each object; a lookup reads as many files however much has landed."""
+    from revsync.plans import objects
+
+    def land(batch, day, *ids):
+        rows_ = [(i, (f"u{i}@{day}.yy",) + (None,) * 6 + (f"2026-01-{day:02d}T00:00:00Z",), None, None) for i in ids]
+        objects.keep(w, registry.CONTACTS, spark.createDataFrame(rows_, schemas.CONTACT_OBJECT), batch, NOW)
+
+    ids = [str(i) for i in range(60)]
+    land("a", 5, *ids)
+    land("b", 3, "1", "2")  # lands later, but is older
+    land("c", 9, "2")
+    p = processor(w, [registry.CONTACTS])
+    got = send(spark, p, "q:0", notice("1", "contact.creation", "1"), notice("2", "contact.creation", "2"), notice("3", "contact.creation", "404"))
+    assert got == ["failed", "processed", "processed"]
+    assert rows(w.tables["contact"].read(), "source_id", "email") == [("1", "u1@5.yy"), ("2", "u2@9.yy")]
+    table = w.objects["contact"]
+    table.compact(NOW)
+    one = spark.createDataFrame([("hubspot", "7")], "provider string, source_id string")
+
+    def files():
+        found = table.read(buckets=table.buckets_of(one))
+        found.collect()
+        return found._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().apply("numFiles").value()
+
+    assert files() == 1
+    land("d", 10, *[str(i) for i in range(100, 400)])
+    table.compact(NOW)
+    assert files() == 1
