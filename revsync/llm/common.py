@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import hashlib
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby, islice
 from operator import itemgetter
@@ -13,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from revsync.session import scratch, shared_dir, stage, stage_at
+from revsync import session
+from revsync.session import scratch, shared_dir, stage_at
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Runs of what separates words: all of ASCII but digits and lower-case letters.
@@ -91,6 +94,29 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+_scope: contextvars.ContextVar[str | None] = contextvars.ContextVar("scope", default=None)
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` out once and read it back; within `scoped` only until that block ends."""
+    folder = _scope.get()
+    return session.stage(df, name) if folder is None else stage_at(df, f"{folder}/{name}-{uuid.uuid4().hex}")
+
+
+@contextlib.contextmanager
+def scoped(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """What operators stage within the block goes when it ends, whatever the outcome.
+
+    Gives a function that stages what is to outlive the block.
+    """
+    with scratch(spark, f"{shared_dir(spark)}/revsync") as folder:
+        token = _scope.set(folder)
+        try:
+            yield session.stage
+        finally:
+            _scope.reset(token)
+
+
 @contextlib.contextmanager
 def workspace(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """A function like `stage` whose folders go when the block ends, whatever the outcome.

@@ -8,7 +8,7 @@ import check
 import numpy as np
 import pytest
 from helpers_llm import as_counter, components, smallest
-from pyspark.sql import GroupedData
+from pyspark.sql import GroupedData, functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -267,3 +267,41 @@ def test_same_rows_as_the_check(spark, name):
 def test_every_operator_is_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 11))
+
+
+def test_pipeline_stages_keep_columns_of_any_name(spark, docs_of, rows_of_corpus, tmp_path):
+    """A column named like one of a stage's own comes out as it went in."""
+    item = "a benchmark question of more than ten words which must not be in any training text"
+    path = str(tmp_path)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    docs = docs_of(spark, [*rows_of_corpus[:20], (6000, f"x {item}", "en", "a")])
+    for c in ("row_key", "doc_key", "doc_mark"):
+        docs = docs.withColumn(c, F.lit("mine"))
+    for stage in (corpus_pipeline.keep_one_of_each_group, corpus_pipeline.drop_contaminated):
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns
+        assert {(r.row_key, r.doc_key, r.doc_mark) for r in out.collect()} == {("mine",) * 3}
+    assert 6000 not in {r.doc_id for r in out.collect()}
+
+
+def test_an_id_with_two_texts_stays_whole_or_goes(spark, docs_of, tmp_path):
+    long = [" ".join(f"w{k}{i}" for i in range(30)) for k in "abc"]
+    rows = [(1, long[0]), (1, long[1]), (2, long[1]), (3, long[2]), (3, long[2]), (2, long[0] + " more")]
+    docs = docs_of(spark, [(i, t, "en", "a") for i, t in rows])
+    kept = corpus_pipeline.keep_one_of_each_group(spark, docs, str(tmp_path))
+    assert as_counter(kept, "doc_id", "text") == Counter([(1, long[0]), (1, long[1]), (3, long[2])])
+
+
+def test_pipeline_leaves_its_last_rows_only(spark, docs_of, rows_of_corpus, tmp_path):
+    import os
+
+    from revsync import session
+
+    path = str(tmp_path)
+    docs_of(spark, rows_of_corpus[:30]).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, "no such text")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    base = f"{session.shared_dir(spark).removeprefix('file:')}/revsync"
+    before = set(os.listdir(base)) if os.path.isdir(base) else set()
+    corpus_pipeline.run(spark, path).count()
+    left = {x[: x.rfind("-")] for x in set(os.listdir(base)) - before if not x.startswith("_scratch")}
+    assert left <= {"pipeline-personal-data", "kept-ids", "contaminated", "mix-sizes", "mix-sources", "mix-targets", "mix-ranges"}
