@@ -266,7 +266,7 @@ def test_same_rows_as_the_check(spark, name):
 
 def test_every_operator_is_registered():
     names = entry.queries()
-    assert "pipeline" in names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 11))
+    assert "pipeline" in names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 14))
 
 
 def test_pipeline_stages_keep_columns_of_any_name(spark, docs_of, rows_of_corpus, tmp_path):
