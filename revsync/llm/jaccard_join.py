@@ -4,15 +4,17 @@ Documents with the same set of n-grams are one class. A pair of classes can only
 threshold if, whatever the order of all n-grams, the two share one among the first few of
 each (its prefix). Several orders are used: the rarest-first one finds the candidates, and a
 candidate must also share a prefix n-gram under each of the other orders before its sets are
-counted.
+counted. Before any set travels, a candidate must pass a bound from 512 bits of each set: the
+parity of its n-grams in so many cells differs in no more cells than the sets have n-grams
+that only one of them holds.
 
 Only connected groups are asked for, so a class is compared with its group's first class,
 then with some other one whose component differs; pairs whose classes are not connected by
 then are compared after that, every one. A prefix n-gram that may be frequent is dealt out
 over several groups, whose first classes are then compared.
 
-Texts are read three times: for their classes and counts, for prefixes, and for the sets of
-classes that share a prefix n-gram with another. n-grams are 64-bit hashes.
+Texts are read three times: for their classes, counts and parities, for prefixes, and for the
+sets of classes that share a prefix n-gram with another. n-grams are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from revsync.llm.common import components, stage
 
@@ -35,8 +37,10 @@ ORDERS = 2
 MERGES = 1
 #: log2 of the bits that say which classes' sets are wanted.
 WANTED_BITS = 25
-#: Words whose hash a worker keeps.
-CACHE = 500_000
+#: Bytes of text that are hashed together; words longer than LONG bytes are hashed alone.
+BLOCK, LONG = 1 << 18, 64
+#: 64-bit numbers that hold a set's parities.
+PARITIES = 8
 
 _ODD = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -52,35 +56,120 @@ def _mix(x: np.ndarray, k: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Words(dict):
-    """A word's hash, kept for a while."""
+def _powers(of: int, n: int) -> np.ndarray:
+    """1, of, of**2, ... modulo 2**64."""
+    out = np.full(n, of, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A column's texts in one array of bytes, and where each begins and the last ends."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    column = column.cast(pa.large_string()).fill_null("")
+    _, offsets, data = column.buffers()
+    off = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    if off[0] == off[-1]:
+        return np.zeros(0, np.uint8), off - off[0]
+    return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
 class Sets:
-    """Texts to sets of n-gram hashes."""
+    """Texts to sets of n-gram hashes.
+
+    A word's hash is a polynomial of its bytes modulo 2**64, taken from running sums over a
+    block of text, so that all words of a block are hashed at once.
+    """
+
+    BASE = 0x5851F42D4C957F2D
 
     def __init__(self, width: int):
-        self.width, self.words = width, Words()
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        """Distinct hashes in ascending order; a text of fewer words is one n-gram."""
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        if len(words) < self.width:
-            return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-        w = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
-        n = len(w) - self.width + 1
-        h = np.zeros(n, np.uint64)
-        for k in range(self.width):
-            h = _mix(h, 5) + w[k : k + n] * _ODD[k % 8]
-        return np.unique(_mix(h, 6))
+        self.width = width
+        values = _mix(np.arange(1, 257, dtype=np.uint64), 2)
+        values[65:91] = values[97:123]
+        space = np.zeros(256, bool)
+        space[[9, 10, 11, 12, 13, 32]] = True
+        self.values, self.space = values, space
+        self.up, self.down = (_powers(b, BLOCK) for b in (self.BASE, pow(self.BASE, -1, 1 << 64)))
+
+    def __call__(self, column: pa.Array):
+        """Each text's distinct hashes in ascending order; a text of fewer words is one n-gram."""
+        data, off = _bytes(column)
+        at = 0
+        while at < len(off) - 1:
+            # As many texts as a block holds, or one that is longer than that.
+            to = max(int(np.searchsorted(off, off[at] + BLOCK, "right")) - 1, at + 1)
+            yield from self._texts(data[off[at] : off[to]], off[at : to + 1] - off[at])
+            at = to
+
+    def _texts(self, data: np.ndarray, off: np.ndarray):
+        if len(data) <= BLOCK:
+            starts, words = self._words(data, off[:-1])
+            ends = np.searchsorted(starts, off[1:])
+        else:
+            words = np.concatenate([self._words(piece, np.zeros(1, np.int64))[1] for piece in self._pieces(data)])
+            ends = np.array([len(words)])
+        n, width = len(words) - self.width + 1, self.width
+        grams = np.zeros(max(n, 0), np.uint64)
+        for k in range(width if n > 0 else 0):
+            grams = _mix(grams, 5) + words[k : k + n] * _ODD[k % 8]
+        grams, s = _mix(grams, 6), 0
+        for e in ends.tolist():
+            if e - s >= width:
+                g = np.sort(grams[s : e - width + 1])
+                new = g[1:] != g[:-1]
+                yield g if new.all() else g[np.append(True, new)]
+            elif e > s:
+                yield np.array([xxhash.xxh64_intdigest(words[s:e].tobytes(), seed=e - s)], np.uint64)
+            else:
+                yield np.zeros(0, np.uint64)
+            s = e
+
+    def _pieces(self, data: np.ndarray):
+        """A long text in pieces that end behind a space, of a block at most; a word that is
+        longer than that is a piece."""
+        at = 0
+        while at < len(data):
+            to = at + BLOCK
+            if to < len(data):
+                gaps = np.flatnonzero(self.space[data[at:to]])
+                if len(gaps):
+                    to = at + int(gaps[-1]) + 1
+                else:
+                    while to < len(data) and not (gap := self.space[data[to : to + BLOCK]]).any():
+                        to += BLOCK
+                    to = to + int(gap.argmax()) + 1 if to < len(data) else len(data)
+            yield data[at:to]
+            at = to
+
+    def _words(self, data: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the words begin, and their hashes. No word reaches over one of `firsts`."""
+        if not len(data):
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        if len(data) > BLOCK:  # one word
+            word = data.tobytes().lower().rstrip()
+            return np.zeros(1, np.int64), np.array([xxhash.xxh64_intdigest(word)], np.uint64)
+        space = self.space[data]
+        apart = np.append(True, space[:-1])
+        apart[firsts[firsts < len(data)]] = True
+        starts = np.flatnonzero(~space & apart)
+        apart = np.append(space[1:], True)
+        apart[firsts[(firsts > 0) & (firsts <= len(data))] - 1] = True
+        ends = np.flatnonzero(~space & apart) + 1
+        sums = np.append(np.uint64(0), np.cumsum(self.values[data] * self.up[: len(data)], dtype=np.uint64))
+        sizes = ends - starts
+        words = _mix((sums[ends] - sums[starts]) * self.down[starts] + sizes.astype(np.uint64), 7)
+        for w in np.flatnonzero(sizes > LONG):
+            words[w] = xxhash.xxh64_intdigest(data[starts[w] : ends[w]].tobytes().lower())
+        return starts, words
+
+
+def _parities(grams: np.ndarray) -> np.ndarray:
+    """Whether a set has an odd number of n-grams in each of 64 * PARITIES cells."""
+    cells = _mix(grams, 3) % np.uint64(64 * PARITIES)
+    odd = np.bincount(cells.astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _key(grams: np.ndarray) -> int:
@@ -108,31 +197,42 @@ class Counts:
         return grams[at], np.maximum(count[at] - self.usual, 0) // GROUP + 1
 
 
+#: Columns of a set's parities, and the value of a row without.
+_PARITY, _NONE = [f"p{k}" for k in range(PARITIES)], np.zeros(PARITIES, np.int64)
+
+
 def _classes(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """Rows (id, cls, n) of documents, and (chunk, counts) of a task's counters, each set once."""
+    """Rows (id, cls, n, p0, ...) of documents, the parities once per set and task, and
+    (chunk, counts) of a task's counters, in which each of its sets counts once."""
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     schema = (
         T.StructType([rows.schema["id"]]).add("cls", T.LongType()).add("n", T.LongType())
         .add("chunk", T.IntegerType()).add("counts", T.BinaryType())
     )
+    for name in _PARITY:
+        schema = schema.add(name, T.LongType())
 
     def run(batches):
         sets, seen, counters = Sets(width), set(), np.zeros(1 << COUNTERS, np.int32)
         id_type = None
         for batch in batches:
-            id_type, keys, ns = batch.schema.field(0).type, [], []
-            for t in batch.column(1).to_pylist():
-                grams = sets(t)
+            id_type, keys, ns, bits = batch.schema.field(0).type, [], [], []
+            for grams in sets(batch.column(1)):
                 key = _key(grams) if len(grams) else None
                 keys.append(key)
                 ns.append(len(grams))
-                if key is not None and key not in seen:
+                first = key is not None and key not in seen
+                if first:
                     seen.add(key)
-                    np.add.at(counters, Counts.place(grams), 1)
+                    counters[Counts.place(grams)] += 1  # of n-grams in one counter one counts
+                bits.append(_parities(grams) if first else None)
             n = len(ns)
+            none = np.array([x is None for x in bits], bool)
+            bits = np.array([_NONE if x is None else x for x in bits], np.int64).reshape(n, PARITIES)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(keys, pa.int64()), pa.array(ns, pa.int64()),
-                 pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                 pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
+                 *(pa.array(np.ascontiguousarray(x), mask=none) for x in bits.T)],
                 names=schema.names,
             )
         if seen:
@@ -140,7 +240,8 @@ def _classes(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
             n = len(parts)
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
-                 pa.array(range(n), pa.int32()), pa.array(parts, pa.binary())],
+                 pa.array(range(n), pa.int32()), pa.array(parts, pa.binary()),
+                 *(pa.nulls(n, pa.int64()) for _ in _PARITY)],
                 names=schema.names,
             )
 
@@ -176,8 +277,7 @@ def _postings(docs: DataFrame, text: str, width: int, percent: int, counters) ->
         sets, seen, counts = Sets(width), set(), Counts(counters.value)
         for batch in batches:
             cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
-            for t in batch.column(0).to_pylist():
-                grams = sets(t)
+            for grams in sets(batch.column(0)):
                 if not len(grams) or (key := _key(grams)) in seen:
                     continue
                 seen.add(key)
@@ -271,18 +371,6 @@ def _wanted(shared: DataFrame) -> np.ndarray:
     return bits
 
 
-def _packed(grams: np.ndarray) -> bytes:
-    """The upper 48 bits of each hash; two n-grams of a pair meet in these once in 2**48."""
-    return (grams >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _unpacked(blob) -> np.ndarray:
-    six = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(six), 8), np.uint8)
-    out[:, :6] = six
-    return out.view("<u8").reshape(-1).astype(np.uint64)
-
-
 def _sets(docs: DataFrame, text: str, width: int, shared: DataFrame) -> DataFrame:
     """(cls, grams) of the classes in `shared`, and of the few that share a bit with one."""
     wanted = docs.sparkSession.sparkContext.broadcast(_wanted(shared))
@@ -291,15 +379,14 @@ def _sets(docs: DataFrame, text: str, width: int, shared: DataFrame) -> DataFram
         sets, seen, bits = Sets(width), set(), wanted.value
         for batch in batches:
             keys, grams = [], []
-            for t in batch.column(0).to_pylist():
-                s = sets(t)
+            for s in sets(batch.column(0)):
                 if not len(s) or (key := _key(s)) in seen:
                     continue
                 h = key % (1 << WANTED_BITS)
                 if bits[h >> 3] >> (h & 7) & 1:
                     seen.add(key)
                     keys.append(key)
-                    grams.append(_packed(s))
+                    grams.append(s.tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.int64()), pa.array(grams, pa.binary())], names=["cls", "grams"]
             )
@@ -308,6 +395,19 @@ def _sets(docs: DataFrame, text: str, width: int, shared: DataFrame) -> DataFram
     return stage(rows.groupBy("cls").agg(F.first("grams").alias("grams")), "jaccard-sets")
 
 
+def _alike(a: str, b: str, percent: int) -> Column:
+    """Whether two sets' parities differ in no more cells than the similarity allows n-grams
+    of one set only: these number at most (100 - percent) / (100 + percent) of both sizes."""
+    differ = sum((F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in _PARITY), F.lit(0))
+    return differ * (100 + percent) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (100 - percent)
+
+
+def _bounded(pairs: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose parities allow the similarity."""
+    x, y = (parities.select(F.col("cls").alias(s), F.struct("n", *_PARITY).alias(t)) for s, t in ("ax", "by"))
+    return pairs.join(x, "a").join(y, "b").where(_alike("x", "y", percent)).select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that pass every order's prefix filter and whose similarity is reached."""
 
@@ -315,7 +415,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                keep.append(_similar(_unpacked(x.as_buffer()), _unpacked(y.as_buffer()), percent))
+                x, y = (np.frombuffer(g.as_buffer(), np.uint64) for g in (x, y))
+                keep.append(_similar(x, y, percent))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(mask)
 
@@ -338,8 +439,8 @@ def _first(grams: np.ndarray, percent: int, order: int) -> np.ndarray:
     return grams[np.argpartition(_mix(grams, order), p - 1)[:p]]
 
 
-def _open(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of `shared`, with their component, of n-grams whose classes have several."""
+def _open(shared: DataFrame, found: DataFrame, parities: DataFrame) -> DataFrame:
+    """The rows of `shared`, with component and parities, of n-grams whose classes have several."""
     placed = stage(
         shared.select("gram", "cls", "n", "i").distinct()
         .join(found, F.col("cls") == F.col("node"), "left")
@@ -348,7 +449,8 @@ def _open(shared: DataFrame, found: DataFrame) -> DataFrame:
     )
     several = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     several = stage(several.where("lo <> hi").select("gram"), "jaccard-open")
-    return stage(placed.join(several, "gram", "left_semi"), "jaccard-left")
+    left = placed.join(several, "gram", "left_semi")
+    return stage(left.join(parities.drop("n"), "cls"), "jaccard-left")
 
 
 def join(
@@ -373,6 +475,8 @@ def join(
     shared = _shared(_postings(docs, text, width, percent, counters))
 
     # Every class against the first of its groups, and these among themselves.
+    parities = classes.where("p0 is not null").groupBy("cls", "n").agg(*(F.first(p).alias(p) for p in _PARITY))
+    parities = stage(parities, "jaccard-parities")
     me = F.struct("cls", "n", "i")
     lead = F.struct(F.col("lead").alias("cls"), F.col("lead_n").alias("n"), F.col("lead_i").alias("i"))
     split = shared.where("salts > 1").groupBy("gram").agg(F.min(lead).alias("y"))
@@ -380,18 +484,21 @@ def join(
     stars = _pairs(shared.select(me.alias("x"), lead.alias("y")), percent).unionAll(
         _pairs(across.select(me.alias("x"), "y"), percent)
     )
-    stars = stage(stars.distinct(), "jaccard-stars")
+    stars = stage(_bounded(stars.distinct(), parities, percent), "jaccard-stars")
     sets = _sets(docs, text, width, shared)
     links = _verified(stars, sets, percent)
 
     tried, found = stars, components(links, "a", "b")
+    me = F.struct("cls", "n", "i", *_PARITY)
+    alike = _alike("x", "y", percent)
 
     # Then against some other class of the n-gram, where their components differ.
     for k in range(MERGES):
-        left = _open(shared, found)
-        other = F.max_by(F.struct("cls", "n", "i", "comp"), F.xxhash64("cls", "gram", F.lit(k)))
+        left = _open(shared, found, parities)
+        other = F.max_by(F.struct("cls", "n", "i", "comp", *_PARITY), F.xxhash64("cls", "gram", F.lit(k)))
         other = stage(left.groupBy("gram").agg(other.alias("y")), "jaccard-others")
-        pairs = _pairs(left.join(other, "gram").where("comp <> y.comp").select(me.alias("x"), "y"), percent)
+        apart = left.join(other, "gram").where("comp <> y.comp").select(me.alias("x"), "y")
+        pairs = _pairs(apart.where(alike), percent)
         pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-merges")
         if pairs.isEmpty():
             break
@@ -399,9 +506,9 @@ def join(
         tried, found = tried.unionAll(pairs), components(links, "a", "b")
 
     # What is not connected by then: every pair of an n-gram whose components differ.
-    left = _open(shared, found)
+    left = _open(shared, found, parities)
     x, y = (left.select("gram", F.col("comp").alias(f"{s}c"), me.alias(s)) for s in "xy")
-    rest = _pairs(x.join(y, "gram").where("xc < yc"), percent)
+    rest = _pairs(x.join(y, "gram").where("xc < yc").where(alike), percent)
     rest = stage(rest.join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
     if not rest.isEmpty():
         more = _verified(rest, sets, percent)
