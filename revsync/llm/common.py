@@ -107,12 +107,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def scoped(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """What operators stage within the block goes when it ends, whatever the outcome.
 
-    Gives a function that stages what is to outlive the block.
+    Gives a function that stages what is to outlive the block; within another such block
+    it goes with that.
     """
+    outer = _scope.get()
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        return session.stage(df, name) if outer is None else stage_at(df, f"{outer}/{name}-{uuid.uuid4().hex}")
+
     with scratch(spark, f"{shared_dir(spark)}/revsync") as folder:
         token = _scope.set(folder)
         try:
-            yield session.stage
+            yield keep
         finally:
             _scope.reset(token)
 

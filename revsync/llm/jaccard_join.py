@@ -13,8 +13,8 @@ then with some other one whose component differs; pairs whose classes are not co
 then are compared after that, every one. A prefix n-gram that may be frequent is dealt out
 over several groups, whose first classes are then compared.
 
-Texts are read three times: for their classes, counts and parities, for prefixes, and for the
-sets of classes that share a prefix n-gram with another. n-grams are 64-bit hashes.
+Texts are read for their classes, counts and parities, for prefixes, and, each time that pairs
+are left to be counted, for the sets of these pairs' classes. n-grams are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from revsync.llm.common import components, stage
+from revsync.llm.common import components, scoped, stage
 
 #: n-grams are counted in 2**COUNTERS counters, whatever their number; these are sent to all
 #: tasks. An n-gram's counter says how frequent it is at most.
@@ -355,10 +355,11 @@ def _pairs(df: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _wanted(shared: DataFrame) -> np.ndarray:
-    """A bit for every hash of a class in `shared`: 2**WANTED_BITS bits, whatever there is."""
+def _wanted(pairs: DataFrame) -> np.ndarray:
+    """A bit for every hash of a class in `pairs`: 2**WANTED_BITS bits, whatever there is."""
     rows = (
-        shared.select((F.pmod("cls", F.lit(1 << WANTED_BITS)) + 1).alias("h"))  # counted from 1
+        pairs.select(F.explode(F.array("a", "b")).alias("cls"))
+        .select((F.pmod("cls", F.lit(1 << WANTED_BITS)) + 1).alias("h"))  # counted from 1
         .groupBy(F.bitmap_bucket_number("h").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
         .collect()
@@ -371,9 +372,9 @@ def _wanted(shared: DataFrame) -> np.ndarray:
     return bits
 
 
-def _sets(docs: DataFrame, text: str, width: int, shared: DataFrame) -> DataFrame:
-    """(cls, grams) of the classes in `shared`, and of the few that share a bit with one."""
-    wanted = docs.sparkSession.sparkContext.broadcast(_wanted(shared))
+def _sets(docs: DataFrame, text: str, width: int, pairs: DataFrame) -> DataFrame:
+    """(cls, grams) of the classes in `pairs`, and of the few that share a bit with one."""
+    wanted = docs.sparkSession.sparkContext.broadcast(_wanted(pairs))
 
     def run(batches):
         sets, seen, bits = Sets(width), set(), wanted.value
@@ -408,7 +409,7 @@ def _bounded(pairs: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(_alike("x", "y", percent)).select("a", "b")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
     """The pairs that pass every order's prefix filter and whose similarity is reached."""
 
     def run(batches):
@@ -420,9 +421,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(mask)
 
-    with_b = pairs.join(sets.select(F.col("cls").alias("b"), F.col("grams").alias("y")), "b")
-    both = with_b.join(sets.select(F.col("cls").alias("a"), F.col("grams").alias("x")), "a")
-    return stage(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "jaccard-links")
+    with scoped(docs.sparkSession) as keep:
+        sets = _sets(docs, text, width, pairs)
+        with_b = pairs.join(sets.select(F.col("cls").alias("b"), F.col("grams").alias("y")), "b")
+        both = with_b.join(sets.select(F.col("cls").alias("a"), F.col("grams").alias("x")), "a")
+        return keep(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "jaccard-links")
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -439,18 +442,18 @@ def _first(grams: np.ndarray, percent: int, order: int) -> np.ndarray:
     return grams[np.argpartition(_mix(grams, order), p - 1)[:p]]
 
 
-def _open(shared: DataFrame, found: DataFrame, parities: DataFrame) -> DataFrame:
-    """The rows of `shared`, with component and parities, of n-grams whose classes have several."""
-    placed = stage(
-        shared.select("gram", "cls", "n", "i").distinct()
-        .join(found, F.col("cls") == F.col("node"), "left")
-        .select("gram", "cls", "n", "i", F.coalesce("component", "cls").alias("comp")),
-        "jaccard-placed",
-    )
-    several = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    several = stage(several.where("lo <> hi").select("gram"), "jaccard-open")
-    left = placed.join(several, "gram", "left_semi")
-    return stage(left.join(parities.drop("n"), "cls"), "jaccard-left")
+def _open(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of `shared`, with their component, of n-grams whose classes have several."""
+    with scoped(shared.sparkSession) as keep:
+        placed = stage(
+            shared.select("gram", "cls", "n", "i").distinct()
+            .join(found, F.col("cls") == F.col("node"), "left")
+            .select("gram", "cls", "n", "i", F.coalesce("component", "cls").alias("comp")),
+            "jaccard-placed",
+        )
+        several = placed.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        several = stage(several.where("lo <> hi").select("gram"), "jaccard-open")
+        return keep(placed.join(several, "gram", "left_semi"), "jaccard-left")
 
 
 def join(
@@ -469,6 +472,11 @@ def join(
     own id. Equal sets link, so repeated rows share a component; a null id is passed over in
     looking for the smallest, and a component of null ids only has a null component_id.
     """
+    with scoped(docs.sparkSession) as keep:
+        return keep(_joined(docs, doc_id, text, width, percent), "jaccard")
+
+
+def _joined(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     classes = _classes(docs, doc_id, text, width)
     counters = sc.broadcast(_counters(classes))
@@ -485,33 +493,31 @@ def join(
         _pairs(across.select(me.alias("x"), "y"), percent)
     )
     stars = stage(_bounded(stars.distinct(), parities, percent), "jaccard-stars")
-    sets = _sets(docs, text, width, shared)
-    links = _verified(stars, sets, percent)
+    links = _verified(stars, docs, text, width, percent)
 
     tried, found = stars, components(links, "a", "b")
-    me = F.struct("cls", "n", "i", *_PARITY)
-    alike = _alike("x", "y", percent)
 
     # Then against some other class of the n-gram, where their components differ.
     for k in range(MERGES):
-        left = _open(shared, found, parities)
-        other = F.max_by(F.struct("cls", "n", "i", "comp", *_PARITY), F.xxhash64("cls", "gram", F.lit(k)))
+        left = _open(shared, found)
+        other = F.max_by(F.struct("cls", "n", "i", "comp"), F.xxhash64("cls", "gram", F.lit(k)))
         other = stage(left.groupBy("gram").agg(other.alias("y")), "jaccard-others")
         apart = left.join(other, "gram").where("comp <> y.comp").select(me.alias("x"), "y")
-        pairs = _pairs(apart.where(alike), percent)
+        pairs = _bounded(_pairs(apart, percent), parities, percent)
         pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-merges")
         if pairs.isEmpty():
             break
-        links = links.unionAll(_verified(pairs, sets, percent))
+        links = links.unionAll(_verified(pairs, docs, text, width, percent))
         tried, found = tried.unionAll(pairs), components(links, "a", "b")
 
     # What is not connected by then: every pair of an n-gram whose components differ.
-    left = _open(shared, found, parities)
+    left = stage(_open(shared, found).join(parities.drop("n"), "cls"), "jaccard-parted")
+    me = F.struct("cls", "n", "i", *_PARITY)
     x, y = (left.select("gram", F.col("comp").alias(f"{s}c"), me.alias(s)) for s in "xy")
-    rest = _pairs(x.join(y, "gram").where("xc < yc").where(alike), percent)
+    rest = _pairs(x.join(y, "gram").where("xc < yc").where(_alike("x", "y", percent)), percent)
     rest = stage(rest.join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
     if not rest.isEmpty():
-        more = _verified(rest, sets, percent)
+        more = _verified(rest, docs, text, width, percent)
         if not more.isEmpty():
             found = components(links.unionAll(more), "a", "b")
 
