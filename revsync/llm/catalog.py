@@ -82,7 +82,7 @@ def op10_language_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     learnt = docs.where(F.coalesce(~language_bits.held_out("doc_id"), F.lit(False)))
     filters = language_bits.fit(learnt, "text", "lang", F.col("doc_id"))
     got = language_bits.identify(docs, filters)
-    return got.select("doc_id", language_bits.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+    return got.select("doc_id", F.coalesce(language_bits.held_out("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,22 +193,43 @@ with recursive rules(verdict, h, p) as (
     ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
 page as (
   select page_id, url, html, coalesce(url, '') as u from pages),
-target as (
-  select url as a, regexp_extract(regexp_extract(html,
-    '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''>\s]+)', 1) as t
-  from pages where url is not null
+tag as (
+  select url as a, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>')) as link,
+    null as refresh from pages where url is not null
   union all
-  select url, regexp_extract(regexp_extract(html,
-    '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''>\s]+)', 1)
+  select url, null, unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'))
   from pages where url is not null),
+target as (
+  select a, regexp_replace(regexp_replace(
+    coalesce(regexp_extract(link, '(?is)\bhref\s*=\s*["'']?([^"''>\s]+)', 1),
+      regexp_extract(refresh, '(?is)\burl\s*=\s*["'']?([^"''>\s]+)', 1)),
+    '&#0*47;|&#x0*2f;|&sol;', '/', 'gi'), '&#0*38;|&#x0*26;|&amp;', '&', 'gi') as t from tag),
 base as (
-  select a, t, regexp_extract(a, '(?s)^(.*?://[^/?#]*)([^?#]*)', 1) as site,
+  select a, t, regexp_extract(a, '(?s)^(.*?://[^/?#]*)', 1) as site,
+    regexp_extract(a, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as own,
     regexp_replace(regexp_extract(a, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '[^/]*$', '') as folder
-  from target where t <> ''),
-link as (
+  from target where t <> '' and not starts_with(t, '#')
+    and (regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') or not regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:'))),
+resolved as (
   select a, case when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') then t
     when starts_with(t, '//') then 'http:' || t when starts_with(t, '/') then site || t
+    when starts_with(t, '?') then site || own || t
     else site || case when folder = '' then '/' else folder end || t end as b from base),
+cut as (
+  select a, b, regexp_extract(b, '(?s)^(.*?://[^/?#]*)', 1) as head,
+    regexp_extract(b, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as p, regexp_extract(b, '(?s)^[^?#]*(.*)$', 1) as tail
+  from resolved),
+dots as (
+  select *, string_split(substr(p, 2), '/') as segs from cut),
+undotted as (
+  select *, list_reduce(list_transform(segs, lambda x: [x]),
+    lambda acc, x: case when x[1] = '..' then acc[1:len(acc) - 1] when x[1] = '.' then acc else acc || x end,
+    []::varchar[]) as kept from dots),
+link as (
+  select a, case when regexp_matches(p, '(^|/)\.\.?(/|$)')
+    then head || '/' || array_to_string(kept, '/')
+      || case when segs[-1] in ('.', '..') and len(kept) > 0 then '/' else '' end || tail
+    else b end as b from undotted),
 urls as (select distinct u from (select u from page union all select a from link union all select b from link)),
 part as (
   select u, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

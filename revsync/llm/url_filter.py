@@ -34,6 +34,7 @@ TRACKING = ["utm_[^=&]*", "ref", "fbclid", "gclid", "mc_[^=&]*"]
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 _LINK = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
 _REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
+_DOTS = r"(^|/)\.\.?(/|$)"
 _HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'>\s]+)"
 _TARGET = r"(?is)\burl\s*=\s*[\"']?([^\"'>\s]+)"
 
@@ -68,28 +69,58 @@ def matched(h: Column, p: Column, rules: list[UrlRule]) -> Column:
     return found
 
 
+def _targets(html: str, tag: str, to: str) -> Column:
+    """What `to` finds in each of the tags."""
+    tags = F.regexp_extract_all(html, F.lit(tag), F.lit(0))
+    return F.transform(tags, lambda t: F.regexp_extract(t, to, 1))
+
+
+def _decoded(target: Column) -> Column:
+    """A target without the entities of / and &."""
+    slashes = F.regexp_replace(target, r"(?i)&#0*47;|&#x0*2f;|&sol;", "/")
+    return F.regexp_replace(slashes, r"(?i)&#0*38;|&#x0*26;|&amp;", "&")
+
+
+def _without_dots(p: Column) -> Column:
+    """A path from the root with its segments . and .. resolved; above the root is the root."""
+    segments = F.split(F.substring(p, 2, 1 << 30), "/")
+    kept = F.aggregate(
+        segments,
+        F.array().cast("array<string>"),
+        lambda out, s: F.when(s == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))))
+        .when(s == ".", out)
+        .otherwise(F.array_append(out, s)),
+    )
+    folder = F.element_at(segments, -1).isin(".", "..") & (F.size(kept) > 0)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(folder, F.lit("/")).otherwise(F.lit("")))
+
+
 def links(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """(a, b): the URLs of pages and the canonical or refresh targets that their HTML names."""
+    """(a, b): the URLs of pages and the canonical and refresh targets that their HTML names.
+
+    Every such tag counts. A target is resolved against its page's URL, dot segments and
+    entities for & and / included; a fragment or another scheme's address names no page.
+    """
     marked = pages.where(F.col(url).isNotNull()).where(
         F.col(html).rlike(r"(?i)rel\s*=\s*[\"']?canonical|http-equiv\s*=\s*[\"']?refresh")
     )
-    target = F.explode(
-        F.array(
-            F.regexp_extract(F.regexp_extract(html, _LINK, 0), _HREF, 1),
-            F.regexp_extract(F.regexp_extract(html, _REFRESH, 0), _TARGET, 1),
-        )
-    )
-    named = marked.select(F.col(url).alias("a"), target.alias("to")).where("to <> ''")
-    scheme = F.regexp_extract("a", r"(?s)^(.*?://)", 1)
-    site = F.concat(scheme, F.regexp_extract("a", _URL, 1))
+    targets = [_targets(html, tag, to) for tag, to in ((_LINK, _HREF), (_REFRESH, _TARGET))]
+    named = marked.select(F.col(url).alias("a"), F.explode(F.transform(F.concat(*targets), _decoded)).alias("to"))
+    other = F.col("to").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:(?!//)")  # mailto: and the like
+    named = named.where((F.col("to") != "") & ~F.col("to").startswith("#") & ~other)
+    site = F.regexp_extract("a", r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.regexp_replace(path(F.col("a")), r"[^/]*$", "")
     full = (
         F.when(F.col("to").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("to"))
         .when(F.col("to").startswith("//"), F.concat(F.lit("http:"), "to"))
         .when(F.col("to").startswith("/"), F.concat(site, "to"))
+        .when(F.col("to").startswith("?"), F.concat(site, path(F.col("a")), "to"))
         .otherwise(F.concat(site, F.when(folder == "", F.lit("/")).otherwise(folder), "to"))
     )
-    return named.select("a", full.alias("b"))
+    named = named.select("a", full.alias("b"))
+    head, tail = F.regexp_extract("b", r"(?s)^(.*?://[^/?#]*)", 1), F.regexp_extract("b", r"(?s)^[^?#]*(.*)$", 1)
+    plain = F.concat(head, _without_dots(path(F.col("b"))), tail)
+    return named.select("a", F.when(path(F.col("b")).rlike(_DOTS), plain).otherwise(F.col("b")).alias("b"))
 
 
 def judge(
