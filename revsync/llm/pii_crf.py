@@ -14,6 +14,7 @@ documents, its token features are coarse shapes, its pair potentials how often l
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -22,10 +23,11 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["other", *KINDS]
-#: Documents that the field is trained on, about, and tokens of one of them.
-SAMPLE, SAMPLE_TOKENS = 20_000, 500
-#: The probability from which a token is taken for its label; rounds of message passing.
-CERTAIN, ROUNDS = 0.9, 12
+#: Documents that the field is trained on, about; their texts are read whole.
+SAMPLE = 20_000
+#: The probability from which a token is taken for its label; the change of a message that
+#: counts as none; rounds after which messages move less with each one, so that all settle.
+CERTAIN, SETTLED, ROUNDS = 0.9, 1e-3, 12
 #: How strongly a pattern's find holds its tokens to its label, in log odds.
 HOLD = 8.0
 
@@ -114,15 +116,14 @@ class Graph:
         self.shapes: list[int] = []
         self.labels: list[int] = []  # by the patterns' finds; 0 where there is none
         self.edges: list[tuple[int, int, int]] = []  # node, node, 0 chain or 1 skip
+        self.sizes: list[int] = []  # edges of each text
 
-    def add(self, text: str, base: list[tuple[int, int, int]], most: int | None = None) -> range:
-        first, last = len(self.spans), None
+    def add(self, text: str, base: list[tuple[int, int, int]]) -> range:
+        first, last, edges = len(self.spans), None, len(self.edges)
         met: dict[str, int] = {}
         at = 0
         for m in _TOKEN.finditer(text):
             i = len(self.spans)
-            if most and i - first >= most:
-                break
             start, end = m.span()
             while at < len(base) and base[at][1] <= start:
                 at += 1
@@ -144,6 +145,7 @@ class Graph:
                 if key in met and met[key] != i:
                     self.edges.append((met[key], i, 1))
                 met[key] = i
+        self.sizes.append(len(self.edges) - edges)
         return range(first, len(self.spans))
 
 
@@ -159,7 +161,10 @@ class Field:
         return x @ self.weights
 
     def marginals(self, g: Graph) -> np.ndarray:
-        """Label probabilities of every node after message passing in log space."""
+        """Label probabilities of every node after message passing in log space.
+
+        Each text's messages are passed until they settle, whatever other texts do.
+        """
         own = self.unary(g.shapes)
         labels = np.asarray(g.labels)
         held = np.flatnonzero(labels)
@@ -167,20 +172,30 @@ class Field:
         belief = own.copy()
         if g.edges:
             a, b, kind = np.asarray(g.edges).T
-            src, dst = np.concatenate([a, b]), np.concatenate([b, a])
-            pair = self.pairs[np.concatenate([kind, kind])]
-            back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
-            msg = np.zeros((len(src), len(LABELS)))
-            for _ in range(ROUNDS):
-                out = (belief[src] - msg[back])[:, :, None] + pair
+            src, dst, both = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([kind, kind])
+            text = np.tile(np.repeat(np.arange(len(g.sizes)), g.sizes), 2)
+            msg, each = np.zeros((len(src), len(LABELS))), np.arange(len(LABELS))
+            # Messages of texts that have not settled, forth and back in two halves.
+            live, step = np.arange(len(src)), 0.5
+            for k in itertools.count(1):
+                half = len(live) // 2
+                back = np.concatenate([live[half:], live[:half]])
+                out = (belief[src[live]] - msg[back])[:, :, None] + self.pairs[both[live]]
                 top = out.max(axis=1, keepdims=True)
                 new = np.log(np.exp(out - top).sum(axis=1)) + top[:, 0]
-                new = 0.5 * msg + 0.5 * (new - new.max(axis=1, keepdims=True))
-                belief = own.copy()
-                np.add.at(belief, dst, new)
-                if np.abs(new - msg).max() < 1e-3:
+                change = step * (new - new.max(axis=1, keepdims=True) - msg[live])
+                msg[live] += change
+                # What reaches a node is summed anew each time, in the order of the edges.
+                nodes = dst[live]
+                belief[nodes] = own[nodes]
+                np.add.at(belief.reshape(-1), (nodes[:, None] * len(LABELS) + each).reshape(-1), msg[live].reshape(-1))
+                most = np.zeros(len(g.sizes))
+                np.maximum.at(most, text[live], np.abs(change).max(axis=1))
+                live = live[most[text[live]] >= SETTLED]
+                if not len(live):
                     break
-                msg = new
+                if k >= ROUNDS:
+                    step *= 0.7
         p = np.exp(belief - belief.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
@@ -223,7 +238,7 @@ def train(docs: DataFrame, doc_id: str, text: str, sample: int = SAMPLE) -> Fiel
                 if not t or not _ANY.search(t):
                     continue
                 g = Graph()
-                g.add(t, base_spans(t), SAMPLE_TOKENS)
+                g.add(t, base_spans(t))
                 met = [(-1, x << 8 | y) for x, y in zip(g.shapes, g.labels)]
                 met += [(k, g.labels[a] << 8 | g.labels[b]) for a, b, k in g.edges]
                 for x in met:
