@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from revsync.llm.common import stage
+from revsync.llm.common import scoped, stage
 
 #: Bytes of a q-gram, of a string that counts, of text that is hashed at once.
 GRAM, LENGTH, BLOCK = 16, 50, 1 << 18
@@ -235,6 +235,30 @@ def _shared(rows: DataFrame, *keys: str) -> DataFrame:
     return found.where("first < last").drop("last")
 
 
+def _told(batch: pa.RecordBatch, keys: tuple[str, str]) -> np.ndarray:
+    """One number for two keys."""
+    return _mix(_column(batch, keys[0]) ^ _mix(_column(batch, keys[1])))
+
+
+def _split(rows: DataFrame, firsts: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose `keys` may be in `firsts`, by a Bloom filter, and those whose are not."""
+
+    def names(batches):
+        for batch in batches:
+            yield _batch(name=_told(batch, keys))
+
+    bloom = _bloom(firsts.select(*keys).mapInArrow(names, "name long"))
+
+    def those(there: bool):
+        def run(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(_in(bloom.value, _told(batch, keys)) == there))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    return those(True), those(False)
+
+
 def _anchors(texts: DataFrame):
     """The filter of the q-grams that are anchors in several documents."""
 
@@ -273,10 +297,18 @@ def _first(texts: DataFrame) -> DataFrame:
             plain = _batch(**{k: c[k] for k in ("q", "ctx", "doc", "version", "lo", "n")})
             yield pa.RecordBatch.from_arrays([*plain.columns, *halves], names=[*plain.schema.names, "left", "right"])
 
-    found = stage(texts.mapInArrow(pack, _RUN), "suffix-runs")
-    firsts = stage(_shared(found, "q", "ctx"), "suffix-contexts")
-    gone = F.coalesce(F.col("doc") > F.col("first"), F.lit(False))
-    return stage(found.join(firsts, ["q", "ctx"], "left").withColumn("gone", gone).drop("first"), "suffix-first")
+    with scoped(texts.sparkSession) as keep:
+        found = stage(texts.mapInArrow(pack, _RUN), "suffix-runs")
+        firsts = stage(_shared(found, "q", "ctx"), "suffix-contexts")
+        there, alone = _split(found, firsts, "q", "ctx")
+        gone = F.coalesce(F.col("doc") > F.col("first"), F.lit(False))
+        judged = there.join(firsts, ["q", "ctx"], "left").withColumn("gone", gone).drop("first")
+        judged = judged.unionByName(alone.withColumn("gone", F.lit(False)))
+        # Of a run that is gone the place is needed, of another what tells it apart.
+        place, name = ("version", "lo", "n"), ("q", "ctx", "left", "right")
+        columns = [F.when(F.col("gone"), F.col(c)).alias(c) for c in place]
+        columns += [F.when(~F.col("gone"), F.col(c)).alias(c) for c in name]
+        return keep(judged.select("doc", "gone", *columns), "suffix-first")
 
 
 def _second(texts: DataFrame, first: DataFrame) -> DataFrame:
@@ -313,7 +345,8 @@ def _second(texts: DataFrame, first: DataFrame) -> DataFrame:
 
     strings = stage(texts.mapInArrow(pack, "q long, string long, doc long, version long, lo long"), "suffix-strings")
     firsts = stage(_shared(strings, "q", "string"), "suffix-second")
-    late = strings.join(firsts, ["q", "string"]).where("doc > first")
+    there, _ = _split(strings, firsts, "q", "string")
+    late = there.join(firsts, ["q", "string"]).where("doc > first")
     return late.select("doc", "version", "lo", (F.col("lo") + LENGTH).alias("hi"))
 
 
@@ -348,12 +381,12 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """
     rows = _versions(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")))
     texts = rows.where(F.col("id").isNotNull() & (F.octet_length("text") >= LENGTH)).select("id", "version", "text")
-    first = _first(texts)
-    gone = first.where("gone").select("doc", "version", "lo", (F.col("lo") + F.col("n") + LENGTH - 1).alias("hi"))
-    covers = gone.unionAll(_second(texts, first))
-    covers = covers.groupBy("doc", "version").agg(
-        F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")
-    )
+    with scoped(docs.sparkSession) as keep:
+        first = _first(texts)
+        gone = first.where("gone").select("doc", "version", "lo", (F.col("lo") + F.col("n") + LENGTH - 1).alias("hi"))
+        covers = gone.unionAll(_second(texts, first))
+        covers = covers.groupBy("doc", "version").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+        covers = keep(covers, "suffix-covers")
     joined = rows.join(
         covers.withColumnRenamed("version", "v"), (F.col("id") == F.col("doc")) & (F.col("version") == F.col("v")), "left"
     ).select("id", "text", "lo", "hi")
