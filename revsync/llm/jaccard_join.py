@@ -194,7 +194,13 @@ class Counts:
         """The first n-grams of a set, rare ones first, and the groups to divide each into."""
         count = self.counters[self.place(grams)]
         at = np.lexsort((grams, count))[: _prefix(len(grams), percent)]
-        return grams[at], np.maximum(count[at] - self.usual, 0) // GROUP + 1
+        return grams[at], self._groups(count[at])
+
+    def groups(self, grams: np.ndarray) -> np.ndarray:
+        return self._groups(self.counters[self.place(grams)])
+
+    def _groups(self, count: np.ndarray) -> np.ndarray:
+        return np.maximum(count - self.usual, 0) // GROUP + 1
 
 
 #: Columns of a set's parities, and the value of a row without.
@@ -270,13 +276,13 @@ def _counters(classes: DataFrame) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, text: str, width: int, percent: int, counters) -> DataFrame:
-    """(gram, salts, salt, cls, n, i): the classes' prefixes, once per task that has the class.
-    `i` is the n-gram's place in the set's order."""
+    """(gram, salt, cls, n_i): the classes' prefixes, once per task that has the class. `n_i`
+    holds the set's size and the n-gram's place in its order, which are far below 2**31."""
 
     def run(batches):
         sets, seen, counts = Sets(width), set(), Counts(counters.value)
         for batch in batches:
-            cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            cols: list[list[np.ndarray]] = [[], [], [], []]
             for grams in sets(batch.column(0)):
                 if not len(grams) or (key := _key(grams)) in seen:
                     continue
@@ -284,33 +290,33 @@ def _postings(docs: DataFrame, text: str, width: int, percent: int, counters) ->
                 first, salts = counts.prefix(grams, percent)
                 one = np.ones(len(first), np.int64)
                 place = np.arange(len(first))
-                row = (first.view(np.int64), salts, key % salts, one * key, one * len(grams), place)
+                row = (first.view(np.int64), key % salts, one * key, (one * len(grams) << 32) + place)
                 for c, x in zip(cols, row):
                     c.append(x)
             if cols[0]:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c)) for c in cols], names=["gram", "salts", "salt", "cls", "n", "i"]
+                    [pa.array(np.concatenate(c)) for c in cols], names=["gram", "salt", "cls", "n_i"]
                 )
 
-    return docs.select(text).mapInArrow(
-        run, "gram long, salts long, salt long, cls long, n long, i long"
-    )
+    return docs.select(text).mapInArrow(run, "gram long, salt long, cls long, n_i long")
 
 
-def _shared(postings: DataFrame) -> DataFrame:
+def _shared(postings: DataFrame, counters) -> DataFrame:
     """The postings of n-grams that several classes have, with each group's first class.
 
     Groups are runs in sorted rows and pass by one row after the other; none is held.
     """
 
     def run(batches):
+        counts = Counts(counters.value)
         alone = None  # the run's first row, while no other has come
         key, was = None, None  # the last row's group and class
         head: tuple = (0, 0, 0)  # class, n and i of the run's first row
         for batch in batches:
-            g, salts, salt, cls, n, i = (np.asarray(batch.column(c)) for c in range(6))
+            g, salt, cls, n_i = (np.asarray(batch.column(c)) for c in range(4))
             if not len(g):
                 continue
+            salts, n, i = counts.groups(g.view(np.uint64)), n_i >> 32, n_i & 0xFFFFFFFF
             new = np.ones(len(g), bool)
             new[1:] = (g[1:] != g[:-1]) | (salt[1:] != salt[:-1])
             new[0] = key != (g[0], salt[0])
@@ -480,7 +486,7 @@ def _joined(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -
     sc = docs.sparkSession.sparkContext
     classes = _classes(docs, doc_id, text, width)
     counters = sc.broadcast(_counters(classes))
-    shared = _shared(_postings(docs, text, width, percent, counters))
+    shared = _shared(_postings(docs, text, width, percent, counters), counters)
 
     # Every class against the first of its groups, and these among themselves.
     parities = classes.where("p0 is not null").groupBy("cls", "n").agg(*(F.first(p).alias(p) for p in _PARITY))
