@@ -62,7 +62,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind in brackets."""
-    field = pii_crf.train(docs, "doc_id", "text")
+    with scoped(spark):
+        field = pii_crf.train(docs, "doc_id", "text")
     done = pii_crf.redact(docs, field)
     return done.withColumn("n_chars", F.length("text").cast("long"))
 
