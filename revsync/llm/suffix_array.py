@@ -16,7 +16,7 @@ Keys are values (q-gram and context, q-gram and string), never a whole bucket, a
 smallest document of a key is asked for. So Spark combines within tasks before it shuffles,
 and a q-gram that is everywhere is as many small groups as it has contexts. Which q-grams,
 halves and runs the next step needs is told by Bloom filters of fixed size: a wrong yes costs
-time only.
+time only. The q-grams of all texts are by far the most rows; they travel as arrays, by ranges.
 """
 
 from __future__ import annotations
@@ -27,18 +27,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from revsync.llm.common import scoped, stage
+from revsync import session
+from revsync.llm import bloom
+from revsync.llm.common import runs as by_key, scoped, stage
 
 #: Bytes of a q-gram, of a string that counts, of text that is hashed at once.
 GRAM, LENGTH, BLOCK = 16, 50, 1 << 18
 #: Bytes next to an anchor by which runs are told apart before their strings are.
 HALF = (LENGTH - GRAM) // 2
-#: Buckets that a task combines before it hands them on.
-HELD = 200_000
+#: Anchors that a task combines before it hands them on; log2 of the ranges of q-grams by which
+#: it does, each of which is looked at alone.
+HELD, RANGES = 200_000, 12
 #: Rows of a batch that are taken out of it at once.
 ROWS = 256
-#: log2 of the Bloom filter's bits; its hashes.
-BLOOM_BITS, BLOOM_HASHES = 27, 2
 
 _BASE = 0x9E3779B97F4A7C15
 _ODD = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -156,16 +157,35 @@ def _spans(doc, version, lo, hi):
     return doc[at], version[at], lo[at], np.maximum.reduceat(hi, at)
 
 
-def _least(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """`q` and `doc`: of every bucket its smallest and, if that is another, largest document."""
-    o = np.lexsort((c["doc"], c["q"]))
-    q, doc = c["q"][o], c["doc"][o]
-    fresh = np.ones(len(o), bool)
-    fresh[1:] = q[1:] != q[:-1]
-    last = np.r_[fresh[1:], np.ones(1, bool)]
-    at, end = np.flatnonzero(fresh), np.flatnonzero(last)
-    end = end[doc[end] > doc[at]]
-    return {"q": np.r_[q[at], q[end]], "doc": np.r_[doc[at], doc[end]]}
+def _ends(q: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values of `q`, ascending, and of each its smallest and largest document."""
+    if not len(q):
+        return q, doc, doc
+    o = np.argsort(q)
+    q, doc = q[o], doc[o]
+    new = np.append(True, q[1:] != q[:-1])
+    at, several = np.flatnonzero(new), ~(new & np.append(new[1:], True))
+    low, high, size = doc[at], doc[at], np.diff(at, append=len(q))
+    if several.any():  # most stand alone
+        more, doc = np.flatnonzero(size > 1), doc[several]
+        start = np.cumsum(size[more]) - size[more]
+        low[more], high[more] = np.minimum.reduceat(doc, start), np.maximum.reduceat(doc, start)
+    return q[at], low, high
+
+
+def _packed(q: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+    """(part, q, doc): by range of q-grams, the bytes of these and of the smallest and, if that
+    is another, the largest document of each."""
+    q, low, high = _ends(q, doc)
+    n = 1 + (high > low)
+    doc, last = np.repeat(low, n), np.cumsum(n) - 1
+    doc[last] = high
+    q = np.repeat(q, n)
+    part = (q >> np.uint64(64 - RANGES)).astype(np.int32)
+    at = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(q) else np.zeros(0, np.int64)
+    offsets = pa.py_buffer(np.append(at * 8, len(q) * 8).astype(np.int32))
+    columns = [pa.Array.from_buffers(pa.binary(), len(at), [None, offsets, pa.py_buffer(c)]) for c in (q, doc)]
+    return pa.RecordBatch.from_arrays([pa.array(part[at]), *columns], names=["part", "q", "doc"])
 
 
 def _name(c: dict[str, np.ndarray], side: int) -> np.ndarray:
@@ -173,19 +193,6 @@ def _name(c: dict[str, np.ndarray], side: int) -> np.ndarray:
     return _mix(c["q"] ^ _mix(c["ctx"] ^ _mix(c["doc"].astype(np.uint64) * np.uint64(2) + np.uint64(side))))
 
 
-def _bits(name: np.ndarray, k: int) -> np.ndarray:
-    return ((name * _ODD[k]) >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)
-
-
-def _in(bits: np.ndarray, name: np.ndarray) -> np.ndarray:
-    """Which names the filter lets through."""
-    some = np.ones(len(name), bool)
-    for k in range(BLOOM_HASHES):
-        h = _bits(name, k)
-        some &= (bits[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)
-    return some
-
-
 def _batch(**columns) -> pa.RecordBatch:
     arrays = [pa.array(v.view(np.int64) if v.dtype == np.uint64 else v) for v in columns.values()]
     return pa.RecordBatch.from_arrays(arrays, names=list(columns))
@@ -208,27 +215,6 @@ def _rows(batches):
             yield doc, version, (text or "").encode("utf-8", "surrogatepass")
 
 
-def _bloom(names: DataFrame):
-    """A broadcast Bloom filter of the column `name`: 2**BLOOM_BITS bits, however many rows."""
-
-    def places(batches):
-        for batch in batches:
-            name = _column(batch, "name")
-            for k in range(BLOOM_HASHES):
-                yield _batch(h=_bits(name, k) + 1)
-
-    rows = (
-        names.select("name").mapInArrow(places, "h long")
-        .groupBy(F.bitmap_bucket_number("h").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
-    )
-    bits = np.zeros(1 << (BLOOM_BITS - 3), np.uint8)
-    for r in rows:
-        part = np.frombuffer(r.bits, np.uint8)
-        bits[(r.bucket - 1) * len(part) : r.bucket * len(part)] = part
-    return names.sparkSession.sparkContext.broadcast(bits)
-
-
 def _shared(rows: DataFrame, *keys: str) -> DataFrame:
     """`keys` that several documents have, and `first`, the smallest of them."""
     found = rows.groupBy(*keys).agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
@@ -240,23 +226,15 @@ def _told(batch: pa.RecordBatch, keys: tuple[str, str]) -> np.ndarray:
     return _mix(_column(batch, keys[0]) ^ _mix(_column(batch, keys[1])))
 
 
-def _split(rows: DataFrame, firsts: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
-    """The rows whose `keys` may be in `firsts`, by a Bloom filter, and those whose are not."""
+def _likely(rows: DataFrame, firsts: DataFrame, *keys: str) -> DataFrame:
+    """The rows whose `keys` may be in `firsts`, by a Bloom filter."""
+    there = bloom.build(firsts.select(*keys), lambda batches: (_told(batch, keys) for batch in batches))
 
-    def names(batches):
+    def run(batches):
         for batch in batches:
-            yield _batch(name=_told(batch, keys))
-
-    bloom = _bloom(firsts.select(*keys).mapInArrow(names, "name long"))
+            yield batch.filter(pa.array(bloom.among(there.value, _told(batch, keys))))
 
-    def those(there: bool):
-        def run(batches):
-            for batch in batches:
-                yield batch.filter(pa.array(_in(bloom.value, _told(batch, keys)) == there))
-
-        return rows.mapInArrow(run, rows.schema)
-
-    return those(True), those(False)
+    return rows.mapInArrow(run, rows.schema)
 
 
 def _anchors(texts: DataFrame):
@@ -266,15 +244,22 @@ def _anchors(texts: DataFrame):
         runs, held, n = Runs(), [], 0
         for data, of in runs.blocks(_rows(batches)):
             c = runs.of(data, of)
-            held.append(_least(c))
-            n += len(held[-1]["q"])
+            held.append((c["q"], c["doc"]))
+            n += len(c["q"])
             if n >= HELD:
-                yield _batch(**_least({k: np.concatenate([h[k] for h in held]) for k in held[0]}))
+                yield _packed(*map(np.concatenate, zip(*held)))
                 held, n = [], 0
         if held:
-            yield _batch(**_least({k: np.concatenate([h[k] for h in held]) for k in held[0]}))
+            yield _packed(*map(np.concatenate, zip(*held)))
+
+    def shared(batches):
+        for _, some in by_key(batches):
+            q, doc = (np.frombuffer(b"".join(c), kind) for c, kind in zip(zip(*some), (np.uint64, np.int64)))
+            q, low, high = _ends(q, doc)
+            yield q[low < high]
 
-    return _bloom(_shared(texts.mapInArrow(pack, "q long, doc long"), "q").select(F.col("q").alias("name")))
+    packed = texts.mapInArrow(pack, "part int, q binary, doc binary")
+    return bloom.build(packed.repartition("part").sortWithinPartitions("part"), shared)
 
 
 _RUN = "q long, ctx long, doc long, version long, lo long, n long, left long, right long"
@@ -283,13 +268,13 @@ _RUN = "q long, ctx long, doc long, version long, lo long, n long, left long, ri
 def _first(texts: DataFrame) -> DataFrame:
     """Step 1: the runs whose q-gram several documents have, and of each whether it is `gone`:
     whether an earlier document has its context."""
-    bloom = _anchors(texts)
+    anchors = _anchors(texts)
 
     def pack(batches):
         runs = Runs()
         for data, of in runs.blocks(_rows(batches)):
             c = runs.of(data, of)
-            some = _in(bloom.value, c["q"])
+            some = bloom.among(anchors.value, c["q"])
             c = {k: v[some] for k, v in c.items()}
             left, right = runs.halves(c)
             has_left, has_right = runs.has(c)
@@ -300,10 +285,8 @@ def _first(texts: DataFrame) -> DataFrame:
     with scoped(texts.sparkSession) as keep:
         found = stage(texts.mapInArrow(pack, _RUN), "suffix-runs")
         firsts = stage(_shared(found, "q", "ctx"), "suffix-contexts")
-        there, alone = _split(found, firsts, "q", "ctx")
         gone = F.coalesce(F.col("doc") > F.col("first"), F.lit(False))
-        judged = there.join(firsts, ["q", "ctx"], "left").withColumn("gone", gone).drop("first")
-        judged = judged.unionByName(alone.withColumn("gone", F.lit(False)))
+        judged = found.join(firsts, ["q", "ctx"], "left").withColumn("gone", gone).drop("first")
         # Of a run that is gone the place is needed, of another what tells it apart.
         place, name = ("version", "lo", "n"), ("q", "ctx", "left", "right")
         columns = [F.when(F.col("gone"), F.col(c)).alias(c) for c in place]
@@ -315,23 +298,25 @@ def _second(texts: DataFrame, first: DataFrame) -> DataFrame:
     """Step 2: covers of the runs that step 1 left, from their suffixes."""
     rest = first.where("not gone")
     halves = rest.select("doc", F.explode(F.array_compact(F.array("left", "right"))).alias("name"))
-    shared = _bloom(_shared(halves, "name"))
+    shared = bloom.build(
+        _shared(halves, "name").select("name"), lambda batches: (_column(batch, "name") for batch in batches)
+    )
 
     def names(batches):
         for batch in batches:
             c = {k: _column(batch, k) for k in ("q", "ctx", "doc")}
             for side, half in enumerate(("left", "right")):
                 there = batch.column(half).is_valid().to_numpy(zero_copy_only=False)
-                some = there & _in(shared.value, _column(batch, half))
-                yield _batch(name=_name(c, side)[some])
+                some = there & bloom.among(shared.value, _column(batch, half))
+                yield _name(c, side)[some]
 
-    bloom = _bloom(rest.mapInArrow(names, "name long"))
+    likely = bloom.build(rest, names)
 
     def pack(batches):
         runs = Runs()
         for data, of in runs.blocks(_rows(batches)):
             c = runs.of(data, of)
-            sides = [_in(bloom.value, _name(c, side)) & has for side, has in enumerate(runs.has(c))]
+            sides = [bloom.among(likely.value, _name(c, side)) & has for side, has in enumerate(runs.has(c))]
             some = sides[0] | sides[1]
             c = {k: v[some] for k, v in c.items()}
             n = c["n"]
@@ -345,8 +330,7 @@ def _second(texts: DataFrame, first: DataFrame) -> DataFrame:
 
     strings = stage(texts.mapInArrow(pack, "q long, string long, doc long, version long, lo long"), "suffix-strings")
     firsts = stage(_shared(strings, "q", "string"), "suffix-second")
-    there, _ = _split(strings, firsts, "q", "string")
-    late = there.join(firsts, ["q", "string"]).where("doc > first")
+    late = _likely(strings, firsts, "q", "string").join(firsts, ["q", "string"]).where("doc > first")
     return late.select("doc", "version", "lo", (F.col("lo") + LENGTH).alias("hi"))
 
 
@@ -381,7 +365,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """
     rows = _versions(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")))
     texts = rows.where(F.col("id").isNotNull() & (F.octet_length("text") >= LENGTH)).select("id", "version", "text")
-    with scoped(docs.sparkSession) as keep:
+    with scoped(docs.sparkSession) as keep, session.hash_joins(docs.sparkSession):
         first = _first(texts)
         gone = first.where("gone").select("doc", "version", "lo", (F.col("lo") + F.col("n") + LENGTH - 1).alias("hi"))
         covers = gone.unionAll(_second(texts, first))
