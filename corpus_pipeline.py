@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from revsync import session
-from revsync.llm import decontaminate, jaccard_join, language_bits, mixing, pii_crf
+from revsync.llm import bloom, decontaminate, jaccard_join, language_bits, mixing, pii_crf
 from revsync.llm.catalog import WEIGHTS
 from revsync.llm.common import scoped, stage, table  # noqa: F401
 
@@ -32,8 +32,14 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     with scoped(spark) as keep:
         groups = jaccard_join.join(docs)
         kept = keep(groups.where("doc_id = component_id").select("doc_id"), "kept-ids")
+        may_go = bloom.of_column(groups.where("doc_id <> component_id"), "doc_id")
     repeated = kept.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    named = docs.join(kept.distinct(), "doc_id", "left_semi")
+    # Texts are moved for a join only where the group has others.
+    doubt, named = may_go(F.col("doc_id")), docs.where("doc_id is not null")
+    named = (
+        named.where(doubt).join(kept.distinct(), "doc_id", "left_semi").select(*docs.columns)
+        .unionAll(named.where(~doubt))
+    )
     if not repeated.isEmpty():
         named = named.dropDuplicates(["doc_id", "text"])
     nameless = docs.where("doc_id is null")

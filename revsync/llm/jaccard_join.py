@@ -452,7 +452,7 @@ def _open(shared: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of `shared`, with their component, of n-grams whose classes have several."""
     with scoped(shared.sparkSession) as keep:
         placed = stage(
-            shared.select("gram", "cls", "n", "i").distinct()
+            shared.select("gram", "cls", "n", "i")  # an n-gram has a class once
             .join(found, F.col("cls") == F.col("node"), "left")
             .select("gram", "cls", "n", "i", F.coalesce("component", "cls").alias("comp")),
             "jaccard-placed",
