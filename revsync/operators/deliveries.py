@@ -52,15 +52,26 @@ def _judge(here: Column, ledger_status: Column) -> tuple[Column, Column]:
 
 
 def delivery_states(
-    deliveries: DataFrame, ledger: DataFrame | None = None, order: list[str] | None = None
+    deliveries: DataFrame,
+    ledger: DataFrame | None = None,
+    order: list[str] | None = None,
+    once: bool = False,
 ) -> DataFrame:
     """Each attempt with `prior_status` (null, failed or processed) and `outcome`.
 
     `process_ok` says whether processing that attempt works out. With a ledger, keys
-    processed in earlier batches are skipped and keys that failed there go again.
+    processed in earlier batches are skipped and keys that failed there go again. Where each
+    key comes `once` its attempt is its own first, and nothing is shuffled to find that out.
     """
     key, order = "idempotency_key", order or ORDER
     here = _position(order)
+    if once:
+        rows, ledger_status = deliveries, F.lit(None).cast("string")
+        if ledger is not None:
+            known = ledger.select(key, F.col("processing_status").alias("_ledger"))
+            rows, ledger_status = rows.join(known, key, "left"), F.col("_ledger")
+        rows = rows.withColumns({"_first": here, "_first_ok": F.when(F.col("process_ok"), here)})
+        return rows.select(*deliveries.columns, *_judge(here, ledger_status))
     rows = deliveries.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
     whole_key = Window.partitionBy(key)
     marks = _first_attempts(rows, [key, "_salt"], here).select(
@@ -134,16 +145,23 @@ def delivery_sequence(deliveries: DataFrame) -> DataFrame:
 
 
 def ledger_rows(
-    states: DataFrame, order: list[str] | None = None, now: datetime | None = None
+    states: DataFrame,
+    order: list[str] | None = None,
+    now: datetime | None = None,
+    once: bool = False,
 ) -> DataFrame:
     """The state a batch leaves each of its keys in: processed if any attempt was, else failed.
 
     Keys whose attempts were all skipped keep the ledger row they have. `now` is when the
-    batch was processed; without it the last attempt's arrival stands for that.
+    batch was processed; without it the last attempt's arrival stands for that. Where each key
+    comes `once` its row is the attempt's own, with what else `states` has.
     """
+    ran = states.where(F.col("outcome") != vocab.DUPLICATE_SKIPPED)
+    if once:
+        at = F.col("received_at") if now is None else times.at(now)
+        return ran.withColumnRenamed("outcome", "processing_status").withColumn("processed_at", at)
     processed_at = F.col("_end.received_at") if now is None else times.at(now)
     here = _position(order or ORDER)
-    ran = states.where(F.col("outcome") != vocab.DUPLICATE_SKIPPED)
     seen = F.struct("provider", "event_type", "payload", "received_at")
     end = F.struct("outcome", "received_at", "error")
     return (

@@ -39,7 +39,7 @@ def stream_contacts(t: Inputs) -> DataFrame:
 
 def _payment_stream(t: Inputs) -> Warehouse:
     w = _warehouse(t)
-    changes = t.project("payment_changes", {"events": t.stream("events")})
+    changes = t.project("payment_changes", {"events": t.stream("events", "event_id")})
     processor = WebhookProcessor(w, Registry([PAYMENTS]))
     query_ = processor.start(
         inputs.payment_change_envelopes(changes), session.new_scratch(t.spark, "checkpoint")

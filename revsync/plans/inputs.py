@@ -19,6 +19,9 @@ TABLES = [
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
+#: Parts for each core that a table's rows are dealt into, so that what a task sorts stays small.
+DEALS_A_CORE = 4
+
 SOURCE_OF_USER = """
   case user_id % 3 when 0 then 'hubspot' when 1 then 'stripe' else 'google_calendar' end"""
 ENTITY_OF_USER = """
@@ -256,13 +259,25 @@ class Inputs:
         """A projection of the tables given."""
         return as_ntz(self.spark.sql(PROJECTIONS[name], **tables))
 
-    def stream(self, table: str) -> DataFrame:
-        """A given table as a stream of its files."""
-        return (
+    def stream(self, table: str, key: str | None = None) -> DataFrame:
+        """A given table as a stream of its files, dealt out by `key` as `dealt` does."""
+        rows = (
             self.spark.readStream.schema(self[table].schema)
             .option("pathGlobFilter", f"{table}.parquet")
             .parquet(self.sf_dir)
         )
+        return rows.repartition(self._deals(), key) if key else rows
+
+    def dealt(self, name: str, table: str, key: str) -> DataFrame:
+        """A projection of a given table whose rows are dealt out to tasks by `key` first.
+
+        One row group is read by one task, however many rows it has. Where rows are turned
+        into payloads and checked, that should not be that task's work alone.
+        """
+        return self.project(name, {table: self[table].repartition(self._deals(), key)})
+
+    def _deals(self) -> int:
+        return DEALS_A_CORE * self.spark.sparkContext.defaultParallelism
 
 
 def as_ntz(df: DataFrame) -> DataFrame:

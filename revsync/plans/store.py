@@ -266,16 +266,18 @@ class Table:
         A batch holds each key once, or `order` says which of its rows is the last. One that
         brings its rows' `outcome`, as a stream with keyed state can, spares reading the table.
         """
+        keys = batch.select(*self.keys)
         if order:
             batch = upsert.last_per_key(batch, self.keys, order)
         while True:
             done = self._done(batch_id)
             if done is not None:
                 return done
-            version, _, _ = self._versions()
+            version, base, deltas = self._versions()
             rows = batch
             if "outcome" not in batch.columns:
-                target = self.read(buckets=self.buckets_of(batch))
+                # An empty table has no folders, and keys alone tell which ones others need.
+                target = self.read(buckets=self.buckets_of(keys) if base or deltas else None)
                 if policy == "newest":
                     rows = upsert.newest_only(rows, target, self.keys, self.updated)
                 rows = upsert.upsert_outcomes(

@@ -1,9 +1,12 @@
 """What the webhook stream carries from step to step."""
 
 from pyspark.sql import functions as F
-from test_webhooks import payment_event, processor, w  # noqa: F401
+from test_webhooks import NOW, payment_event, processor, w  # noqa: F401
 
 from revsync import schemas
+from revsync.operators import deliveries
+from revsync.plans import store
+from revsync.plans.inputs import Inputs
 from revsync.streaming import webhooks
 
 
@@ -36,3 +39,43 @@ def test_payloads_travel_in_few_staged_steps(spark, w, root, monkeypatch):  # no
     processor(w).start(feed, f"{root}/checkpoint").awaitTermination()
     assert "touched" not in staged and staged["fresh"] and not staged["delivery-states"]
     assert w.webhook_events.read().where("payload is null").isEmpty()
+
+
+def test_outcomes_of_keys_that_come_once_are_told_without_a_shuffle(spark):
+    rows = spark.range(4).selectExpr(
+        "concat('k', id) idempotency_key", "'stripe' provider", "'t' event_type", "timestamp_ntz'2026-01-01' received_at",
+        "1 attempt", "'{}' payload", "id delivery_id", "id % 2 = 0 process_ok", "string(null) error",
+    )
+    ledger = spark.createDataFrame(
+        [("k0", "processed"), ("k2", "failed")], "idempotency_key string, processing_status string"
+    )
+    told = deliveries.delivery_states(rows, None, ["delivery_id"], once=True)
+    led = deliveries.ledger_rows(told, None, NOW, once=True)
+    assert "Exchange" not in led._jdf.queryExecution().executedPlan().toString()
+    for known in (None, ledger):
+        told = deliveries.delivery_states(rows, known, ["delivery_id"], once=True)
+        plain = deliveries.delivery_states(rows, known, webhooks.ORDER)
+        assert told.exceptAll(plain).isEmpty() and plain.exceptAll(told).isEmpty()
+        plain = deliveries.ledger_rows(plain, webhooks.ORDER, NOW)
+        led = deliveries.ledger_rows(told, None, NOW, once=True).select(*plain.columns)
+        assert led.exceptAll(plain).isEmpty() and plain.exceptAll(led).isEmpty()
+
+
+def test_a_load_finds_its_folders_by_the_keys_of_its_batch_only(spark, w, monkeypatch):  # noqa: F811
+    asked, find = [], store.Table.buckets_of
+    monkeypatch.setattr(store.Table, "buckets_of", lambda t, rows: asked.append(rows) or find(t, rows))
+    rows = spark.createDataFrame([("p", "1", NOW, "{}"), ("p", "1", NOW, "{ }")], schemas.LANDED_OBJECTS)
+    table = w.objects["contact"]
+    assert table.commit(rows, NOW, order=["modified", "payload"]).created == 1 and not asked
+    assert table.commit(rows, NOW, order=["modified", "payload"]).unchanged == 1
+    assert [a.columns for a in asked] == [table.keys]
+    assert "Window" not in asked[0]._jdf.queryExecution().executedPlan().toString()
+    assert table.read().count() == 1
+
+
+def test_rows_of_one_row_group_are_dealt_to_several_tasks(spark):
+    t = Inputs(spark, "/root/testdata/sf0.001")
+    dealt, plain = t.dealt("raw_calendar", "events", "event_id"), t["raw_calendar"]
+    tasks = [r.n for r in dealt.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(tasks) >= 8 and max(tasks) < plain.count() / 4
+    assert dealt.exceptAll(plain).isEmpty() and plain.exceptAll(dealt).isEmpty()
