@@ -108,17 +108,17 @@ def stream_object_notifications(t: Inputs) -> DataFrame:
     """Contacts and deals that notifications brought in, and events that pokes had loaded."""
     w = _warehouse(t)
     landed = {
-        CONTACTS: inputs.contact_payloads(t["raw_contacts"]),
-        DEALS: inputs.deal_payloads(t["raw_deals"]),
+        CONTACTS: inputs.contact_payloads(t.dealt("raw_contacts", "customer", "c_custkey")),
+        DEALS: inputs.deal_payloads(t.dealt("raw_deals", "orders", "o_orderkey")),
     }
     for spec, payloads in landed.items():
         objects.keep(w, spec, payloads, "landed", utc_now())
 
     def load_calendar(spec: SourceSpec, batch_id: str) -> str | None:
-        payloads = inputs.calendar_payloads(t["raw_calendar"])
+        payloads = inputs.calendar_payloads(t.dealt("raw_calendar", "events", "event_id"))
         return run_incremental(w, spec, payloads, utc_now(), batch_id).error
 
-    feed = t.project("raw_envelopes", {"events": t.stream("events")})
+    feed = t.project("raw_envelopes", {"events": t.stream("events", "event_id")})
     processor = WebhookProcessor(
         w, Registry([CONTACTS, DEALS, CALENDAR]), on_poke=load_calendar, channel_token="secret"
     )
