@@ -6,7 +6,8 @@ each (its prefix). Several orders are used: the rarest-first one finds the candi
 candidate must also share a prefix n-gram under each of the other orders before its sets are
 counted. Before any set travels, a candidate must pass a bound from 512 bits of each set: the
 parity of its n-grams in so many cells differs in no more cells than the sets have n-grams
-that only one of them holds.
+that only one of them holds. Long sets fill these, so they have as many bits as n-grams besides,
+by which the candidates are bounded once more.
 
 Only connected groups are asked for, so a class is compared with its group's first class,
 then with some other one whose component differs; pairs whose classes are not connected by
@@ -39,8 +40,8 @@ MERGES = 1
 WANTED_BITS = 25
 #: Bytes of text that are hashed together; words longer than LONG bytes are hashed alone.
 BLOCK, LONG = 1 << 18, 64
-#: 64-bit numbers that hold a set's parities.
-PARITIES = 8
+#: 64-bit numbers that hold a set's parities, and n-grams from which a set has finer ones.
+PARITIES, LONG_SET = 8, 256
 
 _ODD = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -172,6 +173,22 @@ def _parities(grams: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _fine(grams: np.ndarray) -> bytes:
+    """The same for as many cells as there are n-grams, or up to twice as many: a power of two,
+    so that halves laid over each other give the parities of half the cells."""
+    cells = 1 << (len(grams) - 1).bit_length()
+    odd = np.bincount((_mix(grams, 3) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _differ(x: bytes, y: bytes) -> int:
+    """The cells in which two sets' finer parities differ, by the fewer cells of the two."""
+    x, y = sorted((np.frombuffer(b, np.uint8) for b in (x, y)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _key(grams: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(grams.tobytes()) - (1 << 63)
 
@@ -208,7 +225,7 @@ _PARITY, _NONE = [f"p{k}" for k in range(PARITIES)], np.zeros(PARITIES, np.int64
 
 
 def _classes(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """Rows (id, cls, n, p0, ...) of documents, the parities once per set and task, and
+    """Rows (id, cls, n, p0, ..., fine) of documents, the parities once per set and task, and
     (chunk, counts) of a task's counters, in which each of its sets counts once."""
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     schema = (
@@ -217,12 +234,13 @@ def _classes(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     )
     for name in _PARITY:
         schema = schema.add(name, T.LongType())
+    schema = schema.add("fine", T.BinaryType())
 
     def run(batches):
         sets, seen, counters = Sets(width), set(), np.zeros(1 << COUNTERS, np.int32)
         id_type = None
         for batch in batches:
-            id_type, keys, ns, bits = batch.schema.field(0).type, [], [], []
+            id_type, keys, ns, bits, fine = batch.schema.field(0).type, [], [], [], []
             for grams in sets(batch.column(1)):
                 key = _key(grams) if len(grams) else None
                 keys.append(key)
@@ -232,13 +250,14 @@ def _classes(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
                     seen.add(key)
                     counters[Counts.place(grams)] += 1  # of n-grams in one counter one counts
                 bits.append(_parities(grams) if first else None)
+                fine.append(_fine(grams) if first and len(grams) >= LONG_SET else None)
             n = len(ns)
             none = np.array([x is None for x in bits], bool)
             bits = np.array([_NONE if x is None else x for x in bits], np.int64).reshape(n, PARITIES)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(keys, pa.int64()), pa.array(ns, pa.int64()),
                  pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
-                 *(pa.array(np.ascontiguousarray(x), mask=none) for x in bits.T)],
+                 *(pa.array(np.ascontiguousarray(x), mask=none) for x in bits.T), pa.array(fine, pa.binary())],
                 names=schema.names,
             )
         if seen:
@@ -247,7 +266,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
                  pa.array(range(n), pa.int32()), pa.array(parts, pa.binary()),
-                 *(pa.nulls(n, pa.int64()) for _ in _PARITY)],
+                 *(pa.nulls(n, pa.int64()) for _ in _PARITY), pa.nulls(n, pa.binary())],
                 names=schema.names,
             )
 
@@ -415,7 +434,27 @@ def _bounded(pairs: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(_alike("x", "y", percent)).select("a", "b")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
+def _refined(pairs: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose finer parities allow the similarity; a pair of which one has none stays."""
+
+    def run(batches):
+        for batch in batches:
+            n, x, y = (batch.column(c).to_pylist() for c in (2, 3, 4))
+            keep = [
+                b is None or c is None or _differ(b, c) * (100 + percent) <= of * (100 - percent)
+                for of, b, c in zip(n, x, y)
+            ]
+            pair = [batch.column(0), batch.column(1)]
+            yield pa.RecordBatch.from_arrays(pair, names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    x, y = (fine.select(F.col("cls").alias(s), F.col("n").alias(f"{s}n"), F.col("fine").alias(f"{s}f")) for s in "ab")
+    both = pairs.join(x, "a", "left").join(y, "b", "left")
+    return both.select("a", "b", (F.col("an") + F.col("bn")).alias("n"), "af", "bf").mapInArrow(run, "a long, b long")
+
+
+def _verified(
+    pairs: DataFrame, fine: DataFrame, docs: DataFrame, text: str, width: int, percent: int
+) -> DataFrame:
     """The pairs that pass every order's prefix filter and whose similarity is reached."""
 
     def run(batches):
@@ -428,6 +467,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, width: int, percent:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(mask)
 
     with scoped(docs.sparkSession) as keep:
+        pairs = stage(_refined(pairs, fine, percent), "jaccard-refined")
+        if pairs.isEmpty():
+            return keep(pairs, "jaccard-links")
         sets = _sets(docs, text, width, pairs)
         with_b = pairs.join(sets.select(F.col("cls").alias("b"), F.col("grams").alias("y")), "b")
         both = with_b.join(sets.select(F.col("cls").alias("a"), F.col("grams").alias("x")), "a")
@@ -491,6 +533,8 @@ def _joined(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -
     # Every class against the first of its groups, and these among themselves.
     parities = classes.where("p0 is not null").groupBy("cls", "n").agg(*(F.first(p).alias(p) for p in _PARITY))
     parities = stage(parities, "jaccard-parities")
+    fine = classes.where("fine is not null").groupBy("cls", "n").agg(F.first("fine").alias("fine"))
+    fine = stage(fine, "jaccard-fine")
     me = F.struct("cls", "n", "i")
     lead = F.struct(F.col("lead").alias("cls"), F.col("lead_n").alias("n"), F.col("lead_i").alias("i"))
     split = shared.where("salts > 1").groupBy("gram").agg(F.min(lead).alias("y"))
@@ -499,13 +543,15 @@ def _joined(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -
         _pairs(across.select(me.alias("x"), "y"), percent)
     )
     stars = stage(_bounded(stars.distinct(), parities, percent), "jaccard-stars")
-    links = _verified(stars, docs, text, width, percent)
+    links = _verified(stars, fine, docs, text, width, percent)
 
     tried, found = stars, components(links, "a", "b")
 
-    # Then against some other class of the n-gram, where their components differ.
+    # Then against some other class of the n-gram, where their components differ. Components
+    # only grow, so an n-gram whose classes have one needs not be looked at again.
+    left = shared
     for k in range(MERGES):
-        left = _open(shared, found)
+        left = _open(left, found)
         other = F.max_by(F.struct("cls", "n", "i", "comp"), F.xxhash64("cls", "gram", F.lit(k)))
         other = stage(left.groupBy("gram").agg(other.alias("y")), "jaccard-others")
         apart = left.join(other, "gram").where("comp <> y.comp").select(me.alias("x"), "y")
@@ -513,17 +559,17 @@ def _joined(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -
         pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-merges")
         if pairs.isEmpty():
             break
-        links = links.unionAll(_verified(pairs, docs, text, width, percent))
+        links = links.unionAll(_verified(pairs, fine, docs, text, width, percent))
         tried, found = tried.unionAll(pairs), components(links, "a", "b")
 
     # What is not connected by then: every pair of an n-gram whose components differ.
-    left = stage(_open(shared, found).join(parities.drop("n"), "cls"), "jaccard-parted")
+    left = stage(_open(left, found).join(parities.drop("n"), "cls"), "jaccard-parted")
     me = F.struct("cls", "n", "i", *_PARITY)
     x, y = (left.select("gram", F.col("comp").alias(f"{s}c"), me.alias(s)) for s in "xy")
     rest = _pairs(x.join(y, "gram").where("xc < yc").where(_alike("x", "y", percent)), percent)
     rest = stage(rest.join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
     if not rest.isEmpty():
-        more = _verified(rest, docs, text, width, percent)
+        more = _verified(rest, fine, docs, text, width, percent)
         if not more.isEmpty():
             found = components(links.unionAll(more), "a", "b")
 

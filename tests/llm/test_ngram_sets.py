@@ -55,3 +55,26 @@ def test_parities_differ_in_no_more_cells_than_sets_in_ngrams():
         differ = sum(int(v).bit_count() for v in (x ^ y).view(np.uint64))
         apart = len(np.setxor1d(a, b))
         assert differ <= apart and (apart - differ) % 2 == 0
+
+
+def test_finer_parities_never_refute_a_pair_that_is_similar():
+    r = np.random.default_rng(5)
+    for n, m in ((256, 256), (300, 380), (1000, 1024), (1025, 800), (5000, 6600)):
+        for common in (0, n // 2, min(n, m)):
+            a = r.integers(0, 1 << 63, n, np.uint64)
+            b = np.append(a[:common], r.integers(0, 1 << 63, m - common, np.uint64))
+            differ = jaccard_join._differ(jaccard_join._fine(np.sort(a)), jaccard_join._fine(np.sort(b)))
+            assert differ <= n + m - 2 * common
+            if not common:
+                assert differ * 175 > (n + m) * 25
+
+
+def test_long_texts_that_finer_parities_refute_send_no_sets(spark, docs_of, monkeypatch):
+    """Two long texts share one n-gram, the rarest of both: 512 parities let that pair pass."""
+    long = [" ".join(f"{who}{k}" for k in range(3000)) for who in "ab"]
+    texts = [f"r0 r1 r2 r3 r4 {t}" for t in long] + [f"{t} {end}" for t in long for end in ("more", "other")]
+    rows = [(i, t, None, None) for i, t in enumerate(texts)]
+    asked, wanted = [], jaccard_join._wanted
+    monkeypatch.setattr(jaccard_join, "_wanted", lambda pairs: asked.append(pairs.count()) or wanted(pairs))
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(docs_of(spark, rows)).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 0, 4: 1, 5: 1} and asked == [4]
