@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from revsync.llm.common import components, scoped, stage
+from revsync.llm.common import components, extended, scoped, stage
 
 #: n-grams are counted in 2**COUNTERS counters, whatever their number; these are sent to all
 #: tasks. An n-gram's counter says how frequent it is at most.
@@ -365,7 +365,8 @@ def _shared(postings: DataFrame, counters) -> DataFrame:
 
 
 def _pairs(df: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b), a below b, of the classes in x and y that may be similar.
+    """(a, b, long), a below b, of the classes in x and y that may be similar, as often as they
+    meet; `long` says that both have finer parities.
 
     The first n-gram that two sets share in their common order has no shared one before it:
     from there on either set must still have as many as the similarity asks for. Where that
@@ -375,9 +376,11 @@ def _pairs(df: DataFrame, percent: int) -> DataFrame:
     enough = [(F.col(f"{s}.n") - F.col(f"{s}.i")) * (100 + percent) >= need for s in "xy"]
     return (
         df.where((F.col("x.cls") != F.col("y.cls")) & enough[0] & enough[1])
-        .select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
-        .distinct()
-    )
+        .select(
+            F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"),
+            (F.least("x.n", "y.n") >= LONG_SET).alias("long"),
+        )
+    )
 
 
 def _wanted(pairs: DataFrame) -> np.ndarray:
@@ -431,29 +434,28 @@ def _alike(a: str, b: str, percent: int) -> Column:
 def _bounded(pairs: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
     """The pairs whose parities allow the similarity."""
     x, y = (parities.select(F.col("cls").alias(s), F.struct("n", *_PARITY).alias(t)) for s, t in ("ax", "by"))
-    return pairs.join(x, "a").join(y, "b").where(_alike("x", "y", percent)).select("a", "b")
+    return pairs.join(x, "a").join(y, "b").where(_alike("x", "y", percent)).select("a", "b", "long")
 
 
-def _refined(pairs: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
+def _refined(pairs: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
     """The pairs whose finer parities allow the similarity; a pair of which one has none stays."""
 
     def run(batches):
         for batch in batches:
             n, x, y = (batch.column(c).to_pylist() for c in (2, 3, 4))
-            keep = [
-                b is None or c is None or _differ(b, c) * (100 + percent) <= of * (100 - percent)
-                for of, b, c in zip(n, x, y)
-            ]
+            keep = [_differ(b, c) * (100 + percent) <= of * (100 - percent) for of, b, c in zip(n, x, y)]
             pair = [batch.column(0), batch.column(1)]
             yield pa.RecordBatch.from_arrays(pair, names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    x, y = (fine.select(F.col("cls").alias(s), F.col("n").alias(f"{s}n"), F.col("fine").alias(f"{s}f")) for s in "ab")
-    both = pairs.join(x, "a", "left").join(y, "b", "left")
-    return both.select("a", "b", (F.col("an") + F.col("bn")).alias("n"), "af", "bf").mapInArrow(run, "a long, b long")
+    # A pair's two rows meet by its key, so only parities that a pair asks for are shuffled.
+    ends = pairs.where("long").select("a", "b", F.explode(F.array("a", "b")).alias("cls"))
+    sides = parities.where("fine is not null").select("cls", "n", "fine").join(ends, "cls").groupBy("a", "b")
+    both = sides.agg(F.sum("n").alias("n"), F.min("fine").alias("x"), F.max("fine").alias("y"))
+    return pairs.where("not long").select("a", "b").unionAll(both.mapInArrow(run, "a long, b long"))
 
 
 def _verified(
-    pairs: DataFrame, fine: DataFrame, docs: DataFrame, text: str, width: int, percent: int
+    pairs: DataFrame, parities: DataFrame, docs: DataFrame, text: str, width: int, percent: int
 ) -> DataFrame:
     """The pairs that pass every order's prefix filter and whose similarity is reached."""
 
@@ -467,7 +469,7 @@ def _verified(
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(mask)
 
     with scoped(docs.sparkSession) as keep:
-        pairs = stage(_refined(pairs, fine, percent), "jaccard-refined")
+        pairs = stage(_refined(pairs, parities, percent), "jaccard-refined")
         if pairs.isEmpty():
             return keep(pairs, "jaccard-links")
         sets = _sets(docs, text, width, pairs)
@@ -531,10 +533,8 @@ def _joined(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -
     shared = _shared(_postings(docs, text, width, percent, counters), counters)
 
     # Every class against the first of its groups, and these among themselves.
-    parities = classes.where("p0 is not null").groupBy("cls", "n").agg(*(F.first(p).alias(p) for p in _PARITY))
-    parities = stage(parities, "jaccard-parities")
-    fine = classes.where("fine is not null").groupBy("cls", "n").agg(F.first("fine").alias("fine"))
-    fine = stage(fine, "jaccard-fine")
+    parities = classes.where("p0 is not null").groupBy("cls", "n")
+    parities = stage(parities.agg(*(F.first(p).alias(p) for p in [*_PARITY, "fine"])), "jaccard-parities")
     me = F.struct("cls", "n", "i")
     lead = F.struct(F.col("lead").alias("cls"), F.col("lead_n").alias("n"), F.col("lead_i").alias("i"))
     split = shared.where("salts > 1").groupBy("gram").agg(F.min(lead).alias("y"))
@@ -543,7 +543,7 @@ def _joined(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -
         _pairs(across.select(me.alias("x"), "y"), percent)
     )
     stars = stage(_bounded(stars.distinct(), parities, percent), "jaccard-stars")
-    links = _verified(stars, fine, docs, text, width, percent)
+    links = _verified(stars, parities, docs, text, width, percent)
 
     tried, found = stars, components(links, "a", "b")
 
@@ -555,23 +555,23 @@ def _joined(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -
         other = F.max_by(F.struct("cls", "n", "i", "comp"), F.xxhash64("cls", "gram", F.lit(k)))
         other = stage(left.groupBy("gram").agg(other.alias("y")), "jaccard-others")
         apart = left.join(other, "gram").where("comp <> y.comp").select(me.alias("x"), "y")
-        pairs = _bounded(_pairs(apart, percent), parities, percent)
+        pairs = _bounded(_pairs(apart, percent).distinct(), parities, percent)
         pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-merges")
         if pairs.isEmpty():
             break
-        links = links.unionAll(_verified(pairs, fine, docs, text, width, percent))
-        tried, found = tried.unionAll(pairs), components(links, "a", "b")
+        links = _verified(pairs, parities, docs, text, width, percent)
+        tried, found = tried.unionAll(pairs), extended(found, links, "a", "b")
 
     # What is not connected by then: every pair of an n-gram whose components differ.
-    left = stage(_open(left, found).join(parities.drop("n"), "cls"), "jaccard-parted")
+    left = stage(_open(left, found).join(parities.drop("n", "fine"), "cls"), "jaccard-parted")
     me = F.struct("cls", "n", "i", *_PARITY)
     x, y = (left.select("gram", F.col("comp").alias(f"{s}c"), me.alias(s)) for s in "xy")
     rest = _pairs(x.join(y, "gram").where("xc < yc").where(_alike("x", "y", percent)), percent)
-    rest = stage(rest.join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
+    rest = stage(rest.distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
     if not rest.isEmpty():
-        more = _verified(rest, fine, docs, text, width, percent)
-        if not more.isEmpty():
-            found = components(links.unionAll(more), "a", "b")
+        links = _verified(rest, parities, docs, text, width, percent)
+        if not links.isEmpty():
+            found = extended(found, links, "a", "b")
 
     rows = classes.where("n is not null").select("id", "cls", "n")
     rows = rows.join(found, F.col("cls") == F.col("node"), "left").select(
